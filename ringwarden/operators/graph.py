@@ -408,14 +408,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct()
 
 
-def identifier_components(
+def linked_components(
     payments: DataFrame, *, kinds: Sequence[str] = LINK_KINDS, shared_namespace: bool = False
 ) -> DataFrame:
-    """(transaction_id, component); a payment sharing nothing is its own component."""
+    """(transaction_id, component) of payments that share something; sizes >= 2."""
     links = shared_identifier_links(payments, kinds=kinds, shared_namespace=shared_namespace)
-    linked = connected_components(links, a="tx", b="anchor").select(
+    return connected_components(links, a="tx", b="anchor").select(
         F.col("id").alias("transaction_id"), "component"
     )
+
+
+def identifier_components(
+    payments: DataFrame, *, kinds: Sequence[str] = LINK_KINDS, shared_namespace: bool = False
+) -> DataFrame:
+    """(transaction_id, component); a payment sharing nothing is its own component."""
+    linked = linked_components(payments, kinds=kinds, shared_namespace=shared_namespace)
     return (
         payments.select("transaction_id")
         .distinct()

@@ -135,11 +135,6 @@ def value_ladder(df: DataFrame, value: str, slices: int | None = None) -> DataFr
     return running_totals(counts, order=[Ascending("value")], sums={"upto": "n"}, slices=slices)
 
 
-def element_at_index(ladder: DataFrame, index: Column) -> Column:
-    """Aggregate expression: the value at a 0-based index of the sorted data."""
-    return F.min(F.when(F.col("upto") > index, F.col("value")))
-
-
 def linear_quantiles(df: DataFrame, value: str, quantiles: Mapping[str, float]) -> DataFrame:
     """One row of exact, linearly interpolated quantiles.
 
