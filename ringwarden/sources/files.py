@@ -61,17 +61,19 @@ def feature_cache(spark: SparkSession, folder: str, key: dict[str, object], buil
     """Build once per key, read back after that.
 
     The key must name the input and the cutoff: another input or cutoff is
-    another artefact. A half-written artefact has no success mark and is rebuilt.
+    another artefact. A mark is written after the data, so a half-written artefact
+    is built again.
     """
     text = "|".join(f"{k}={key[k]}" for k in sorted(key))
     path = f"{folder.rstrip('/')}/features-{hashlib.sha256(text.encode()).hexdigest()[:16]}"
-    if not _finished(spark, path):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if not _exists(spark, f"{path}/done"):
+        build().write.mode("overwrite").parquet(f"{path}/data")
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
+    return spark.read.parquet(f"{path}/data")
 
 
-def _finished(spark: SparkSession, path: str) -> bool:
+def _exists(spark: SparkSession, path: str) -> bool:
     try:
-        return not spark.read.format("binaryFile").load(f"{path}/_SUCCESS").select("path").isEmpty()
+        return not spark.read.parquet(path).isEmpty()
     except AnalysisException:
         return False
