@@ -95,7 +95,9 @@ def with_recent_history(batch: DataFrame, batch_id: int, folder: str, *, ts_us:
     """
     spark = batch.sparkSession
     hour = F.floor(F.col(ts_us) / (3600 * MICROS)).cast("bigint")
-    _write_batch(batch.withColumn("hour", hour), folder, "history", batch_id)
+    batch.withColumn("hour", hour).write.mode("overwrite").partitionBy("hour").parquet(
+        f"{folder}/history/batch={batch_id}"
+    )
     stored = read_batches(spark, folder, "history")
     current = stored.where(F.col("batch") == batch_id)
     span = current.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi")).first()
