@@ -18,9 +18,8 @@ def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def write_edges(edges: DataFrame, path: str, *, steps_per_day: int = 24) -> None:
     """Edge table in day folders, so a time cutoff skips whole folders."""
-    edges.withColumn("day", F.floor(F.col("step") / steps_per_day).cast("int")).write.mode(
-        "overwrite"
-    ).partitionBy("day").parquet(path)
+    daily = edges.withColumn("day", F.floor(F.col("step") / steps_per_day).cast("int")).hint("rebalance", "day")
+    daily.write.mode("overwrite").partitionBy("day").parquet(path)
 
 
 def read_edges(spark: SparkSession, path: str, *, until_step: int | None = None, steps_per_day: int = 24) -> DataFrame:
