@@ -45,15 +45,14 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_balanced_weight(df: DataFrame, label: str = "label") -> DataFrame:
-    w = class_weights(df, label).select(F.struct("weight_pos", "weight_neg")).scalar()
-    return df.withColumn("_w", w).withColumn(
-        "weight", F.when(F.col(label) == 1, F.col("_w.weight_pos")).otherwise(F.col("_w.weight_neg"))
-    ).drop("_w")
+    """Adds ``weight``; training is eager, so the two class weights are read first."""
+    w = class_weights(df, label).first()
+    return df.withColumn("weight", F.when(F.col(label) == 1, w["weight_pos"]).otherwise(w["weight_neg"]))
 
 
 def with_positive_weight(df: DataFrame, label: str = "label") -> DataFrame:
-    ratio = class_weights(df, label).select("scale_pos_weight").scalar()
-    return df.withColumn("weight", F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0)))
+    w = class_weights(df, label).first()
+    return df.withColumn("weight", F.when(F.col(label) == 1, w["scale_pos_weight"]).otherwise(1.0))
 
 
 def _assembler(features: Sequence[str]) -> VectorAssembler:

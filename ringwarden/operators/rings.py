@@ -98,7 +98,9 @@ def ring_concentration(entities: DataFrame, scores: DataFrame) -> DataFrame:
         "component", F.col("entity").alias("customer_id")
     )
     scored = risk_score_lookup(members, scores, member="customer_id")
-    mean = scored.groupBy("component").agg(F.avg("score").alias("concentration"))
+    # exact sum, so the mean does not depend on the order of the members
+    total = F.sum(F.col("score").cast("decimal(18,6)")).cast("double")
+    mean = scored.groupBy("component").agg((total / F.count(F.lit(1))).alias("concentration"))
     return mean.withColumn("level", concentration_level(F.col("concentration")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import champion_score, feature_columns, ring_type
 from ..operators import features as feat
 from ..operators import graph
+from ..operators.temporal import temporal_split
 from ..session import cut_lineage, shared_folder
 from ..sources import views
 from ..sources.files import feature_cache
@@ -51,10 +52,8 @@ def scored_accounts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def labelled_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    """Matrix with label, last step and time split."""
-    from ..operators.temporal import temporal_split
-
+    """Matrix with label, last step and time split, written once: training reads it often."""
     txn = views.transactions(spark, folder)
     base = matrix(spark, folder)
     known = feat.node_last_step(feat.label_join(base, txn), txn)
-    return temporal_split(known, step="last_step")
+    return cut_lineage(temporal_split(known, step="last_step"))

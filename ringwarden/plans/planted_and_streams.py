@@ -258,7 +258,7 @@ _SNAP = "SELECT account_id, max(written_us) AS written_us, arg_max(score, writte
 
 
 @query("stream_score", "ev score_log", f"""
-SELECT event_id, round(CASE WHEN ts_us < expire_us THEN 0.5 * p + 0.5 * score ELSE p END, 6) AS fraud_probability, coalesce(ts_us < expire_us, FALSE) AS cache_hit
+SELECT event_id, round(CASE WHEN ts_us < expire_us THEN 0.5 * p + 0.5 * score ELSE p END, 8) AS fraud_probability, coalesce(ts_us < expire_us, FALSE) AS cache_hit
 FROM (SELECT *, least(1.0, value / 500.0) AS p FROM ev) LEFT JOIN ({_SNAP}) s ON s.account_id = user_id""")
 def stream_score(spark, folder):
     snapshot = snapshots.snapshot_upsert(
@@ -266,7 +266,7 @@ def stream_score(spark, folder):
     ).withColumnRenamed("account_id", "user_id")
     scored = jobs.score_events(_stream(spark, folder), snapshot, key="user_id", probability=F.least(F.lit(1.0), F.col("value") / 500.0))
     rows = jobs.run_to_table(scored.select("event_id", "fraud_probability", "cache_hit"), label="scores")
-    return rounded(rows, "fraud_probability")
+    return rounded(rows, "fraud_probability", digits=8)
 
 
 @query("stream_nearline_ttl", "score_log ev", _SNAP)

@@ -530,14 +530,14 @@ def ablation_subsets(spark, folder):
 
 @query("propagated_classifier")
 def propagated_classifier(spark, folder):
-    base = cut_lineage(labelled_matrix(spark, folder))
+    base = labelled_matrix(spark, folder)
     return rounded(learn.propagated_classifier(base, account_edges(spark, folder).select("src", "dst")), "y_prob")
 
 
 @query("hybrid_stack")
 def hybrid_stack(spark, folder):
     """The graph score is the structural rule score, which no label went into."""
-    base = cut_lineage(labelled_matrix(spark, folder))
+    base = labelled_matrix(spark, folder)
     graph_score = base.select(F.col("account_id").alias("id"), scoring.graph_score(feature_columns()).alias("y_prob"))
     return rounded(learn.hybrid_stack(base, graph_score), "y_prob")
 

@@ -227,7 +227,7 @@ SELECT component, count(*) AS transaction_count, CAST(sum(CAST(amount AS DECIMAL
   1.0 / (1.0 + ((max(timestamp) - min(timestamp)) / (count(*) - 1.0)) / 3600.0) AS sync
 FROM clustered GROUP BY component""", "clustered")
 _view("ringconc", """
-SELECT component, avg(coalesce(score, 0.1)) AS concentration
+SELECT component, CAST(sum(CAST(coalesce(score, 0.1) AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS concentration
 FROM entities LEFT JOIN risk_scores ON customer_id = entity WHERE kind = 'member' GROUP BY component""",
       "entities", "risk_scores")
 _view("ringcount", "SELECT component, " + ", ".join(
