@@ -96,7 +96,8 @@ def looks_like_merchant(f: Features) -> Column:
 
 
 def _merchant_capped(f: Features, logit: Column, cap: float) -> Column:
-    return F.when(looks_like_merchant(f), F.least(logit, F.lit(cap))).otherwise(logit)
+    # ``least`` passes over the null of a non-merchant, so the logit is stated once
+    return F.least(logit, F.when(looks_like_merchant(f), F.lit(cap)))
 
 
 def champion_score(f: Features) -> Column:

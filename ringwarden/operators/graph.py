@@ -13,10 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import LINK_KINDS, NEIGHBOR_CAP_DEFAULT, NEIGHBOR_CAPS
-from ..session import cut_lineage, shuffle_width
-
-# Out-edges of one node that may land in one task; larger nodes are spread.
-ROWS_PER_SLICE = 1_000_000
+from ..session import cut_lineage
+from .spread import ROWS_PER_SLICE, SpreadRows, spread_rows
 
 
 def edge_collapse(edges: DataFrame, *, tie: str = "tx_id") -> DataFrame:
@@ -70,38 +68,25 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 # --- PageRank --------------------------------------------------------------------
 
 
-def _transition_rows(edges: DataFrame, nodes: DataFrame, rows_per_slice: int) -> tuple[DataFrame, DataFrame]:
-    """(rows to push rank along, nodes with slices and a dangling mark).
+def _transition_rows(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to push rank along, nodes with a dangling mark).
 
     A node's out-edges carry its weight shares; one extra row per node carries
-    its own history to itself. Out-edges of a very large node are spread over
-    several slices, and its rank is sent to each of them.
+    its own history to itself.
     """
-    width = shuffle_width(edges.sparkSession)
-    out = edges.groupBy(F.col("src").alias("id")).agg(
-        F.sum("weight").alias("out_weight"), F.count(F.lit(1)).alias("out_edges")
-    )
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("out_weight"))
     marked = cut_lineage(
         nodes.join(out, "id", "left").select(
             "id",
             (F.coalesce("out_weight", F.lit(0.0)) <= 0).alias("dangling"),
             F.coalesce("out_weight", F.lit(0.0)).alias("out_weight"),
-            F.greatest(F.lit(1), F.ceil(F.coalesce("out_edges", F.lit(0)) / rows_per_slice)).cast("int").alias("slices"),
         )
     )
     pushes = edges.join(marked.where(~F.col("dangling")), F.col("src") == F.col("id")).select(
-        F.col("src"),
-        F.pmod(F.xxhash64("dst"), F.col("slices")).cast("int").alias("slice"),
-        F.col("dst"),
-        (F.col("weight") / F.col("out_weight")).alias("share"),
-        F.lit(False).alias("own"),
+        "id", "dst", (F.col("weight") / F.col("out_weight")).alias("share"), F.lit(False).alias("own")
     )
-    keeps = marked.select(
-        F.col("id").alias("src"), F.lit(0).alias("slice"), F.col("id").alias("dst"),
-        F.lit(0.0).alias("share"), F.lit(True).alias("own"),
-    )
-    rows = pushes.unionByName(keeps).repartition(width, "src", "slice").persist()
-    return rows, marked
+    keeps = marked.select("id", F.col("id").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("own"))
+    return pushes.unionByName(keeps), marked
 
 
 def pagerank(
@@ -123,11 +108,12 @@ def pagerank(
     inside a block.
     """
     nodes = edge_nodes(edges)
-    rows, marked = _transition_rows(edges, nodes, rows_per_slice)
+    transitions, marked = _transition_rows(edges, nodes)
     n = marked.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
-    state = marked.select("id", "dangling", "slices", F.lit(1.0 / n).alias("rank"))
+    rows = spread_rows(transitions, "id", "dst", rows_per_slice)
+    state = marked.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
     done = 0
     while done < max_iter:
         rounds = min(block, max_iter - done)
@@ -144,26 +130,21 @@ def pagerank(
                 if moves[f"m{s}"] < n * tol:
                     stop, converged = s, True
                     break
-        state = walked.select("id", "dangling", "slices", columns[stop].alias("rank"))
+        state = walked.select("id", "dangling", columns[stop].alias("rank"))
         done += stop
         if converged:
             break
-    rows.unpersist()
+    rows.release()
     return state.select("id", F.col("rank").alias("pagerank"))
 
 
-def _walk(state: DataFrame, rows: DataFrame, rounds: int) -> DataFrame:
+def _walk(state: DataFrame, rows: SpreadRows, rounds: int) -> DataFrame:
     """Columns r0..rk (walk of the ranks) and e0..ek (walk of the ones)."""
-    current = state.select("id", "dangling", "slices", F.col("rank").alias("r0"), F.lit(1.0).alias("e0"))
+    current = state.select("id", "dangling", F.col("rank").alias("r0"), F.lit(1.0).alias("e0"))
     for s in range(1, rounds + 1):
-        spread = current.withColumn(
-            "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-        )
         kept = [f"{v}{i}" for i in range(s) for v in ("r", "e")]
-        met = rows.join(spread, (rows["src"] == spread["id"]) & (rows["slice"] == spread["slice"]))
-        current = met.groupBy(F.col("dst").alias("id")).agg(
+        current = rows.meet(current).groupBy(F.col("dst").alias("id")).agg(
             F.max(F.col("own") & F.col("dangling")).alias("dangling"),
-            F.max(F.when(F.col("own"), F.col("slices"))).alias("slices"),
             *[F.sum(F.when(F.col("own"), F.col(c)).otherwise(0.0)).alias(c) for c in kept],
             F.sum(F.col("share") * F.col(f"r{s - 1}")).alias(f"r{s}"),
             F.sum(F.col("share") * F.col(f"e{s - 1}")).alias(f"e{s}"),
@@ -196,7 +177,9 @@ def _rank_after(s: int, damping: float, shares: list[float]):
 # --- core numbers -----------------------------------------------------------------
 
 
-def k_core(edges: DataFrame, *, max_rounds: int | None = None, block: int = 3) -> DataFrame:
+def k_core(
+    edges: DataFrame, *, max_rounds: int | None = None, block: int = 4, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
     """Core number on the undirected simple graph by repeated H-index.
 
     Lü et al. 2016: starting at the degree, ``h = max v: min(v, neighbours with
@@ -204,28 +187,29 @@ def k_core(edges: DataFrame, *, max_rounds: int | None = None, block: int = 3) -
     node first; a node sees at most sqrt(2 * edges) distinct values, so the window
     below stays small for a hub too.
     """
-    width = shuffle_width(edges.sparkSession)
-    links = _both_ways(undirected_edges(edges)).repartition(width, "neighbor").persist()
-    core = links.groupBy("node").agg(F.count(F.lit(1)).alias("core"))
-    core = cut_lineage(core)
-    done = 0
+    links = spread_rows(_both_ways(undirected_edges(edges)), "neighbor", "node", rows_per_slice)
+    core = cut_lineage(links.rows.groupBy("node").agg(F.count(F.lit(1)).alias("core")))
+    total, done = _core_total(core), 0
     while max_rounds is None or done < max_rounds:
         rounds = block if max_rounds is None else min(block, max_rounds - done)
-        started = core
         for _ in range(rounds):
             core = _h_index_round(links, core)
         core = cut_lineage(core)
         done += rounds
-        total = F.sum("core").alias("t")
+        before, total = total, _core_total(core)
         # values never rise, so an equal sum means nothing moved
-        if started.agg(total).first()["t"] == core.agg(total).first()["t"]:
+        if total == before:
             break
-    links.unpersist()
+    links.release()
     return core.select(F.col("node").alias("id"), F.col("core").cast("double").alias("k_core_number"))
 
 
-def _h_index_round(links: DataFrame, core: DataFrame) -> DataFrame:
-    seen = links.join(core.withColumnRenamed("node", "neighbor"), "neighbor")
+def _core_total(core: DataFrame) -> int | None:
+    return core.agg(F.sum("core").alias("t")).first()["t"]
+
+
+def _h_index_round(links: SpreadRows, core: DataFrame) -> DataFrame:
+    seen = links.meet(core.withColumnRenamed("node", "neighbor"))
     counts = seen.groupBy("node", "core").agg(F.count(F.lit(1)).alias("n"))
     at_least = F.sum("n").over(
         Window.partitionBy("node").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0)

@@ -12,6 +12,7 @@ from ..sources import files, views
 from ..streaming import jobs
 from .inputs import account_edges, labelled_matrix, r, rounded
 from .registry import query
+from .rings_and_models import RING_EVAL_SQL, RING_EVAL_VIEWS, RING_REPORT_SQL, psi_sql
 
 BASE_TS = 1_788_300_000
 HASH = "(('0x' || substr(md5({0}), 1, 8))::BIGINT)"
@@ -93,7 +94,16 @@ def plant_rows(spark, folder):
     return rows.groupBy(kind.alias("what")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("planted_ring_recall")
+_PAYMENT_COLUMNS = (
+    "transaction_id, customer_id, merchant_id, device_id, ip_id, address_id, promo_id, bank_account_id, amount, timestamp, rto_flag, chargeback_flag"
+)
+
+
+@query("planted_ring_recall", RING_EVAL_VIEWS, RING_EVAL_SQL, {
+    "ptx": f"SELECT {_PAYMENT_COLUMNS} FROM ({{original}}) UNION ALL SELECT {_PAYMENT_COLUMNS} FROM ({_ring_sql(plant.PROMO)})",
+    "gt_members": f"""SELECT 'ring_promo_' || s_suppkey AS ring_id, concat_ws('_', 'cust_promo', s_suppkey, a) AS customer_id,
+      CAST({BASE_TS} + 3600 AS BIGINT) AS start_timestamp FROM supplier CROSS JOIN range(1, 16) x(a)""",
+})
 def planted_ring_recall(spark, folder):
     """Planted promo rings added to the payments: how many does the detector find?"""
     anchors = _anchors(spark, folder)
@@ -179,7 +189,17 @@ def decoy_edges(spark, folder):
     return plant.decoy_edges(fraud, clean, k_values=(0, 10, 50))
 
 
-@query("stress_curve")
+@query("stress_curve", "labels_of acct cedges", f"""
+WITH c AS MATERIALIZED (SELECT account_id, row_number() OVER (ORDER BY account_id) AS pos, count(*) OVER () AS n FROM labels_of WHERE label = 0),
+ks AS (SELECT unnest([0, 10, 50, 100, 500]) AS k),
+w AS (SELECT account_id AS src, k, {HASH.format("'0:' || account_id || ':' || k || ':' || i")} % (SELECT max(n) FROM c) + 1 AS pos
+  FROM labels_of CROSS JOIN ks CROSS JOIN range(1, 501) g(i) WHERE label = 1 AND i <= k),
+e AS (SELECT k, src, dst FROM cedges CROSS JOIN ks UNION ALL SELECT k, src, c.account_id FROM w JOIN c USING (pos)
+  UNION ALL SELECT k, account_id, account_id FROM labels_of CROSS JOIN ks),
+s AS MATERIALIZED (SELECT k, src, avg(prob) AS score FROM e JOIN acct ON account_id = dst GROUP BY 1, 2)
+SELECT CAST(k AS INTEGER) AS k, round(avg(CASE WHEN score >= 0.05 THEN 1.0 ELSE 0.0 END) FILTER (WHERE label = 1), 6) AS recall,
+  round(avg(CAST(label AS DOUBLE)) FILTER (WHERE score >= 0.05), 6) AS precision, round(avg(score) FILTER (WHERE label = 1), 6) AS mean_fraud_score
+FROM s JOIN labels_of ON account_id = src GROUP BY k""")
 def stress_curve(spark, folder):
     """Recall and precision at k decoys, measured on neighbour-averaged scores."""
     nodes, fraud, clean = _fraud_and_clean(spark, folder)
@@ -277,7 +297,9 @@ def stream_nearline_ttl(spark, folder):
     return jobs.nearline_table(writes)
 
 
-@query("stream_ring_alert")
+@query("stream_ring_alert", "report", RING_REPORT_SQL, {
+    "ptx": "SELECT * FROM (SELECT *, max(timestamp) OVER () AS newest FROM ({original})) WHERE timestamp > newest - 864000"
+})
 def stream_ring_alert(spark, folder):
     """Rings among the payments of the last ten days of the feed."""
     path = scratch_path(spark, "payment-feed")
@@ -288,7 +310,10 @@ def stream_ring_alert(spark, folder):
     return alerts.withColumn("total_exposure", F.col("total_exposure").cast("double")).drop("batch")
 
 
-@query("stream_drift", "ev", None)
+@query("stream_drift", "ev", f"""
+WITH p AS MATERIALIZED ({psi_sql(['value', 'user_id'], 'ev', 'ts_us <= 1705276800000000')})
+SELECT feature, round(psi, 6) AS psi, CASE WHEN psi >= 0.20 THEN 'DRIFTED' WHEN psi >= 0.10 THEN 'WARNED' ELSE 'STABLE' END AS status,
+  (SELECT max(psi) >= 0.20 FROM p) AS has_drift FROM p""")
 def stream_drift(spark, folder):
     """Every micro-batch against the first half of the feed."""
     feed = views.events(spark, folder)

@@ -23,7 +23,9 @@ class Query:
 CATALOG: dict[str, Query] = {}
 
 
-def query(name: str, views: str = "", sql: str | None = None) -> Callable[[Run], Run]:
+def query(
+    name: str, views: str = "", sql: str | None = None, replaced: dict[str, str] | None = None
+) -> Callable[[Run], Run]:
     """Register ``fn(spark, folder)``; ``sql`` may use the named views as tables."""
 
     def register(fn: Run) -> Run:
@@ -35,7 +37,7 @@ def query(name: str, views: str = "", sql: str | None = None) -> Callable[[Run],
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
-        CATALOG[name] = Query(name, run, None if sql is None else compose(views.split(), sql))
+        CATALOG[name] = Query(name, run, None if sql is None else compose(views.split(), sql, replaced))
         return fn
 
     return register

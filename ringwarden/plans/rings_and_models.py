@@ -32,9 +32,12 @@ def shared_identifier_pairs(spark, folder):
     return graph.shared_identifier_links(views.payments(spark, folder)).select("kind", "value", "tx", "anchor")
 
 
-@query("ring_report", "report", """
+RING_REPORT_SQL = """
 SELECT 'RING_' || CASE WHEN k < 1000 THEN lpad(CAST(k AS VARCHAR), 3, '0') ELSE CAST(k AS VARCHAR) END || '_' || predicted_ring_type AS ring_id,
-  * EXCLUDE (k) FROM (SELECT *, row_number() OVER (ORDER BY component) AS k FROM report)""")
+  * EXCLUDE (k) FROM (SELECT *, row_number() OVER (ORDER BY component) AS k FROM report)"""
+
+
+@query("ring_report", "report", RING_REPORT_SQL)
 def ring_report(spark, folder):
     report = rings.ring_report(views.payments(spark, folder), views.risk_scores(spark, folder))
     return report.withColumn("total_exposure", F.col("total_exposure").cast("double"))
@@ -117,13 +120,18 @@ def post_detection_loss(spark, folder):
     return lost.select("component", "ring_id", F.col("prevented").cast("double").alias("prevented"))
 
 
-@query("ring_eval", "matches ringtime gt_members ptx", f"""
+RING_EVAL_VIEWS = "matches ringtime gt_members ptx"
+RING_EVAL_SQL = f"""
 SELECT (SELECT count(DISTINCT ring_id) FROM gt_members) AS total_true_rings, (SELECT count(*) FROM ringtime) AS detected_rings_count,
   count(DISTINCT m.ring_id) AS matched_true_rings,
   round(count(DISTINCT m.ring_id) * 1.0 / (SELECT count(DISTINCT ring_id) FROM gt_members), 4) AS ring_recall,
-  round(avg(greatest(0, t.detected_at - 86400)), 1) AS mean_ttfd_seconds,
+  round(avg(greatest(0, t.detected_at - s.started)), 1) AS mean_ttfd_seconds,
   (SELECT round(CAST(sum(lost) AS DOUBLE), 2) FROM ({_LOSS})) AS future_loss_prevented
-FROM matches m JOIN ringtime t ON t.component = m.component""")
+FROM matches m JOIN ringtime t ON t.component = m.component
+JOIN (SELECT ring_id, min(start_timestamp) AS started FROM gt_members GROUP BY 1) s ON s.ring_id = m.ring_id"""
+
+
+@query("ring_eval", RING_EVAL_VIEWS, RING_EVAL_SQL)
 def ring_eval(spark, folder):
     payments, truth = views.payments(spark, folder), views.true_ring_members(spark, folder)
     clustered = _clustered(spark, folder)
@@ -406,7 +414,7 @@ def calibration_lift(spark, folder):
 # --- drift -------------------------------------------------------------------------------------
 
 
-def _psi_sql(columns, source, is_ref):
+def psi_sql(columns, source, is_ref):
     parts = []
     for name in columns:
         parts.append(f"""SELECT '{name}' AS feature, sum((c - r) * ln(c / r)) AS psi FROM (
@@ -424,7 +432,7 @@ def histogram_equal_width(spark, folder):
     return drift.histogram_equal_width(scored_of(spark, folder), "y_prob")
 
 
-@query("psi_single", "scored", f"SELECT round(psi, 6) AS psi FROM ({_psi_sql(['y_prob'], 'scored', 'id % 3 = 0')})")
+@query("psi_single", "scored", f"SELECT round(psi, 6) AS psi FROM ({psi_sql(['y_prob'], 'scored', 'id % 3 = 0')})")
 def psi_single(spark, folder):
     scored = scored_of(spark, folder)
     return rounded(drift.psi_single(scored.where("id % 3 = 0"), scored.where("id % 3 <> 0"), "y_prob"), "psi")
@@ -442,7 +450,7 @@ def _by_time(spark, folder):
     return known.where("last_step <= 700"), known.where("last_step > 700")
 
 
-@query("psi_features", "fm gnodes txn", f"SELECT feature, round(psi, 6) AS psi FROM ({_psi_sql(FEATURES, _DRIFT_SOURCE, _EARLY)})")
+@query("psi_features", "fm gnodes txn", f"SELECT feature, round(psi, 6) AS psi FROM ({psi_sql(FEATURES, _DRIFT_SOURCE, _EARLY)})")
 def psi_features(spark, folder):
     early, late = _by_time(spark, folder)
     return rounded(drift.psi_features(early, late, FEATURES), "psi")
@@ -453,7 +461,7 @@ _REPORT_COLUMNS = ("y_score", "total_sent_log", "tx_count_out", "degree_ratio",
 
 @query("drift_report", "fm gnodes txn", f"""
 WITH src AS MATERIALIZED (SELECT *, greatest(0, balance_drain_ratio) AS y_score FROM {_DRIFT_SOURCE}),
-p AS MATERIALIZED ({_psi_sql(_REPORT_COLUMNS, 'src', _EARLY)})
+p AS MATERIALIZED ({psi_sql(_REPORT_COLUMNS, 'src', _EARLY)})
 SELECT feature, round(psi, 6) AS psi, CASE WHEN psi >= 0.20 THEN 'DRIFTED' WHEN psi >= 0.10 THEN 'WARNED' ELSE 'STABLE' END AS status,
   (SELECT max(psi) >= 0.20 FROM p) AS has_drift FROM p""")
 def drift_report(spark, folder):
@@ -462,7 +470,7 @@ def drift_report(spark, folder):
 
 
 @query("batch_score_summary", "scored risk_scores", f"""
-WITH p AS ({_psi_sql(['y_prob'], 'scored', 'id % 2 = 0')})
+WITH p AS ({psi_sql(['y_prob'], 'scored', 'id % 2 = 0')})
 SELECT count(*) AS total_accounts, count(*) FILTER (WHERE y_prob >= 0.42) AS flagged_accounts,
   round(count(*) FILTER (WHERE y_prob >= 0.42) * 1.0 / count(*), 6) AS flag_rate, count(*) FILTER (WHERE id % 5 <> 4) AS cache_hits,
   (SELECT round(psi, 6) FROM p) AS drift_psi, (SELECT psi >= 0.2 FROM p) AS drift_alert FROM scored WHERE id % 2 <> 0""")

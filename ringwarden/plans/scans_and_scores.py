@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import ATTRIBUTION_TERMS, EDGE_PAYLOAD_FIELDS, FEATURES, MERCHANT_CATEGORIES, PAYMENT_METHODS, UNIT_INTERVAL_FEATURES
 from ..functions import explain, probability, scoring, transaction, vectors
 from ..functions.scoring import feature_columns
-from ..operators import audit, features, plant, propagate, snapshots, temporal
+from ..operators import audit, features, plant, propagate, review, snapshots
 from ..session import scratch_path
 from ..sources import files, views
 from .inputs import matrix, r, rounded, scored_accounts
@@ -515,13 +515,32 @@ FROM (SELECT *, CASE WHEN {stop} ELSE 5 END AS stop FROM acct {joins}) a"""
 
 @query("counterfactual", "acct", _cf_sql())
 def counterfactual(spark, folder):
-    rows = scored_accounts(spark, folder).select("account_id", explain.counterfactual(feature_columns(), F.col("prob")).alias("c"))
+    rows = review.with_counterfactual(scored_accounts(spark, folder), name="c")
     return rows.select(
         "account_id", "c.is_flagged", r("c.counterfactual_probability", 4).alias("counterfactual_probability"),
         F.size("c.changes_required").alias("n_changes"),
     )
 
 
+@query("account_review", "ringed risk_scores", """
+WITH b AS (SELECT r.* REPLACE (CASE WHEN score IS NOT NULL THEN 0.5 * prob + 0.5 * score ELSE prob END AS prob), score
+  FROM ringed r LEFT JOIN risk_scores ON customer_id = 'c' || substr(account_id, 2))
+SELECT account_id, round(prob, 6) AS fraud_probability, prob >= 0.42 AS is_flagged,
+  CASE WHEN prob >= 0.80 THEN 'CRITICAL' WHEN prob >= 0.50 THEN 'HIGH' WHEN prob >= 0.20 THEN 'MEDIUM' ELSE 'LOW' END AS risk_tier,
+  score IS NOT NULL AS cache_hit, score AS nearline_score, CASE WHEN prob >= 0.42 THEN 350.0 ELSE 0.0 END AS expected_cost,
+  prob > 0.35 AS needs_change, greatest(0.01, least(0.99, round(1 / (1 + exp(-(-2.5 + 3.0 * balance_drain_ratio + 0.15 * degree_ratio))), 4))) AS promo_abuse_risk,
+  0.0083 AS theoretical_bayes_threshold FROM b""")
+def account_review(spark, folder):
+    """The whole review record; its flat fields are compared, nested ones have own queries."""
+    nearline = views.risk_scores(spark, folder).select(
+        F.concat(F.lit("C"), F.substring("customer_id", 2, 20)).alias("account_id"), "score"
+    )
+    return review.review_accounts(matrix(spark, folder), nearline).select(
+        "account_id", "fraud_probability", "is_flagged", "risk_tier", "cache_hit", "nearline_score", "expected_cost",
+        F.col("counterfactual.is_flagged").alias("needs_change"), "sub_risks.promo_abuse_risk", "theoretical_bayes_threshold",
+    )
+
+
 # --- probability and vectors ----------------------------------------------------------------------
 
 

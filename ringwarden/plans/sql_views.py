@@ -295,8 +295,12 @@ def _ordered(names: list[str]) -> list[str]:
     return seen
 
 
-def compose(views: list[str], body: str) -> str:
-    """``body`` with the views it needs in front as common table expressions."""
+def compose(views: list[str], body: str, replaced: dict[str, str] | None = None) -> str:
+    """``body`` with the views it needs in front as common table expressions.
+
+    ``replaced`` gives another text for a view; ``{original}`` in it is the usual one.
+    """
+    texts = VIEWS | {k: v.replace("{original}", VIEWS[k]) for k, v in (replaced or {}).items()}
     names = _ordered(views)
     text = body.strip()
     if not names:
@@ -304,7 +308,7 @@ def compose(views: list[str], body: str) -> str:
     parts = []
     for name in names:
         keyword = "" if name in _RECURSIVE else "MATERIALIZED "
-        parts.append(f"{name} AS {keyword}({VIEWS[name].strip()})")
+        parts.append(f"{name} AS {keyword}({texts[name].strip()})")
     own = re.match(r"(?is)with\s+(?:recursive\s+)?", text)
     rest = ", " + text[own.end():] if own else "\n" + text
     return "WITH RECURSIVE " + ",\n".join(parts) + rest

@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     # split a hot join key even when that costs one more exchange downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # merge the sessions of a busy key in each task before the shuffle
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

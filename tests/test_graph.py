@@ -180,3 +180,9 @@ def test_topk_cap_keeps_the_latest(spark):
     df = spark.createDataFrame(rows, "relation string, node string, tx string, timestamp double, amount double")
     got = graph.neighbor_topk_cap(df, node="node").groupBy("relation").agg(F.count("*").alias("n"), F.min("timestamp").alias("t"))
     assert {r.relation: (r.n, r.t) for r in got.collect()} == {"FROM_IP": (4, 6.0), "OTHER": (12, 1.0)}
+
+
+def test_core_numbers_with_a_hub_in_slices(spark):
+    rows = [("hub", f"n{i}") for i in range(40)] + [(f"n{i}", f"n{i + 1}") for i in range(39)]
+    df = spark.createDataFrame(rows, "src string, dst string")
+    assert by_id(graph.k_core(df, rows_per_slice=6), "k_core_number") == plain_core(rows)

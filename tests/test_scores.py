@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ringwarden.constants import FEATURES
 from ringwarden.functions import explain, probability, scoring, transaction, vectors
 from ringwarden.functions.scoring import feature_columns
+from ringwarden.operators import review
 
 EXAMPLE = dict(
     account_id="acc_promo_8841", total_sent_log=12.5, total_received_log=10.2, tx_count_out=45.0, tx_count_in=3.0, unique_dest_count=40.0,
@@ -47,7 +48,7 @@ def test_sub_risks_and_cost(accounts):
 
 
 def test_counterfactual(accounts):
-    got = rows(accounts.select("account_id", explain.counterfactual(feature_columns(), F.col("p")).alias("c")))
+    got = rows(review.with_counterfactual(accounts, prob="p", name="c"))
     bad = got["acc_promo_8841"].c
     assert bad.is_flagged and bad.reaches_target
     assert bad.counterfactual_probability == pytest.approx(0.3467)
@@ -138,3 +139,18 @@ def test_vectors(spark):
     assert one(spark, vectors.l2_normalize(a)) == pytest.approx([0.6, 0.8])
     assert one(spark, vectors.l2_normalize(vectors.zeros(2))) == [0.0, 0.0]
     assert one(spark, vectors.cosine_similarity(a, b)) == pytest.approx(0.96)
+
+
+def test_review_record(spark, accounts):
+    near = spark.createDataFrame([("clean", 0.9)], "account_id string, score double")
+    got = rows(review.review_accounts(accounts.drop("p"), near))
+    bad, good = got["acc_promo_8841"], got["clean"]
+    assert (bad.fraud_probability, bad.risk_tier, bad.cache_hit, bad.expected_cost) == (pytest.approx(0.784695), "HIGH", False, 350.0)
+    assert good.cache_hit and good.fraud_probability == pytest.approx(0.455) and good.recommended_action.startswith("Queue for")
+    assert bad.human_confirmation_required and len(bad.top_contributing_features) == 4
+    assert bad.theoretical_bayes_threshold == 0.0083 and bad.counterfactual.reaches_target
+
+
+def test_counterfactual_takes_any_score(accounts):
+    stubborn = rows(review.with_counterfactual(accounts, prob="p", score=lambda f: F.lit(0.9), name="c"))["acc_promo_8841"].c
+    assert len(stubborn.changes_required) == 5 and not stubborn.reaches_target and stubborn.counterfactual_probability == 0.9
