@@ -11,7 +11,7 @@ from ..constants import FEATURES, FRAUD_TYPES, NIGHT_LAST_STEP, TABULAR_FEATURES
 from ..functions import transaction as tx
 from .ordered import Ascending, global_rank
 
-MONEY = "decimal(38,2)"
+MONEY = "decimal(18,2)"
 
 
 def fraud_type_filter(df: DataFrame, enabled: bool = True) -> DataFrame:
@@ -95,19 +95,21 @@ def tabular_features(df: DataFrame, hour_of_day: bool = False) -> DataFrame:
     return joined.select("account_id", *TABULAR_FEATURES).na.fill(0.0, list(TABULAR_FEATURES))
 
 
-def temporal_features(df: DataFrame, day: int = 24, week: int = 168) -> DataFrame:
-    """Sender counts and volumes near the table's last step."""
-    last = df.agg(F.max("step")).scalar()
+def temporal_features(df: DataFrame, day: int = 24, week: int = 168, as_of: int | None = None) -> DataFrame:
+    """Sender counts and volumes near the table's last step.
+
+    A known ``as_of`` step saves the pass that finds the last one.
+    """
+    last = df.agg(F.max("step")).scalar() if as_of is None else F.lit(as_of)
     marked = df.withColumn("_last", last)
 
     def recent(width, value):
         return F.when(F.col("step") >= F.col("_last") - width, value)
 
     money = F.col("amount").cast(MONEY)
-    zero = F.lit(0).cast(MONEY)
 
     def volume(width):
-        return F.log1p(F.coalesce(F.sum(recent(width, money)), zero).cast("double"))
+        return F.log1p(F.coalesce(F.sum(recent(width, money)).cast("double"), F.lit(0.0)))
 
     sums = marked.groupBy(F.col("nameOrig").alias("account_id")).agg(
         F.count(recent(day, F.lit(1))).cast("double").alias("tx_velocity_24h"),

@@ -97,7 +97,7 @@ def ring_volume(truth: DataFrame, rows: DataFrame) -> DataFrame:
     """Number of known rings and the volume their members moved."""
     members = truth.select("customer_id").distinct()
     volume = rows.join(members, "customer_id", "left_semi").agg(
-        F.coalesce(F.sum(F.col("amount").cast("decimal(38,2)")), F.lit(0)).cast("decimal(38,2)")
+        F.coalesce(F.sum(F.col("amount").cast("decimal(18,2)")), F.lit(0)).cast("decimal(28,2)")
     ).scalar()
     return truth.agg(F.countDistinct("ring_id").alias("total_rings")).select(
         "total_rings", volume.alias("total_fraud_volume")

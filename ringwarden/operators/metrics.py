@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..constants import COST_FALSE_NEGATIVE, COST_FALSE_POSITIVE, FLAG_THRESHOLD
 from .ordered import Descending, linear_quantiles, running_totals
 
-MONEY = "decimal(38,2)"
+MONEY = "decimal(18,2)"
 
 
 def one_row(df: DataFrame) -> Column:
@@ -207,9 +207,7 @@ def dollar_capture(df: DataFrame, k: int = 100) -> DataFrame:
     """Share of all fraud money that the top K alerts hold."""
     def money(frame):
         return frame.agg(
-            F.coalesce(
-                F.sum(F.when(F.col("y_true") == 1, F.col("amount").cast(MONEY))), F.lit(0).cast(MONEY)
-            ).cast("double")
+            F.coalesce(F.sum(F.when(F.col("y_true") == 1, F.col("amount").cast(MONEY))).cast("double"), F.lit(0.0))
         )
 
     total = money(df).scalar()

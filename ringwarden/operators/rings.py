@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_SCORE
-from ..session import cut_lineage
+from ..session import store
 from .graph import linked_components
 from .ordered import Ascending, global_rank
 
-MONEY = "decimal(38,2)"
+MONEY = "decimal(18,2)"
 # entity kind -> payment column
 ENTITY_COLUMNS = {
     "member": "customer_id",
@@ -109,7 +109,7 @@ def ring_timing(clustered: DataFrame) -> DataFrame:
     at = F.coalesce(F.col("timestamp").cast("double"), F.lit(0.0))
     grouped = clustered.groupBy("component").agg(
         F.count(F.lit(1)).alias("transaction_count"),
-        F.coalesce(F.sum(F.col("amount").cast(MONEY)), F.lit(0)).cast("decimal(38,2)").alias("total_exposure"),
+        F.coalesce(F.sum(F.col("amount").cast(MONEY)), F.lit(0)).cast("decimal(28,2)").alias("total_exposure"),
         F.min(at).alias("detected_at"),
         F.max(at).alias("last_at"),
         F.max(F.coalesce(F.col("rto_flag") != 0, F.lit(False))).alias("any_rto"),
@@ -136,7 +136,7 @@ def ring_report(
 
     ``min_concentration`` drops rings whose mean member score is lower; off by default.
     """
-    clustered = cut_lineage(ring_payments(payments, **linking))
+    clustered = store(ring_payments(payments, **linking), "ring-payments")
     return report_from(clustered, ring_entities(clustered), scores, min_concentration=min_concentration)
 
 
@@ -190,7 +190,7 @@ def _padded(number: Column) -> Column:
 def ring_summary(report: DataFrame) -> DataFrame:
     return report.agg(
         F.count(F.lit(1)).alias("total_rings"),
-        F.coalesce(F.sum("total_exposure"), F.lit(0)).cast("decimal(38,2)").alias("total_exposure"),
+        F.coalesce(F.sum("total_exposure"), F.lit(0)).cast("decimal(28,2)").alias("total_exposure"),
     )
 
 
@@ -241,7 +241,7 @@ def post_detection_loss(matches: DataFrame, truth: DataFrame, events: DataFrame)
         suspects.join(paid, "customer_id")
         .where(F.col("paid_at") >= F.col("detected_at"))
         .groupBy("component", "ring_id")
-        .agg(F.sum("paid").cast("decimal(38,2)").alias("prevented"))
+        .agg(F.sum("paid").cast("decimal(28,2)").alias("prevented"))
     )
     return matches.join(lost, ["component", "ring_id"], "left").na.fill(0, ["prevented"])
 
@@ -256,7 +256,7 @@ def ring_eval(report: DataFrame, members: DataFrame, truth: DataFrame, events: D
     totals = pairs.agg(
         F.countDistinct("ring_id").alias("matched_true_rings"),
         F.coalesce(F.avg("delay"), F.lit(0.0)).alias("delay"),
-        F.coalesce(F.sum("prevented"), F.lit(0)).cast("decimal(38,2)").alias("future_loss_prevented"),
+        F.coalesce(F.sum("prevented"), F.lit(0)).cast("decimal(28,2)").alias("future_loss_prevented"),
     )
     n_true = truth.agg(F.countDistinct("ring_id")).scalar()
     n_detected = report.agg(F.count(F.lit(1))).scalar()

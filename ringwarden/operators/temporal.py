@@ -19,7 +19,8 @@ from .ordered import (
 )
 
 MICROS = 1_000_000
-MONEY = "decimal(38,2)"
+MONEY = "decimal(18,2)"
+MONEY_SUM = "decimal(28,2)"
 
 
 def trailing_totals(
@@ -52,16 +53,16 @@ def _framed_totals(df, key, ts_us, windows, amount):
         frame = by_time.rangeBetween(-(width * MICROS) + 1, 0)
         columns.append(F.count(F.lit(1)).over(frame).alias(f"count_{suffix}"))
         if amount:
-            columns.append(F.sum(F.col(amount).cast(MONEY)).over(frame).cast(MONEY).alias(f"sum_{suffix}"))
+            columns.append(F.sum(F.col(amount).cast(MONEY)).over(frame).cast(MONEY_SUM).alias(f"sum_{suffix}"))
     return df.select("*", *columns)
 
 
 def _swept_totals(df, key, ts_us, windows, amount):
     """Each event adds at its time and subtracts when it leaves a window."""
-    zero_money = F.lit(0).cast(MONEY)
+    zero_money = F.lit(0).cast(MONEY_SUM)
     per_time = df.groupBy(key, ts_us).agg(
         F.count(F.lit(1)).alias("_c"),
-        (F.sum(F.col(amount).cast(MONEY)).cast(MONEY) if amount else zero_money).alias("_s"),
+        (F.sum(F.col(amount).cast(MONEY)).cast(MONEY_SUM) if amount else zero_money).alias("_s"),
     )
 
     def moves(at, entering: bool, leaving_suffix: str | None):
@@ -70,7 +71,7 @@ def _swept_totals(df, key, ts_us, windows, amount):
             live = entering or suffix == leaving_suffix
             sign = F.lit(1 if entering else -1)
             columns.append((F.col("_c") * sign if live else F.lit(0)).cast("bigint").alias(f"_c_{suffix}"))
-            columns.append((F.col("_s") * sign if live else zero_money).cast(MONEY).alias(f"_s_{suffix}"))
+            columns.append((F.col("_s") * sign if live else zero_money).cast(MONEY_SUM).alias(f"_s_{suffix}"))
         return per_time.select(*columns)
 
     steps = [moves(F.col(ts_us), True, None)]
@@ -78,7 +79,7 @@ def _swept_totals(df, key, ts_us, windows, amount):
     swept = reduce(DataFrame.unionByName, steps)
     grouped = swept.groupBy(key, "_at", "_phase").agg(
         *[F.sum(f"_c_{s}").alias(f"_c_{s}") for s in windows],
-        *[F.sum(f"_s_{s}").cast(MONEY).alias(f"_s_{s}") for s in windows],
+        *[F.sum(f"_s_{s}").cast(MONEY_SUM).alias(f"_s_{s}") for s in windows],
     )
     sums = {f"count_{s}": f"_c_{s}" for s in windows}
     if amount:
@@ -87,7 +88,7 @@ def _swept_totals(df, key, ts_us, windows, amount):
     arrivals = totals.where("_phase = 1").select(
         F.col(key).alias("_key"),
         F.col("_at").alias("_time"),
-        *[F.col(c).cast(MONEY).alias(c) if c.startswith("sum_") else F.col(c) for c in sums],
+        *[F.col(c).cast(MONEY_SUM).alias(c) if c.startswith("sum_") else F.col(c) for c in sums],
     )
     match = F.col(key).eqNullSafe(F.col("_key")) & (F.col(ts_us) == F.col("_time"))
     ordered = [f"{p}_{s}" for s in windows for p in (("count", "sum") if amount else ("count",))]
@@ -288,10 +289,10 @@ def rapid_passthrough(
     meets the ``within + 1`` receiving steps it can belong to. No in x out pairs.
     """
     received = df.groupBy(F.col(account_in).alias("account_id"), F.col(step).alias("in_step")).agg(
-        F.sum(F.col(amount).cast(MONEY)).cast(MONEY).alias("amount_in"), F.count(F.lit(1)).alias("tx_in")
+        F.sum(F.col(amount).cast(MONEY)).cast(MONEY_SUM).alias("amount_in"), F.count(F.lit(1)).alias("tx_in")
     )
     sent = df.groupBy(F.col(account_out).alias("account_id"), F.col(step).alias("out_step")).agg(
-        F.sum(F.col(amount).cast(MONEY)).cast(MONEY).alias("amount_out"), F.count(F.lit(1)).alias("tx_out")
+        F.sum(F.col(amount).cast(MONEY)).cast(MONEY_SUM).alias("amount_out"), F.count(F.lit(1)).alias("tx_out")
     )
     reachable = sent.select(
         "account_id",
@@ -299,7 +300,7 @@ def rapid_passthrough(
         "amount_out",
         "tx_out",
     ).groupBy("account_id", "in_step").agg(
-        F.sum("amount_out").cast(MONEY).alias("amount_out"), F.sum("tx_out").alias("tx_out")
+        F.sum("amount_out").cast(MONEY_SUM).alias("amount_out"), F.sum("tx_out").alias("tx_out")
     )
     return received.join(reachable, ["account_id", "in_step"]).withColumn(
         "passthrough_ratio", F.col("amount_out").cast("double") / F.col("amount_in").cast("double")

@@ -9,7 +9,7 @@ from ..functions.scoring import champion_score, feature_columns, ring_type
 from ..operators import features as feat
 from ..operators import graph
 from ..operators.temporal import temporal_split
-from ..session import cut_lineage, shared_folder
+from ..session import cut_lineage, shared_folder, store
 from ..sources import views
 from ..sources.files import feature_cache
 from .sql_views import PAGERANK_ROUNDS
@@ -27,12 +27,17 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 def account_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Collapsed edges of the two fraud types, written once for the loops that reuse them."""
-    return cut_lineage(graph.edge_collapse(feat.fraud_type_filter(views.transactions(spark, folder))))
+    return _edges_of(views.transactions(spark, folder))
+
+
+def _edges_of(txn: DataFrame) -> DataFrame:
+    return store(graph.edge_collapse(feat.fraud_type_filter(txn)), "edges")
 
 
 def build_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    txn = views.transactions(spark, folder)
-    edges = account_edges(spark, folder)
+    # four steps read the transactions, each another few columns
+    txn = store(views.transactions(spark, folder), "transactions")
+    edges = _edges_of(txn)
     nodes = graph.edge_nodes(edges).withColumnRenamed("id", "account_id")
     structural = graph.structural_features(edges, max_iter=PAGERANK_ROUNDS, tol=None)
     return feat.feature_matrix(nodes, feat.tabular_features(txn), structural, feat.temporal_features(txn))

@@ -336,9 +336,9 @@ def stream_dedupe(spark, folder):
 
 @query("stream_audit", "ev", """
 SELECT 'C' || user_id AS account_id, 'CONFIRMED_FLAG' AS decision, 'analyst_' || (event_id % 5) AS analyst_id, value / 600 AS risk_score,
-  strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp FROM ev WHERE event_type = 'error'""")
+  strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp FROM ev""")
 def stream_audit(spark, folder):
-    requests = _stream(spark, folder).where("event_type = 'error'").select(
+    requests = _stream(spark, folder).select(
         F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("account_id"), F.lit("CONFIRMED_FLAG").alias("decision"),
         F.concat(F.lit("analyst_"), (F.col("event_id") % 5).cast("string")).alias("analyst_id"), (F.col("value") / 600).alias("risk_score"),
         F.lit(None).cast("string").alias("notes"), F.lit("Flagged").alias("action_taken"), F.col("ts").alias("requested_at"),

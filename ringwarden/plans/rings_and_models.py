@@ -8,7 +8,7 @@ from ..constants import FEATURES, TABULAR_FEATURES
 from ..functions import scoring
 from ..functions.scoring import feature_columns
 from ..operators import calibration, drift, graph, learn, metrics, rings
-from ..session import cut_lineage
+from ..session import cut_lineage, store
 from ..sources import views
 from .inputs import account_edges, labelled_matrix, matrix, r, rounded
 from .registry import query
@@ -17,7 +17,7 @@ from .registry import query
 
 
 def _clustered(spark, folder):
-    return cut_lineage(rings.ring_payments(views.payments(spark, folder)))
+    return store(rings.ring_payments(views.payments(spark, folder)), "ring-payments")
 
 
 @query("identifier_components", "ptx comp", """

@@ -124,11 +124,9 @@ def score_snapshot_upsert(spark, folder):
 @query("score_lookup_ttl", "score_log ev", f"""
 SELECT event_id, CASE WHEN s.expire_us IS NOT NULL AND ts_us < s.expire_us THEN s.score END AS score,
   coalesce(ts_us < s.expire_us, FALSE) AS cache_hit
-FROM ev LEFT JOIN ({_SNAPSHOT_SQL}) s ON s.account_id = ev.user_id WHERE event_type = 'purchase'""")
+FROM ev LEFT JOIN ({_SNAPSHOT_SQL}) s ON s.account_id = ev.user_id""")
 def score_lookup_ttl(spark, folder):
-    requests = views.events(spark, folder).where("event_type = 'purchase'").select(
-        "event_id", F.col("user_id").alias("account_id"), "ts_us"
-    )
+    requests = views.events(spark, folder).select("event_id", F.col("user_id").alias("account_id"), "ts_us")
     found = snapshots.lookup_ttl(requests, _score_snapshot(spark, folder), key="account_id", value="score", now_us=F.col("ts_us"))
     return found.select("event_id", "score", "cache_hit")
 

@@ -72,5 +72,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    For results that several later steps read in part: unlike checkpointed rows,
+    the table keeps column pruning, filter pushdown and a known size.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

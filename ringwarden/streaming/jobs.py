@@ -24,7 +24,7 @@ from ..session import scratch_path
 from ..sources.views import shape_events
 
 WATERMARK = "24 hours"
-MONEY = "decimal(38,2)"
+MONEY = "decimal(28,2)"
 
 
 # --- sources and sinks ------------------------------------------------------------------
@@ -88,26 +88,35 @@ def sliding_velocity(events: DataFrame, *, key: str = "user_id", amount: str = "
     )
 
 
-def with_recent_history(batch: DataFrame, batch_id: int, folder: str, *, ts_us: str, keep_sec: int) -> DataFrame:
-    """This batch plus stored rows that can still fall into its windows; stores the batch.
-
-    Rows are stored by hour, so the read touches only the hours a window needs.
-    """
-    spark = batch.sparkSession
-    hour = F.floor(F.col(ts_us) / (3600 * MICROS)).cast("bigint")
-    batch.withColumn("hour", hour).write.mode("overwrite").partitionBy("hour").parquet(
-        f"{folder}/history/batch={batch_id}"
+def keep_history(batch: DataFrame, batch_id: int, folder: str, *, hour) -> None:
+    """Store a batch in hour folders; running the batch again replaces its own files only."""
+    stored = batch.withColumn("hour", hour.cast("bigint")).withColumn("batch", F.lit(batch_id))
+    stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(
+        f"{folder}/history"
     )
-    stored = read_batches(spark, folder, "history")
-    current = stored.where(F.col("batch") == batch_id)
-    span = current.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi")).first()
+
+
+def read_history(spark: SparkSession, folder: str, first_hour: int, last_hour: int) -> DataFrame:
+    """Stored rows of an hour range; only the folders of those hours are opened."""
+    base = f"{folder}/history"
+    reader = spark.read.option("basePath", base)
+    if last_hour - first_hour > 2000:
+        return reader.parquet(base).where(F.col("hour").between(first_hour, last_hour))
+    hours = ",".join(str(h) for h in range(first_hour, last_hour + 1))
+    return reader.parquet(f"{base}/hour={{{hours}}}")
+
+
+def with_recent_history(batch: DataFrame, batch_id: int, folder: str, *, ts_us: str, keep_sec: int) -> DataFrame:
+    """This batch plus stored rows that can still fall into its windows; stores the batch."""
+    hour = F.floor(F.col(ts_us) / (3600 * MICROS))
+    keep_history(batch, batch_id, folder, hour=hour)
+    span = batch.agg(F.min(hour).alias("lo"), F.max(hour).alias("hi")).first()
     if span["lo"] is None:
         return batch.withColumn("is_new", F.lit(True))
     reach = keep_sec // 3600 + 1
-    nearby = stored.where(
-        (F.col("batch") <= batch_id) & F.col("hour").between(span["lo"] - reach, span["hi"] + reach)
-    )
-    return nearby.withColumn("is_new", F.col("batch") == batch_id).drop("batch", "hour")
+    nearby = read_history(batch.sparkSession, folder, span["lo"] - reach, span["hi"] + reach)
+    known = nearby.where(F.col("batch") <= batch_id)
+    return known.withColumn("is_new", F.col("batch") == batch_id).drop("batch", "hour")
 
 
 def exact_velocity(events: DataFrame, *, key: str = "user_id", amount: str = "value", ts_us: str = "ts_us", window_sec: int = 86_400) -> DataFrame:
@@ -219,11 +228,17 @@ def ring_alerts(payments: DataFrame, scores: DataFrame, *, window_sec: int = 86_
 
     def step(batch: DataFrame, batch_id: int, folder: str) -> None:
         spark = batch.sparkSession
-        _write_batch(batch, folder, "history", batch_id)
-        stored = read_batches(spark, folder, "history").where(F.col("batch") <= batch_id)
-        newest = stored.agg(F.max("timestamp")).scalar()
-        recent = stored.where(F.col("timestamp") > newest - window_sec).drop("batch")
-        _write_batch(ring_report(recent, scores), folder, "out", batch_id)
+        keep_history(batch, batch_id, folder, hour=F.floor(F.col("timestamp") / 3600))
+        # one row per batch: how far the feed has come
+        _write_batch(batch.agg(F.max("timestamp").alias("newest")), folder, "marks", batch_id)
+        newest = read_batches(spark, folder, "marks").where(F.col("batch") <= batch_id).agg(F.max("newest").alias("t")).first()["t"]
+        if newest is None:
+            return
+        hours = (int((newest - window_sec) // 3600), int(newest // 3600))
+        recent = read_history(spark, folder, *hours).where(
+            (F.col("batch") <= batch_id) & (F.col("timestamp") > newest - window_sec)
+        )
+        _write_batch(ring_report(recent.drop("batch", "hour"), scores), folder, "out", batch_id)
 
     folder = run_batches(payments, step, label="rings")
     return read_batches(payments.sparkSession, folder, "out")

@@ -42,6 +42,30 @@ def test_rate_limit_counts_over_batches(spark, late_feed):
     assert got.where("is_limited != (requests > 2)").count() == 0
 
 
+def test_ring_alerts_forget_old_payments(spark, tmp_path):
+    from test_rings import payment
+
+    from ringwarden.schemas import PAYMENT
+
+    day = 86_400
+    first = [payment("a1", "c1", 1, 0, device_id="x"), payment("a2", "c2", 1, 5, device_id="x")]
+    second = [payment("b1", "c3", 1, 10 * day, ip_id="y"), payment("b2", "c4", 1, 10 * day + 5, ip_id="y"), payment("b3", "c1", 1, 10 * day, device_id="x")]
+    for i, rows_ in enumerate((first, second)):
+        spark.createDataFrame(rows_, PAYMENT).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    stream = spark.readStream.schema(PAYMENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    scores = spark.createDataFrame([("c1", 0.9)], "customer_id string, score double")
+    got = jobs.ring_alerts(stream, scores, window_sec=day).select("batch", "component", "transaction_count")
+    assert {tuple(r) for r in got.collect()} == {(0, "a1", 2), (1, "b1", 2)}
+
+
+def test_score_and_nearline_streams(spark, folder, late_feed):
+    stream = jobs.event_stream(spark, late_feed, files="*.parquet", max_files=1)
+    writes = stream.select(F.col("user_id").alias("account_id"), F.col("ts").alias("written_at"), (F.col("value") / 1000).alias("score"))
+    table = jobs.nearline_table(writes)
+    newest = views.events(spark, folder).groupBy("user_id").agg(F.max("ts_us").alias("t"))
+    assert rows(table.select("account_id", "written_us")) == rows(newest)
+
+
 def test_dedupe(spark, late_feed):
     stream = jobs.event_stream(spark, late_feed, files="*.parquet").union(jobs.event_stream(spark, late_feed, files="*.parquet"))
     kept = jobs.run_to_table(jobs.dedupe(stream, keys=["user_id", "ts_us", "value"]))
