@@ -585,7 +585,32 @@ def shard_stratified(spark, folder):
     return learn.shard_stratified(labels, id_column="account_id", label="label")
 
 
-@query("federated_average")
+def _federated_sql(rounds=10, rate=0.5, l2=1e-4):
+    n = len(TABULAR_FEATURES)
+    ctes = [
+        """sh AS MATERIALIZED (SELECT fm.*, label, (row_number() OVER (PARTITION BY label ORDER BY md5(fm.account_id || '|42'), fm.account_id) - 1) % 3 AS shard
+          FROM fm JOIN labels_of USING (account_id))""",
+        f"lg AS MATERIALIZED (SELECT account_id, shard, label, unnest(range({n})) AS j, unnest([{', '.join(TABULAR_FEATURES)}]) AS v FROM sh)",
+        "ms AS (SELECT shard, j, avg(v) AS m, stddev_pop(v) AS s FROM lg GROUP BY 1, 2)",
+        f"""x AS MATERIALIZED (SELECT account_id, shard, j, CASE WHEN s > 0 THEN (v - m) / s ELSE 0 END AS x FROM lg JOIN ms USING (shard, j)
+          UNION ALL SELECT account_id, shard, {n}, 1.0 FROM sh)""",
+        "sz AS MATERIALIZED (SELECT shard, count(*) AS n, sum(label) AS pos FROM sh GROUP BY 1)",
+        """yw AS MATERIALIZED (SELECT account_id, shard, label AS y, CASE WHEN label = 1 THEN n / (2.0 * greatest(pos, 1)) ELSE n / (2.0 * greatest(n - pos, 1)) END AS b
+          FROM sh JOIN sz USING (shard))""",
+        f"w0 AS (SELECT j, CAST(0 AS DOUBLE) AS w FROM range({n + 1}) g(j))",
+    ]
+    for i in range(1, rounds + 1):
+        ctes.append(f"""e{i} AS MATERIALIZED (SELECT x.account_id, (1 / (1 + exp(-sum(x * w))) - any_value(y)) * any_value(b) AS e
+          FROM x JOIN w{i - 1} USING (j) JOIN yw ON yw.account_id = x.account_id GROUP BY 1)""")
+        ctes.append(f"""w{i} AS MATERIALIZED (SELECT j, sum(n / (SELECT sum(n) FROM sz) * (w - {rate} * (g + {l2} * w))) AS w
+          FROM (SELECT shard, j, avg(e * x) AS g FROM x JOIN e{i} USING (account_id) GROUP BY 1, 2) JOIN w{i - 1} USING (j) JOIN sz USING (shard) GROUP BY j)""")
+    return f"""WITH {', '.join(ctes)}
+SELECT account_id, label, round(1 / (1 + exp(-(z + (SELECT w FROM w{rounds} WHERE j = {n})))), 6) AS y_prob FROM (
+  SELECT account_id, any_value(label) AS label, sum(w * CASE WHEN s > 0 THEN (v - m) / s ELSE 0 END) AS z
+  FROM lg JOIN (SELECT j, avg(v) AS m, stddev_pop(v) AS s FROM lg GROUP BY j) USING (j) JOIN w{rounds} USING (j) GROUP BY account_id)"""
+
+
+@query("federated_average", "fm labels_of", _federated_sql())
 def federated_average(spark, folder):
     """Global weights applied to every account."""
     base = cut_lineage(learn.shard_stratified(labelled_matrix(spark, folder), id_column="account_id", label="label"))

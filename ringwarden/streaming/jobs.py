@@ -88,35 +88,40 @@ def sliding_velocity(events: DataFrame, *, key: str = "user_id", amount: str = "
     )
 
 
-def keep_history(batch: DataFrame, batch_id: int, folder: str, *, hour) -> None:
-    """Store a batch in hour folders; running the batch again replaces its own files only."""
-    stored = batch.withColumn("hour", hour.cast("bigint")).withColumn("batch", F.lit(batch_id))
-    stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(
+def slot_width(keep_sec: int) -> int:
+    """Seconds per history folder: a window touches at most two, and folders stay few."""
+    return max(keep_sec, 6 * 3600)
+
+
+def keep_history(batch: DataFrame, batch_id: int, folder: str, *, slot) -> None:
+    """Store a batch in time-slot folders; running it again replaces its own files only."""
+    stored = batch.withColumn("slot", slot.cast("bigint")).withColumn("batch", F.lit(batch_id)).hint("rebalance", "slot")
+    stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "batch").parquet(
         f"{folder}/history"
     )
 
 
-def read_history(spark: SparkSession, folder: str, first_hour: int, last_hour: int) -> DataFrame:
-    """Stored rows of an hour range; only the folders of those hours are opened."""
+def read_history(spark: SparkSession, folder: str, first: int, last: int) -> DataFrame:
+    """Stored rows of a slot range; only the folders of those slots are opened."""
     base = f"{folder}/history"
     reader = spark.read.option("basePath", base)
-    if last_hour - first_hour > 2000:
-        return reader.parquet(base).where(F.col("hour").between(first_hour, last_hour))
-    hours = ",".join(str(h) for h in range(first_hour, last_hour + 1))
-    return reader.parquet(f"{base}/hour={{{hours}}}")
+    if last - first > 2000:
+        return reader.parquet(base).where(F.col("slot").between(first, last))
+    slots = ",".join(str(s) for s in range(first, last + 1))
+    return reader.parquet(f"{base}/slot={{{slots}}}")
 
 
 def with_recent_history(batch: DataFrame, batch_id: int, folder: str, *, ts_us: str, keep_sec: int) -> DataFrame:
     """This batch plus stored rows that can still fall into its windows; stores the batch."""
-    hour = F.floor(F.col(ts_us) / (3600 * MICROS))
-    keep_history(batch, batch_id, folder, hour=hour)
-    span = batch.agg(F.min(hour).alias("lo"), F.max(hour).alias("hi")).first()
-    if span["lo"] is None:
+    reach = keep_sec * MICROS
+    slot = F.floor(F.col(ts_us) / (slot_width(keep_sec) * MICROS))
+    keep_history(batch, batch_id, folder, slot=slot)
+    span = batch.agg(F.min(slot).alias("s0"), F.max(slot).alias("s1"), F.min(ts_us).alias("t0"), F.max(ts_us).alias("t1")).first()
+    if span["s0"] is None:
         return batch.withColumn("is_new", F.lit(True))
-    reach = keep_sec // 3600 + 1
-    nearby = read_history(batch.sparkSession, folder, span["lo"] - reach, span["hi"] + reach)
-    known = nearby.where(F.col("batch") <= batch_id)
-    return known.withColumn("is_new", F.col("batch") == batch_id).drop("batch", "hour")
+    nearby = read_history(batch.sparkSession, folder, span["s0"] - 1, span["s1"] + 1)
+    known = nearby.where((F.col("batch") <= batch_id) & F.col(ts_us).between(span["t0"] - reach, span["t1"]))
+    return known.withColumn("is_new", F.col("batch") == batch_id).drop("batch", "slot")
 
 
 def exact_velocity(events: DataFrame, *, key: str = "user_id", amount: str = "value", ts_us: str = "ts_us", window_sec: int = 86_400) -> DataFrame:
@@ -228,17 +233,17 @@ def ring_alerts(payments: DataFrame, scores: DataFrame, *, window_sec: int = 86_
 
     def step(batch: DataFrame, batch_id: int, folder: str) -> None:
         spark = batch.sparkSession
-        keep_history(batch, batch_id, folder, hour=F.floor(F.col("timestamp") / 3600))
+        width = slot_width(window_sec)
+        keep_history(batch, batch_id, folder, slot=F.floor(F.col("timestamp") / width))
         # one row per batch: how far the feed has come
         _write_batch(batch.agg(F.max("timestamp").alias("newest")), folder, "marks", batch_id)
         newest = read_batches(spark, folder, "marks").where(F.col("batch") <= batch_id).agg(F.max("newest").alias("t")).first()["t"]
         if newest is None:
             return
-        hours = (int((newest - window_sec) // 3600), int(newest // 3600))
-        recent = read_history(spark, folder, *hours).where(
+        recent = read_history(spark, folder, int((newest - window_sec) // width), int(newest // width)).where(
             (F.col("batch") <= batch_id) & (F.col("timestamp") > newest - window_sec)
         )
-        _write_batch(ring_report(recent.drop("batch", "hour"), scores), folder, "out", batch_id)
+        _write_batch(ring_report(recent.drop("batch", "slot"), scores), folder, "out", batch_id)
 
     folder = run_batches(payments, step, label="rings")
     return read_batches(payments.sparkSession, folder, "out")
