@@ -172,6 +172,10 @@ MERCHANT_CATEGORIES = (
 )
 # method, share of traffic
 PAYMENT_METHODS = (("upi", 0.68), ("card", 0.24), ("netbanking", 0.08))
+UPI_APPS = ("Google Pay", "PhonePe", "Paytm UPI", "CRED UPI", "BHIM UPI", "WhatsApp Pay")
+UPI_HANDLES = ("@okhdfcbank", "@okaxis", "@paytm", "@ybl", "@ibl", "@ptaxis", "@apl")
+BANKS = ("HDFC", "ICICI", "SBI", "Axis", "Kotak", "Punjab National Bank")
+CARD_NETWORKS = ("RuPay", "Visa", "Mastercard")
 
 AUDIT_COLUMNS = (
     "audit_id", "account_id", "decision", "analyst_id",

@@ -17,6 +17,7 @@ from ..constants import (
     COST_FALSE_POSITIVE,
     FEATURES,
     FLAG_THRESHOLD,
+    MAX_BATCH_ACCOUNTS,
     TIERS,
     UNBOUNDED_FEATURES,
     UNIT_INTERVAL_FEATURES,
@@ -218,6 +219,10 @@ def expected_review_cost(flagged: Column, cost: float = COST_FALSE_POSITIVE) ->
     return F.when(flagged, F.lit(cost)).otherwise(F.lit(0.0))
 
 
+def batch_size_ok(accounts: Column) -> Column:
+    return (accounts >= 1) & (accounts <= MAX_BATCH_ACCOUNTS)
+
+
 def violated_rules(f: Features) -> Column:
     """Names of the range rules a record breaks, in feature order; empty if valid."""
     checks = []

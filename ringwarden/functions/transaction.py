@@ -8,12 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import (
+    BANKS,
+    CARD_NETWORKS,
     EDGE_PAYLOAD_FIELDS,
     EMPTY_TOKEN,
     FRAUD_TYPES,
     HOURS_PER_DAY,
     TOKEN_SALT,
     TYPE_CODES,
+    UPI_APPS,
+    UPI_HANDLES,
 )
 
 
@@ -68,5 +72,30 @@ def entity_id(prefix: str, *key: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(digest, 1, 14))
 
 
+def hash_number(*parts: Column | str) -> Column:
+    """A number below 2^32 that depends only on the given key parts."""
+    text = F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def _pick(names: tuple[str, ...], label: str, key: Column) -> Column:
+    table = F.array(*[F.lit(n) for n in names])
+    return F.element_at(table, (hash_number(label, key) % len(names) + 1).cast("int"))
+
+
+def _four_digits(label: str, key: Column) -> Column:
+    return (hash_number(label, key) % 9000 + 1000).cast("string")
+
+
+def method_detail(method: Column, key: Column) -> Column:
+    """How a payment was made, as shown to a reviewer; picks follow from ``key``."""
+    upi = F.concat(
+        _pick(UPI_APPS, "app", key), F.lit(" (user_"), _four_digits("vpa", key), _pick(UPI_HANDLES, "handle", key), F.lit(")")
+    )
+    card = F.concat(_pick(CARD_NETWORKS, "network", key), F.lit(" •••• "), _four_digits("card", key))
+    bank = F.concat(F.lit("NetBanking ("), _pick(BANKS, "bank", key), F.lit(")"))
+    return F.when(method == "upi", upi).when(method == "card", card).otherwise(bank)
+
+
 def nan_to_zero(value: Column) -> Column:
     return F.coalesce(F.nanvl(value.cast("double"), F.lit(0.0)), F.lit(0.0))

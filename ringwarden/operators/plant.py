@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import FEATURES
+from ..functions.transaction import hash_number
 from .ordered import Ascending, global_rank
 
 
@@ -23,12 +24,6 @@ def numbered_anchors(spark: SparkSession, n_rings: int = 1, base_ts: int = 1_788
     return spark.range(n_rings).select(F.col("id").alias("anchor"), F.lit(base_ts).cast("bigint").alias("base_ts"))
 
 
-def hash_number(*parts: Column | str) -> Column:
-    """A number below 2^32 that depends only on the given key parts."""
-    text = F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-
-
 def hash_pick(n: int | Column, *parts: Column | str) -> Column:
     return hash_number(*parts) % n
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..constants import FEATURES, NEIGHBOR_CAPS, STRUCTURAL_FEATURES, TABULAR_FEATURES, TEMPORAL_FEATURES
 from ..functions import vectors as vec
-from ..functions.scoring import champion_score, feature_columns, risk_tier, ring_type
+from ..functions.scoring import risk_tier
 from ..operators import features, graph, hetero, metrics, propagate, temporal
 from ..sources import views
-from .inputs import account_edges, build_matrix, matrix, r, rounded, scored_accounts
+from .inputs import account_edges, build_matrix, r, rounded, scored_accounts
 from .registry import query
 from .sql_views import PAGERANK_ROUNDS
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.scoring import feature_columns
-from ..operators import drift, learn, metrics, plant, rings, snapshots, temporal
+from ..operators import learn, metrics, plant, rings, snapshots, temporal
 from ..session import cut_lineage, scratch_path
 from ..sources import files, views
 from ..streaming import jobs
@@ -147,8 +147,8 @@ def plant_event_wave(spark, folder):
 
 
 @query("plant_low_and_slow", "", """
-SELECT 'acc_evasion_' || s_suppkey || '_' || lpad(CAST(i AS VARCHAR), 3, '0') AS account_id, 20000.0 AS amount, round(ln(20001.0), 6) AS total_sent_log,
-  round(ln(22001.0), 6) AS total_received_log, 0.35 AS balance_drain_ratio, 0.04 AS local_clustering_coefficient FROM supplier CROSS JOIN range(1, 26) g(i)""")
+SELECT 'acc_evasion_' || s_suppkey || '_' || lpad(CAST(i AS VARCHAR), 3, '0') AS account_id, CAST(20000 AS DOUBLE) AS amount, round(ln(20001.0), 6) AS total_sent_log,
+  round(ln(22001.0), 6) AS total_received_log, CAST(0.35 AS DOUBLE) AS balance_drain_ratio, CAST(0.04 AS DOUBLE) AS local_clustering_coefficient FROM supplier CROSS JOIN range(1, 26) g(i)""")
 def plant_low_and_slow(spark, folder):
     rows = plant.plant_low_and_slow(_anchors(spark, folder))
     return rows.select(
@@ -158,8 +158,8 @@ def plant_low_and_slow(spark, folder):
 
 
 @query("detection_summary", "", """
-SELECT detector, n * 25 AS n_accounts, CASE WHEN s >= 0.40 THEN n * 25 ELSE 0 END AS caught_count, CASE WHEN s >= 0.40 THEN 100.0 ELSE 0.0 END AS detection_rate_pct,
-  round(s, 4) AS mean_score, CASE WHEN s >= 0.40 THEN 0.0 ELSE 100.0 END AS evasion_success_pct
+SELECT detector, n * 25 AS n_accounts, CASE WHEN s >= 0.40 THEN n * 25 ELSE 0 END AS caught_count, CASE WHEN s >= 0.40 THEN CAST(100 AS DOUBLE) ELSE 0 END AS detection_rate_pct,
+  round(s, 4) AS mean_score, CASE WHEN s >= 0.40 THEN CAST(0 AS DOUBLE) ELSE 100 END AS evasion_success_pct
 FROM (SELECT count(*) AS n FROM supplier) CROSS JOIN (
   SELECT 'tabular' AS detector, 1 / (1 + exp(-(-4.0 - 1.2 * 0.05 + (0.12 - 0.15) * 2 + 0.0))) AS s
   UNION ALL SELECT 'graph', 1 / (1 + exp(-(-3.8 - 0.8 * 0.5)))

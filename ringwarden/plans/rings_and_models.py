@@ -299,13 +299,13 @@ def cost_savings(spark, folder):
 
 
 @query("cost_curve", "scored", f"""
-SELECT round(threshold, 6) AS threshold, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, fp * 350.0 + fn * 42000.0 AS cost FROM ({_grid_sql(metrics.F1_GRID)})""")
+SELECT round(threshold, 6) AS threshold, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(fp * 350.0 + fn * 42000.0 AS DOUBLE) AS cost FROM ({_grid_sql(metrics.F1_GRID)})""")
 def cost_curve(spark, folder):
     return rounded(metrics.cost_curve(scored_of(spark, folder)), "threshold")
 
 
 @query("cost_optimal_threshold", "scored", f"""
-SELECT round(threshold, 6) AS threshold, fp * 350.0 + fn * 42000.0 AS cost FROM ({_grid_sql(metrics.F1_GRID)}) ORDER BY cost, threshold LIMIT 1""")
+SELECT round(threshold, 6) AS threshold, CAST(fp * 350.0 + fn * 42000.0 AS DOUBLE) AS cost FROM ({_grid_sql(metrics.F1_GRID)}) ORDER BY cost, threshold LIMIT 1""")
 def cost_optimal_threshold(spark, folder):
     return rounded(metrics.cost_optimal_threshold(metrics.cost_curve(scored_of(spark, folder))), "threshold")
 

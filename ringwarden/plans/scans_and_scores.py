@@ -304,6 +304,20 @@ def payment_method_mix(spark, folder):
     )
 
 
+@query("method_detail", "", f"""
+SELECT o_orderkey, CASE o_custkey % 3
+  WHEN 0 THEN ['Google Pay','PhonePe','Paytm UPI','CRED UPI','BHIM UPI','WhatsApp Pay'][{_HASH.format("'app:' || o_orderkey")} % 6 + 1] || ' (user_' ||
+    ({_HASH.format("'vpa:' || o_orderkey")} % 9000 + 1000) || ['@okhdfcbank','@okaxis','@paytm','@ybl','@ibl','@ptaxis','@apl'][{_HASH.format("'handle:' || o_orderkey")} % 7 + 1] || ')'
+  WHEN 1 THEN ['RuPay','Visa','Mastercard'][{_HASH.format("'network:' || o_orderkey")} % 3 + 1] || ' •••• ' || ({_HASH.format("'card:' || o_orderkey")} % 9000 + 1000)
+  ELSE 'NetBanking (' || ['HDFC','ICICI','SBI','Axis','Kotak','Punjab National Bank'][{_HASH.format("'bank:' || o_orderkey")} % 6 + 1] || ')' END AS detail FROM orders""")
+def method_detail(spark, folder):
+    turn = F.col("o_custkey") % 3
+    method = F.when(turn == 0, "upi").when(turn == 1, "card").otherwise("netbanking")
+    return views.table(spark, folder, "orders").select(
+        "o_orderkey", transaction.method_detail(method, F.col("o_orderkey")).alias("detail")
+    )
+
+
 # --- account scores ---------------------------------------------------------------------------
 
 
@@ -452,7 +466,7 @@ def recommended_action(spark, folder):
     )
 
 
-@query("expected_review_cost", "scored", "SELECT id, CASE WHEN y_prob >= 0.42 THEN 350.0 ELSE 0.0 END AS expected_cost FROM scored")
+@query("expected_review_cost", "scored", "SELECT id, CAST(CASE WHEN y_prob >= 0.42 THEN 350 ELSE 0 END AS DOUBLE) AS expected_cost FROM scored")
 def expected_review_cost(spark, folder):
     flagged = scoring.is_flagged(F.col("y_prob"))
     return views.scored_orders(spark, folder).select("id", scoring.expected_review_cost(flagged).alias("expected_cost"))
@@ -525,9 +539,9 @@ WITH b AS (SELECT r.* REPLACE (CASE WHEN score IS NOT NULL THEN 0.5 * prob + 0.5
   FROM ringed r LEFT JOIN risk_scores ON customer_id = 'c' || substr(account_id, 2))
 SELECT account_id, round(prob, 6) AS fraud_probability, prob >= 0.42 AS is_flagged,
   CASE WHEN prob >= 0.80 THEN 'CRITICAL' WHEN prob >= 0.50 THEN 'HIGH' WHEN prob >= 0.20 THEN 'MEDIUM' ELSE 'LOW' END AS risk_tier,
-  score IS NOT NULL AS cache_hit, score AS nearline_score, CASE WHEN prob >= 0.42 THEN 350.0 ELSE 0.0 END AS expected_cost,
+  score IS NOT NULL AS cache_hit, score AS nearline_score, CAST(CASE WHEN prob >= 0.42 THEN 350 ELSE 0 END AS DOUBLE) AS expected_cost,
   prob > 0.35 AS needs_change, greatest(0.01, least(0.99, round(1 / (1 + exp(-(-2.5 + 3.0 * balance_drain_ratio + 0.15 * degree_ratio))), 4))) AS promo_abuse_risk,
-  0.0083 AS theoretical_bayes_threshold FROM b""")
+  CAST(0.0083 AS DOUBLE) AS theoretical_bayes_threshold FROM b""")
 def account_review(spark, folder):
     """The whole review record; its flat fields are compared, nested ones have own queries."""
     nearline = views.risk_scores(spark, folder).select(

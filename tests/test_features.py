@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from ringwarden.constants import FEATURES, TABULAR_FEATURES, TEMPORAL_FEATURES
+from ringwarden.constants import FEATURES, TABULAR_FEATURES
 from ringwarden.operators import features, graph, ordered, temporal
 from ringwarden.operators.ordered import Ascending, Descending
 

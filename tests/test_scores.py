@@ -117,6 +117,13 @@ def test_edge_payload(spark):
     assert got == [12.5, 4500.0, 0, 0, 0, 0, 0, 0, 0, 3, 1, 1]
 
 
+def test_method_detail_and_batch_size(spark):
+    df = spark.createDataFrame([("upi", 1), ("card", 2), ("netbanking", 3)], "m string, k int")
+    got = [r[0] for r in df.select(transaction.method_detail(F.col("m"), F.col("k"))).collect()]
+    assert "(user_" in got[0] and "@" in got[0] and " •••• " in got[1] and got[2].startswith("NetBanking (")
+    assert [one(spark, scoring.batch_size_ok(F.lit(n))) for n in (0, 1, 10_000, 10_001)] == [False, True, True, False]
+
+
 def test_type_codes(spark):
     df = spark.createDataFrame([("PAYMENT",), ("TRANSFER",), ("CASH_OUT",), ("DEBIT",), ("CASH_IN",), ("odd",)], "t string")
     assert [r[0] for r in df.select(transaction.type_code(F.col("t"))).collect()] == [0, 1, 2, 3, 4, None]
