@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..constants import FEATURES, TABULAR_FEATURES
 from ..functions import scoring
 from ..functions.scoring import feature_columns
 from ..operators import calibration, drift, graph, learn, metrics, rings
+from ..operators import features as feat
 from ..session import cut_lineage, store
 from ..sources import views
 from .inputs import account_edges, labelled_matrix, matrix, r, rounded
@@ -258,8 +261,6 @@ def _segment_metrics(spark, folder):
     """Recall at the flag threshold and precision of the best 100, per order segment."""
     scored = scored_of(spark, folder)
     recall = metrics.segment_comparison(scored, "segment").select("segment", "recall")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("segment").orderBy(F.desc("y_prob"), "id")
     top = scored.withColumn("k", F.row_number().over(order)).where("k <= 100")
     at = top.groupBy("segment").agg((F.sum("y_true") / 100.0).alias("precision_at_100"))
@@ -443,8 +444,6 @@ _EARLY = "last_step <= 700"
 
 
 def _by_time(spark, folder):
-    from ..operators import features as feat
-
     txn = views.transactions(spark, folder)
     known = cut_lineage(feat.node_last_step(matrix(spark, folder), txn))
     return known.where("last_step <= 700"), known.where("last_step > 700")
@@ -487,8 +486,6 @@ def batch_score_summary(spark, folder):
 SELECT CAST(sum(label) AS BIGINT) AS pos, CAST(sum(1 - label) AS BIGINT) AS neg, round(sum(1 - label) * 1.0 / sum(label), 6) AS scale_pos_weight,
   round(count(*) / (2.0 * sum(label)), 6) AS weight_pos, round(count(*) / (2.0 * sum(1 - label)), 6) AS weight_neg FROM labels_of""")
 def class_weights(spark, folder):
-    from ..operators import features as feat
-
     txn = views.transactions(spark, folder)
     labels = feat.label_join(feat.all_accounts(feat.fraud_type_filter(txn)), txn)
     return rounded(learn.class_weights(labels), "scale_pos_weight", "weight_pos", "weight_neg")
@@ -568,8 +565,6 @@ def batch_infer(spark, folder):
     names = ["balance_drain_ratio", "degree_ratio", "tx_count_out"]
 
     def opaque(batch):
-        import numpy as np
-
         return 1.0 / (1.0 + np.exp(-(0.8 * batch[names[0]] + 0.1 * batch[names[1]] - 0.02 * batch[names[2]])))
 
     return rounded(learn.batch_infer(matrix(spark, folder), opaque, id_column="account_id", features=names), "y_prob")
@@ -578,8 +573,6 @@ def batch_infer(spark, folder):
 @query("shard_stratified", "labels_of", """
 SELECT account_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(account_id || '|42'), account_id) - 1) % 3 AS INTEGER) AS shard FROM labels_of""")
 def shard_stratified(spark, folder):
-    from ..operators import features as feat
-
     txn = views.transactions(spark, folder)
     labels = feat.label_join(feat.all_accounts(feat.fraud_type_filter(txn)), txn)
     return learn.shard_stratified(labels, id_column="account_id", label="label")

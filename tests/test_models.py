@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +22,23 @@ def test_ranking_metrics(eight):
     assert metrics.recall_at_fpr(eight, 0.0).first()[0] == pytest.approx(1 / 3)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ranking_metrics_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, int(rng.random() < 0.3), round(rng.random(), 2), 1.0) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, y_true int, y_prob double, amount double")
+    pos = [p for _, y, p, _ in rows if y]
+    neg = [p for _, y, p, _ in rows if not y]
+    auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+    ap, caught = 0.0, 0
+    for t in sorted({p for _, _, p, _ in rows}, reverse=True):
+        tp = sum(p >= t for p in pos)
+        ap += (tp - caught) / len(pos) * tp / (tp + sum(p >= t for p in neg))
+        caught = tp
+    row = metrics.evaluate_model(df, k_values=(10,)).first()
+    assert (row.pr_auc, row.roc_auc) == pytest.approx((ap, auc))
+
+
 def test_grid_steps_are_exact(spark):
     points = metrics.F1_GRID
     values = points + [p - 1e-12 for p in points] + [0.0, 1.0, 0.005]
