@@ -350,24 +350,25 @@ def connected_components(links: DataFrame, *, a: str, b: str) -> DataFrame:
         .distinct()
     )
     edges = cut_lineage(edges)
-    mark = _edge_mark(edges)
-    while True:
+    while not _all_stars(edges):
         edges = cut_lineage(_small_star(_large_star(edges)))
-        now = _edge_mark(edges)
-        if now == mark:
-            break
-        mark = now
     members = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component"))
     return members.union(roots).distinct()
 
 
-def _edge_mark(edges: DataFrame):
-    return edges.agg(
-        F.count(F.lit(1)),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
-        F.bit_xor(F.xxhash64("v", "u")),
-    ).first()
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root that hangs on nothing.
+
+    Steps keep connected nodes connected, so stars apart from each other are the
+    components. One pre-aggregated count by node, stopped at the first exception.
+    """
+    ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                             F.struct(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    nodes = edges.select(ends.alias("e")).groupBy("e.id").agg(
+        F.sum("e.up").alias("up"), F.max("e.down").alias("down")
+    )
+    return nodes.where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
