@@ -142,14 +142,14 @@ def decode_block(payload: bytes, table: tuple[np.ndarray, np.ndarray, int]) -> t
     return [None if z else int(d) for z, d in zip(null, doc_ids)], lengths, ids
 
 
-def count_ids(ids: DataFrame, vocabulary: int) -> np.ndarray:
+def count_ids(ids: DataFrame, vocabulary: int, packed_type: np.dtype = ID_TYPE) -> np.ndarray:
     """How often each id occurs in the whole corpus; at most ``vocabulary`` rows reach the driver."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             joined = b"".join(batch.column("ids").to_pylist())
-            total += np.bincount(np.frombuffer(joined, ID_TYPE), minlength=vocabulary)
+            total += np.bincount(np.frombuffer(joined, packed_type), minlength=vocabulary)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["id", "n"])
 
@@ -167,9 +167,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, max_b
     shorter ones first. An empty table gives a code and blocks without rows.
     """
     spark = small_batches(docs.sparkSession)
-    ids = store(token_ids(docs, tokenizer, end_id), "token-ids")
-    vocabulary = encoder(tokenizer).size
-    counts = count_ids(ids, vocabulary)
+    ids = store(token_ids(docs, tokenizer, end_id, compact=True), "token-ids")
+    vocabulary, packed_type = encoder(tokenizer).size, encoder(tokenizer).dtype
+    counts = count_ids(ids, vocabulary, packed_type)
     lengths = code_lengths(counts, max_bits)
     codes = canonical_codes(lengths)
     table = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
@@ -189,7 +189,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, max_b
         for batch in batches:
             for doc_id, packed in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                 held_ids.append(doc_id)
-                held.append(np.frombuffer(packed.as_buffer(), ID_TYPE))
+                held.append(np.frombuffer(packed.as_buffer(), packed_type))
                 size += len(held[-1])
                 if size >= BLOCK_IDS:
                     yield flush()

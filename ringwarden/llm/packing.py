@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .support import small_batches, texts_of
-from .tokens import ID_TYPE, token_ids
+from .tokens import ID_TYPE, encoder, token_ids
 
 CAPACITY = 2048
 # Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n. At 4096 tokens both parts are equal.
@@ -68,21 +68,23 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     size = rows.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
     groups = int(size) // group_bytes + 1
     dealt = rows.withColumn("deal", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
-    ids = token_ids(dealt, tokenizer, end_id, "deal")
+    ids = token_ids(dealt, tokenizer, end_id, "deal", compact=True)
+    packed_type = encoder(tokenizer).dtype
 
     def packed(table: pa.Table) -> pa.Table:
         data = table.column("ids").to_pylist()
         doc_ids = table.column("doc_id").to_pylist()
         order = sorted(range(len(data)), key=lambda i: (-len(data[i]), doc_ids[i] is None, doc_ids[i] or 0, zlib.crc32(data[i])))
-        width = ID_TYPE.itemsize
+        width = packed_type.itemsize
         lengths = np.array([len(data[i]) // width for i in order], np.int64)
         p = assign(lengths, capacity)
+        wide = lambda x: np.frombuffer(x, packed_type).astype(ID_TYPE).tobytes()
         base = table.column("deal")[0].as_py() << 32
         doc = [order[i] for i in p[:, 0].tolist()]
         return pa.table({
             "doc_id": pa.array([doc_ids[i] for i in doc], pa.int64()),
             "start": p[:, 1], "length": p[:, 2],
-            "ids": pa.array([data[i][s * width : (s + n) * width] for i, s, n in zip(doc, p[:, 1].tolist(), p[:, 2].tolist())], pa.binary()),
+            "ids": pa.array([wide(data[i][s * width : (s + n) * width]) for i, s, n in zip(doc, p[:, 1].tolist(), p[:, 2].tolist())], pa.binary()),
             "doc_tokens": lengths[p[:, 0]], "sequence_id": base + p[:, 3], "offset": p[:, 4],
         })
 

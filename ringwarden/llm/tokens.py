@@ -2,13 +2,15 @@
 
 The tokenizer drops white space and never looks across it, so a text's ids are the ids of its
 words, one after the other. A worker keeps the packed ids of words it has seen; new words that are
-plain ASCII letters take a short way through the same BPE model (no normalisation is needed), all
-others the whole tokenizer. The ids equal those of encoding the whole text (tested).
+Latin letters, with or without marks of punctuation at their end, take a short way through the same
+BPE model (they need no normalisation but lower case), all others the whole tokenizer. The ids equal those of
+encoding the whole text (tested).
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +21,15 @@ from .support import small_batches, texts_of
 from .text_arrays import chunks
 
 # Words a worker remembers, and the longest it does.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 600_000
 REMEMBERED_LENGTH = 48
 # Fixed value: Python splits at these, the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
+# Fixed pattern: letters that are normal as they are and have one lower-case form, then marks that make one piece.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+MARKS = ".,!?;:"
+
 ID_TYPE = np.dtype("<u4")
 _encoders: dict[str, "Encoder"] = {}
 
@@ -39,11 +45,11 @@ class Encoder:
     def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import WhitespaceSplit
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.whole = Tokenizer.from_file(path)
         self.letters = Tokenizer(self.whole.model)
-        self.letters.pre_tokenizer = WhitespaceSplit()
+        self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.whole.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -56,18 +62,27 @@ class Encoder:
         return np.array(ids, self.dtype).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        plain = [w for w in words if w.isascii() and w.isalpha()]
+        plain: dict[str, list[tuple[str, str]]] = {}
+        rest = []
+        add = plain.setdefault
+        for word in words:
+            letters = word.rstrip(MARKS)
+            if letters.isascii() and letters.isalpha() or LATIN.fullmatch(letters):
+                add(letters.lower(), []).append((word, word[len(letters) :]))
+            else:
+                rest.append(word)
+        marks = {m for group in plain.values() for _, m in group}
+        tail = {m: self._pack(self.whole.encode(m, add_special_tokens=False).ids) for m in marks}
         if plain:
-            line = " ".join(plain).lower()
-            ids = np.array(self.letters.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.dtype)
+            ids = np.array(self.letters.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
             ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize
             if len(ends) != len(plain):
                 raise ValueError("the tokenizer file does not mark word ends as expected")
             packed, start = ids.tobytes(), 0
-            for word, end in zip(plain, ends.tolist()):
-                self.known[word] = packed[start:end]
-                start = end
-        rest = [w for w in words if not (w.isascii() and w.isalpha())]
+            for group, end in zip(plain.values(), ends.tolist()):
+                own, start = packed[start:end], end
+                for word, mark in group:
+                    self.known[word] = own + tail[mark]
         for word, found in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
             self.known[word] = self._pack(found.ids)
 
@@ -93,9 +108,11 @@ class Encoder:
         ]
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int, *more: str) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int, *more: str, compact: bool = False) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit, the end id last) of every row of ``docs``.
 
+    ``compact``: 16-bit ids where the vocabulary allows, as ``Encoder.dtype`` says.
+
     Null text counts as empty and gives the end id alone. Repeated rows stay. Columns other than
     doc_id, text and ``more`` are not read.
     """
@@ -105,14 +122,15 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, *more: str) -> DataF
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], ID_TYPE)
+        width = enc.dtype if compact else ID_TYPE
+        end = np.array([end_id], width).tobytes()
         for batch in chunks(batches, "text"):
-            ids = [
-                np.append(np.frombuffer(x, enc.dtype).astype(ID_TYPE), end)
-                for x in enc.encode(batch.column("text").to_pylist())
-            ]
+            ids = enc.encode(batch.column("text").to_pylist())
+            if width != enc.dtype:
+                ids = [np.frombuffer(x, enc.dtype).astype(width).tobytes() for x in ids]
+            ids = [x + end for x in ids]
             columns = [batch.column(f.name) for f in kept]
-            columns += [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+            columns += [pa.array([len(x) // width.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + ["n_tokens", "ids"])
 
     schema = rows.select(*[f.name for f in kept]).schema.add("n_tokens", "long").add("ids", "binary")
