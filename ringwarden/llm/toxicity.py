@@ -22,6 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .support import small_batches, texts_of
 from .text_arrays import Texts, chunks
@@ -172,7 +173,8 @@ def scored(docs: DataFrame, model: Model, *more: str) -> DataFrame:
     spark = small_batches(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long")}).select("doc_id", "text", *more)
-    kept = [f for f in rows.schema.fields]
+    kept = list(rows.schema.fields)
+    schema = StructType([*kept, StructField("score", DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -182,7 +184,7 @@ def scored(docs: DataFrame, model: Model, *more: str) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(x @ m.weights[1:] + m.weights[0], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(p, 6))], names=[f.name for f in kept] + ["score"])
 
-    return rows.mapInArrow(score, rows.schema.add("score", "double"))
+    return rows.mapInArrow(score, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
