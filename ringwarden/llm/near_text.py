@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import store
-from .support import components, small_batches, texts_of
+from .support import components, early_filters, small_batches, texts_of
 from .text_arrays import BASE, Texts, _power_tables, chunks, mix
 
 WORDS = 5
@@ -27,9 +27,10 @@ THRESHOLD = 0.8
 BANDS = 36
 ROWS = 7
 REGISTERS = BANDS * ROWS
-# Two bits of each register tell unlike texts apart before they are compared; four standard errors of the estimate at 0.8.
+# Two bits of each register tell unlike texts apart before they are compared; three and a half standard errors of the estimate at 0.8,
+# which lose no more pairs than the bands do.
 SKETCH_WORDS = -(-REGISTERS // 32)
-SKETCH_SLACK = 4 * 4 / 3 * (0.85 * 0.15 / REGISTERS) ** 0.5
+SKETCH_SLACK = 3.5 * 4 / 3 * (0.85 * 0.15 / REGISTERS) ** 0.5
 # Leaders of a bucket in the first round; each later round takes so many times more.
 MORE_LEADERS = 8
 MAX_ROUNDS = 24
@@ -144,16 +145,18 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     other components, and then leave the bucket. A bucket is done when its members are of one component. Every pair
     of a bucket is thus compared or already connected, but a group of copies costs its size and not its square.
     """
+    early_filters(docs.sparkSession)
     each = reps.select("rep", F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("bucket"))
-    sizes = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = store(each.join(sizes, "bucket"), "buckets")
+    # stored tables with a condition on them are what Spark makes early filters of: few buckets are shared, few texts candidates
+    sizes = store(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
+    shared = store(each.join(sizes.where("size > 1"), "bucket"), "buckets")
     if shared.isEmpty():
         return None
     popular = shared.groupBy("rep").agg(F.sum("size").alias("popular"))
     known = store(popular.join(reps.select("rep", "sketch"), "rep"), "candidates")
     members = store(shared.select("rep", "bucket").join(known, "rep"), "members")
     texts = store(
-        texts_of(docs).join(known.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")),
+        texts_of(docs).join(known.where("popular > 1").select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")),
         "candidate-texts",
     )
     labels, found, tried = None, None, None

@@ -44,6 +44,13 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def early_filters(spark: SparkSession) -> None:
+    """Let joins drop rows by a Bloom filter of the small side before they are shuffled, whatever the size of the input."""
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the whole text with null as empty, and ``more`` columns; nothing else is read."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
