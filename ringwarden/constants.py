@@ -107,7 +107,7 @@ COUNTERFACTUAL_STEPS = (
 )
 
 # --- fixed values: identifier tokens --------------------------------------------
-TOKEN_SALT = "sentinel_v2_salt"
+TOKEN_SALT = "account_token_salt"
 EMPTY_TOKEN = "tok_empty"
 
 # --- fixed values: typed graph --------------------------------------------------

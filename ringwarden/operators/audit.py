@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import AUDIT_COLUMNS
 from ..functions.transaction import entity_id
 
-DEFAULT_NOTE = "Standard analyst confirmation step completed."
+DEFAULT_NOTE = "No note was left by the analyst."
 
 
 def audit_records(requests: DataFrame) -> DataFrame:
@@ -31,15 +31,21 @@ def audit_append(records: DataFrame, path: str) -> None:
     daily.write.mode("append").partitionBy("day").parquet(path)
 
 
+def _once(records: DataFrame) -> DataFrame:
+    """A retried append writes the same id again; it counts once."""
+    return records.dropDuplicates(["audit_id"])
+
+
 def audit_list(records: DataFrame) -> DataFrame:
     """Newest first, each row with the total; the total is one scalar, no window."""
+    records = _once(records)
     total = records.agg(F.count(F.lit(1))).scalar()
     return records.select(*AUDIT_COLUMNS, total.alias("total_records")).orderBy(F.desc("timestamp"), F.asc("audit_id"))
 
 
 def audit_export_csv(records: DataFrame, path: str) -> None:
-    records.select(*AUDIT_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
+    _once(records).select(*AUDIT_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
 
 
 def audit_export_json(records: DataFrame, path: str) -> None:
-    records.select(*AUDIT_COLUMNS).write.mode("overwrite").json(path)
+    _once(records).select(*AUDIT_COLUMNS).write.mode("overwrite").json(path)

@@ -71,7 +71,7 @@ SELECT account_id, decision, analyst_id, risk_score, notes, action_taken, strfti
 FROM (SELECT 'C' || CAST(o_custkey AS VARCHAR) AS account_id,
     CASE WHEN o_orderstatus = 'F' THEN 'CONFIRMED_FLAG' ELSE 'OVERRIDDEN_CLEAN' END AS decision,
     'analyst_' || CAST(o_orderkey % 7 AS VARCHAR) AS analyst_id, round(o_totalprice / 600000.0, 6) AS risk_score,
-    CASE WHEN o_orderkey % 3 = 0 THEN 'checked by phone' ELSE 'Standard analyst confirmation step completed.' END AS notes,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'checked by phone' ELSE 'No note was left by the analyst.' END AS notes,
     'Flagged for Physical Delivery Verification' AS action_taken,
     CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS stamp
   FROM orders WHERE o_totalprice > 400000)"""
@@ -256,7 +256,7 @@ def edge_payload_vector(spark, folder):
 
 
 @query("tokenize_identifier", "", """
-SELECT c_custkey, 'tok_' || substr(sha256('sentinel_v2_salt::' || c_name), 1, 16) AS token FROM customer""")
+SELECT c_custkey, 'tok_' || substr(sha256('account_token_salt::' || c_name), 1, 16) AS token FROM customer""")
 def tokenize_identifier(spark, folder):
     return views.table(spark, folder, "customer").select("c_custkey", transaction.tokenize_identifier(F.col("c_name")).alias("token"))
 
@@ -485,8 +485,8 @@ def investigator_briefing(spark, folder):
     text = explain.briefing(F.col("account_id"), F.col("prob"), scoring.risk_tier(F.col("prob")), f, F.col("ring_type"))
     rows = scored_accounts(spark, folder).select("account_id", text.alias("t"))
     marks = {
-        "is_safe": "Safe Baseline", "extreme_ratio": "hub-and-spoke", "asymmetric_ratio": "asymmetric fund pass-through",
-        "drained": "balance drain**", "night": "high-risk off-hours", "surge": "velocity surge", "isolated": "isolated synthetic",
+        "is_safe": "**Low risk (", "extreme_ratio": "hub of a star", "asymmetric_ratio": "an even flow",
+        "drained": "leaves again at once", "night": "midnight and six", "surge": "the week before.", "isolated": "hardly deal with each other",
     }
     return rows.select("account_id", *[F.contains("t", F.lit(mark)).alias(name) for name, mark in marks.items()])
 

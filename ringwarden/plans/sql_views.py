@@ -253,7 +253,7 @@ JOIN (SELECT ring_id, count(DISTINCT customer_id) AS nt FROM gt_members GROUP BY
 WHERE overlap * 1.0 / (nd + nt - overlap) >= 0.2""", "entities", "gt_members")
 
 # --- typed graph ----------------------------------------------------------------------
-_TOKEN = "'tok_' || substr(sha256('sentinel_v2_salt::' || {0}), 1, 16)"
+_TOKEN = "'tok_' || substr(sha256('account_token_salt::' || {0}), 1, 16)"
 _view("hedges", f"""
 SELECT src_type, {_TOKEN.format('src_raw')} AS src_id, relation, dst_type, {_TOKEN.format('dst_raw')} AS dst_id, timestamp, amount FROM (
   SELECT 'customer' AS src_type, customer_id AS src_raw, 'PLACED' AS relation, 'transaction' AS dst_type, transaction_id AS dst_raw, timestamp, amount FROM ptx

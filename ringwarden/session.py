@@ -45,14 +45,16 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only where the cluster names none (a local test session) is a new
-    temporary folder made and set.
+    Only in a local session that names none is a new temporary folder made and
+    set; elsewhere each executor would write to a disk of its own.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ringwarden-"))
     return context.getCheckpointDir()
 

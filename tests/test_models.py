@@ -242,7 +242,7 @@ def test_audit_round_trip(spark, tmp_path):
     audit.audit_append(records, str(tmp_path / "log"))
     listed = audit.audit_list(spark.read.parquet(str(tmp_path / "log"))).collect()
     assert [r.account_id for r in listed] == ["b", "a"] and listed[0].total_records == 2
-    assert listed[1].notes == "Standard analyst confirmation step completed."
+    assert listed[1].notes == "No note was left by the analyst."
     audit.audit_export_csv(records, str(tmp_path / "csv"))
     header = next(p for p in (tmp_path / "csv").iterdir() if p.suffix == ".csv").read_text().splitlines()[0]
     assert header == "audit_id,account_id,decision,analyst_id,risk_score,action_taken,notes,timestamp"
