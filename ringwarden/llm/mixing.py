@@ -178,10 +178,10 @@ def mix(docs: DataFrame, labelled: DataFrame, target: dict[str, float], total_fa
     mixture, _ = fit(docs, labelled, target, total_factor, min_rate)
     text = F.coalesce(F.col("text"), F.lit(""))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), measures(text).alias("bins"), draw.alias("draw"))
-    rated = rows.select("row", (F.round(mixture.rate(mixture.posterior(F.col("bins"))), 9) + F.col("draw")).alias("rate"))
-    copies = F.floor("rate").cast("int")
-    return rated.where(copies >= 1).select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy")).select("row.*")
+    # measures are bound once: as plain columns each posterior term would work them out again
+    rate = _let(measures(text), lambda bins: _let(mixture.posterior(bins), lambda p: F.round(mixture.rate(p), 9)))
+    copies = F.array_repeat(F.lit(1), F.floor(rate + draw).cast("int"))
+    return docs.select(F.struct(*docs.columns).alias("row"), F.explode(copies).alias("copy")).select("row.*")
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
