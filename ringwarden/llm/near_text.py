@@ -115,6 +115,11 @@ def _alike(a: Column, b: Column) -> Column:
     return odd <= F.lit(int((1 - THRESHOLD + SKETCH_SLACK) * 0.75 * REGISTERS) + 1)
 
 
+def _first_shared(a: Column, b: Column) -> Column:
+    """The first band in which two lists of band codes agree."""
+    return F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of THRESHOLD; ``texts``: rep, text."""
     both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
@@ -144,22 +149,24 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     In each round a bucket's leaders, the texts that share most buckets first, meet the members of
     other components, and then leave the bucket. A bucket is done when its members are of one component. Every pair
     of a bucket is thus compared or already connected, but a group of copies costs its size and not its square.
+    A pair meets in the first band it shares only, told by 32 bits of each band, so it is met once.
     """
     early_filters(docs.sparkSession)
-    each = reps.select("rep", F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("bucket"))
+    each = reps.select("rep", F.posexplode("bands").alias("band", "value")).select("rep", F.col("band").cast("byte").alias("band"), F.xxhash64("band", "value").alias("bucket"))
     # stored tables with a condition on them are what Spark makes early filters of: few buckets are shared, few texts candidates
     sizes = store(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
     shared = store(each.join(sizes.where("size > 1"), "bucket"), "buckets")
     if shared.isEmpty():
         return None
     popular = shared.groupBy("rep").agg(F.sum("size").alias("popular"))
-    known = store(popular.join(reps.select("rep", "sketch"), "rep"), "candidates")
-    members = store(shared.select("rep", "bucket").join(known, "rep"), "members")
+    codes = F.transform("bands", lambda v: F.shiftright(v, 32).cast("int")).alias("codes")
+    known = store(popular.join(reps.select("rep", "sketch", codes), "rep"), "candidates")
+    members = store(shared.select("rep", "bucket", "band").join(known, "rep"), "members")
     texts = store(
         texts_of(docs).join(known.where("popular > 1").select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")),
         "candidate-texts",
     )
-    labels, found, tried = None, None, None
+    labels, found = None, None
     leaders_per_bucket = 1
     for _ in range(MAX_ROUNDS):
         now = members.withColumn("component", F.col("rep")) if labels is None else members.join(
@@ -170,17 +177,21 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
         if members.isEmpty():
             break
         part = F.pmod(F.hash("rep", "bucket"), F.lit(leaders_per_bucket))
-        leaders = members.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("popular", "rep", "component", "sketch")).alias("leader"))
-        leaders = store(leaders.select("bucket", F.col("leader.rep").alias("l_rep"), F.col("leader.component").alias("l_component"), F.col("leader.sketch").alias("l_sketch")), "leaders")
-        met = members.join(
+        leaders = members.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("popular", "rep", "component", "sketch", "codes")).alias("leader"))
+        leaders = store(leaders.select("bucket", *(F.col(f"leader.{c}").alias(f"l_{c}") for c in ("rep", "component", "sketch", "codes"))), "leaders")
+        met = members.withColumn("leads", F.lit(None).cast("boolean"))
+        if leaders_per_bucket > 1:  # one leader has no other to meet
+            met = members.join(leaders.select("bucket", F.col("l_rep").alias("rep"), F.lit(True).alias("leads")), ["bucket", "rep"], "left")
+        met = met.join(
             leaders,
-            (members["bucket"] == leaders["bucket"]) & (members["component"] != leaders["l_component"]) & _alike(members["sketch"], leaders["l_sketch"]),
+            (met["bucket"] == leaders["bucket"])
+            & (met["component"] != leaders["l_component"])
+            & _alike(met["sketch"], leaders["l_sketch"])
+            & (_first_shared(met["codes"], leaders["l_codes"]) == met["band"])
+            & (met["leads"].isNull() | (met["rep"] < leaders["l_rep"])),
         )
-        pairs = met.select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = store(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        # leaders leave the bucket, so no later round meets the pair again
+        pairs = store(met.select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")), "pairs")
         new = store(verified(pairs, texts), "links")
         found = new if found is None else found.unionByName(new)
         if not new.isEmpty():
