@@ -115,9 +115,9 @@ def _alike(a: Column, b: Column) -> Column:
     return odd <= F.lit(int((1 - THRESHOLD + SKETCH_SLACK) * 0.75 * REGISTERS) + 1)
 
 
-def _first_shared(a: Column, b: Column) -> Column:
-    """The first band in which two lists of band codes agree."""
-    return F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1
+def _earlier(marks: Column, band: Column) -> Column:
+    """Codes of the shared buckets that a text has in bands before ``band``."""
+    return F.transform(F.filter(marks, lambda m: m["band"] < band), lambda m: m["code"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -149,7 +149,8 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     In each round a bucket's leaders, the texts that share most buckets first, meet the members of
     other components, and then leave the bucket. A bucket is done when its members are of one component. Every pair
     of a bucket is thus compared or already connected, but a group of copies costs its size and not its square.
-    A pair meets in the first band it shares only, told by 32 bits of each band, so it is met once.
+    A pair meets in the first band it shares only, told by 32 bits of each shared bucket, so it is met once. The rows that
+    rounds keep are narrow; sketches and codes are joined to them only where texts meet.
     """
     early_filters(docs.sparkSession)
     each = reps.select("rep", F.posexplode("bands").alias("band", "value")).select("rep", F.col("band").cast("byte").alias("band"), F.xxhash64("band", "value").alias("bucket"))
@@ -158,37 +159,46 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     shared = store(each.join(sizes.where("size > 1"), "bucket"), "buckets")
     if shared.isEmpty():
         return None
-    popular = shared.groupBy("rep").agg(F.sum("size").alias("popular"))
-    codes = F.transform("bands", lambda v: F.shiftright(v, 32).cast("int")).alias("codes")
-    known = store(popular.join(reps.select("rep", "sketch", codes), "rep"), "candidates")
-    members = store(shared.select("rep", "bucket", "band").join(known, "rep"), "members")
+    mark = F.struct("band", F.shiftright("bucket", 32).cast("int").alias("code"))
+    popular = shared.groupBy("rep").agg(F.sum("size").alias("popular"), F.collect_list(mark).alias("marks"))  # at most one mark per band
+    known = store(popular.join(reps.select("rep", "sketch"), "rep"), "candidates")
+    members = store(shared.select("rep", "bucket", "band").join(known.select("rep", "popular"), "rep"), "members")
     texts = store(
         texts_of(docs).join(known.where("popular > 1").select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")),
         "candidate-texts",
     )
     labels, found = None, None
     leaders_per_bucket = 1
-    for _ in range(MAX_ROUNDS):
+    for turn in range(MAX_ROUNDS):
         now = members.withColumn("component", F.col("rep")) if labels is None else members.join(
             labels.withColumnRenamed("id", "rep"), "rep", "left"
         ).withColumn("component", F.coalesce("component", "rep"))
-        open_buckets = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        members = store(now.join(open_buckets, "bucket", "left_semi"), "members")
-        if members.isEmpty():
-            break
+        if turn == 0:  # every bucket holds two texts
+            members = now
+        else:
+            open_buckets = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+            members = store(now.join(open_buckets, "bucket", "left_semi"), "members")
+            if members.isEmpty():
+                break
         part = F.pmod(F.hash("rep", "bucket"), F.lit(leaders_per_bucket))
-        leaders = members.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("popular", "rep", "component", "sketch", "codes")).alias("leader"))
-        leaders = store(leaders.select("bucket", *(F.col(f"leader.{c}").alias(f"l_{c}") for c in ("rep", "component", "sketch", "codes"))), "leaders")
+        leaders = members.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("popular", "rep", "component", "band")).alias("leader"))
+        leaders = store(leaders.select("bucket", *(F.col(f"leader.{c}").alias(f"l_{c}") for c in ("rep", "component", "band"))), "leaders")
         met = members.withColumn("leads", F.lit(None).cast("boolean"))
         if leaders_per_bucket > 1:  # one leader has no other to meet
             met = members.join(leaders.select("bucket", F.col("l_rep").alias("rep"), F.lit(True).alias("leads")), ["bucket", "rep"], "left")
+        met = met.join(known.select("rep", "sketch", "marks"), "rep").select(
+            "bucket", "rep", "component", "leads", "sketch", _earlier(F.col("marks"), F.col("band")).alias("earlier")
+        )
+        lead = leaders.join(known.select(F.col("rep").alias("l_rep"), F.col("sketch").alias("l_sketch"), "marks"), "l_rep").select(
+            "bucket", "l_rep", "l_component", "l_sketch", _earlier(F.col("marks"), F.col("l_band")).alias("l_earlier")
+        )
         met = met.join(
-            leaders,
-            (met["bucket"] == leaders["bucket"])
-            & (met["component"] != leaders["l_component"])
-            & _alike(met["sketch"], leaders["l_sketch"])
-            & (_first_shared(met["codes"], leaders["l_codes"]) == met["band"])
-            & (met["leads"].isNull() | (met["rep"] < leaders["l_rep"])),
+            lead,
+            (met["bucket"] == lead["bucket"])
+            & (met["component"] != lead["l_component"])
+            & (met["leads"].isNull() | (met["rep"] < lead["l_rep"]))
+            & _alike(met["sketch"], lead["l_sketch"])
+            & ~F.arrays_overlap(met["earlier"], lead["l_earlier"]),
         )
         # leaders leave the bucket, so no later round meets the pair again
         pairs = store(met.select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")), "pairs")
