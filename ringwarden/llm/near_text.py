@@ -32,7 +32,7 @@ REGISTERS = BANDS * ROWS
 SKETCH_WORDS = -(-REGISTERS // 32)
 SKETCH_SLACK = 3.5 * 4 / 3 * (0.85 * 0.15 / REGISTERS) ** 0.5
 # Leaders of a bucket in the first round; each later round takes so many times more.
-MORE_LEADERS = 8
+MORE_LEADERS = 32
 MAX_ROUNDS = 24
 
 
