@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import LINK_KINDS, NEIGHBOR_CAP_DEFAULT, NEIGHBOR_CAPS
-from ..session import cut_lineage
-from .spread import ROWS_PER_SLICE, SpreadRows, spread_rows
+from ..session import cut_lineage, store
+from .spread import ROWS_PER_SLICE, SpreadRows, per_key, spread_rows
 
 
 def edge_collapse(edges: DataFrame, *, tie: str = "tx_id") -> DataFrame:
@@ -233,7 +233,7 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     """
     pairs = undirected_edges(edges)
     links = _both_ways(pairs)
-    degrees = links.groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
+    degrees = per_key(links.groupBy("node").agg(F.count(F.lit(1)).alias("deg")))
     of_a = degrees.select(F.col("node").alias("a"), F.col("deg").alias("da"))
     of_b = degrees.select(F.col("node").alias("b"), F.col("deg").alias("db"))
     low_first = F.struct("da", "a") < F.struct("db", "b")
@@ -245,7 +245,8 @@ def triangle_count(edges: DataFrame) -> DataFrame:
             F.when(low_first, F.col("b")).otherwise(F.col("a")).alias("v"),
         )
     )
-    lists = oriented.groupBy("u").agg(F.collect_list("v").alias("out"))
+    oriented = store(oriented, "oriented")
+    lists = per_key(oriented.groupBy("u").agg(F.collect_list("v").alias("out")))
     common = (
         oriented.join(lists, "u")
         .join(lists.select(F.col("u").alias("v"), F.col("out").alias("out_v")), "v")
@@ -333,7 +334,7 @@ def shared_identifier_links(
     used by n transactions gives n - 1 links instead of n(n-1)/2 pairs.
     """
     rows = identifier_rows(payments, kinds=kinds, shared_namespace=shared_namespace)
-    first = rows.groupBy("kind", "value").agg(F.min("tx").alias("anchor"))
+    first = per_key(rows.groupBy("kind", "value").agg(F.min("tx").alias("anchor")))
     return rows.join(first, ["kind", "value"]).where(F.col("tx") != F.col("anchor"))
 
 
@@ -375,7 +376,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     way = F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("m")),
                             F.struct(F.col("v").alias("n"), F.col("u").alias("m"))))
     both = edges.select(way.alias("w")).select("w.n", "w.m")
-    smallest = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
+    smallest = per_key(both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low")))
     return (
         both.where(F.col("m") > F.col("n"))
         .join(smallest, "n")
@@ -385,7 +386,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    smallest = edges.groupBy("u").agg(F.min("v").alias("low"))
+    smallest = per_key(edges.groupBy("u").agg(F.min("v").alias("low")))
     moved = edges.join(smallest, "u").select(
         F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")),
                           F.struct(F.col("u").alias("u"), F.col("low").alias("v")))).alias("e")

@@ -16,6 +16,7 @@ from ..functions import vectors as vec
 from ..functions.scoring import sigmoid
 from .graph import sampling_key
 from .ordered import Ascending, Descending, global_rank
+from .spread import per_key
 
 
 def gather(edges: DataFrame, nodes: DataFrame, *, vector: str = "vec") -> DataFrame:
@@ -52,7 +53,7 @@ def gcn_propagate(nodes: DataFrame, edges: DataFrame, *, dim: int) -> DataFrame:
     degrees = nodes.select("id", "vec").join(in_degree(edges), "id", "left").select(
         "id", "vec", (F.coalesce("deg", F.lit(0)) + 1).cast("double").alias("d")
     )
-    scaled = degrees.select("id", "d", vec.scale(F.col("vec"), 1.0 / F.sqrt("d")).alias("vec"))
+    scaled = per_key(degrees.select("id", "d", vec.scale(F.col("vec"), 1.0 / F.sqrt("d")).alias("vec")))
     received = vector_sum(_gather_source(edges, scaled), by="dst", vector="x_src", dim=dim)
     joined = scaled.join(received.withColumnRenamed("dst", "id"), "id", "left")
     total = F.when(F.col("total").isNull(), F.col("vec")).otherwise(vec.add(F.col("vec"), F.col("total")))
@@ -98,7 +99,7 @@ def gat_attention(nodes: DataFrame, edges: DataFrame, *, dim: int, score) -> Dat
     than a window, so a hub's edges are never brought into one task.
     """
     scored = gat_scores(nodes, edges, score)
-    peak = scored.groupBy("dst").agg(F.max("score").alias("peak"))
+    peak = per_key(scored.groupBy("dst").agg(F.max("score").alias("peak")))
     weighted = scored.join(peak, "dst").withColumn("w", F.exp(F.col("score") - F.col("peak")))
     summed = vector_sum(weighted, by="dst", vector="x_src", dim=dim, weight=F.col("w"), extra={"mass": F.sum("w")})
     return summed.select(F.col("dst").alias("id"), vec.scale(F.col("total"), 1.0 / F.col("mass")).alias("vec"))
@@ -107,9 +108,9 @@ def gat_attention(nodes: DataFrame, edges: DataFrame, *, dim: int, score) -> Dat
 def attention_weights(nodes: DataFrame, edges: DataFrame, *, score) -> DataFrame:
     """(src, dst, alpha) of the same softmax."""
     scored = gat_scores(nodes, edges, score).drop("x_src")
-    peak = scored.groupBy("dst").agg(F.max("score").alias("peak"))
+    peak = per_key(scored.groupBy("dst").agg(F.max("score").alias("peak")))
     lifted = scored.join(peak, "dst").withColumn("w", F.exp(F.col("score") - F.col("peak")))
-    mass = lifted.groupBy("dst").agg(F.sum("w").alias("mass"))
+    mass = per_key(lifted.groupBy("dst").agg(F.sum("w").alias("mass")))
     return lifted.join(mass, "dst").select("src", "dst", (F.col("w") / F.col("mass")).alias("alpha"))
 
 
@@ -242,11 +243,11 @@ def balanced_edge_sample(
 
 def laplacian_weights(edges: DataFrame) -> DataFrame:
     """``-1 / sqrt(deg(src) deg(dst))`` by in-count; 0 where the source has none."""
-    deg = in_degree(edges)
+    deg = per_key(in_degree(edges))
     source = deg.select(F.col("id").alias("src"), F.col("deg").alias("ds"))
     target = deg.select(F.col("id").alias("dst"), F.col("deg").alias("dd"))
     weight = F.when(F.col("ds").isNull(), 0.0).otherwise(-1.0 / F.sqrt(F.col("ds") * F.col("dd")))
-    return edges.join(source, "src", "left").join(target, "dst").select("src", "dst", weight.alias("weight"))
+    return edges.join(target, "dst").join(source, "src", "left").select("src", "dst", weight.alias("weight"))
 
 
 def laplacian_apply(nodes: DataFrame, weighted: DataFrame, *, vector: str, dim: int, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from ..constants import DEFAULT_SCORE
 from ..session import store
 from .graph import linked_components
 from .ordered import Ascending, global_rank
+from .spread import per_key
 
 MONEY = "decimal(18,2)"
 # entity kind -> payment column
@@ -50,7 +51,7 @@ def ring_entity_lists(entities: DataFrame, chunk_size: int = 1000) -> DataFrame:
     Rings up to that size get one list per kind; a larger ring gets several, so
     no list grows with the ring. Nothing is left out.
     """
-    sizes = entities.groupBy("component", "kind").agg(F.count(F.lit(1)).alias("n"))
+    sizes = per_key(entities.groupBy("component", "kind").agg(F.count(F.lit(1)).alias("n")))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk_size)).cast("int")
     return (
         entities.join(sizes, ["component", "kind"])

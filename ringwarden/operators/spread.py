@@ -7,12 +7,22 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_width
+from ..session import cut_lineage, shuffle_width, store
 
 # Rows of one key that may land in one task.
 ROWS_PER_SLICE = 1_000_000
 
 
+def per_key(rows: DataFrame) -> DataFrame:
+    """``rows``, one for each key of a coming join, written and read back.
+
+    An aggregate on the join key lends its partitioning to the join, and then adaptive execution leaves
+    the hot keys of the other side whole. Read from a table, this side has an exchange of its own below the
+    join, so hot partitions are split, and a size that is known, so a small side is broadcast.
+    """
+    return store(rows, "per-key")
+
+
 @dataclass
 class SpreadRows:
     """Cached rows, hashed on ``key`` (and on a slice of it where a key is hot).
