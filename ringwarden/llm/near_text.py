@@ -1,10 +1,10 @@
 """Near-duplicate texts: ProbMinHash signatures, banding, exact verification, components.
 
-Shingles are runs of five words (ASCII letters in lower case; a shorter text is one shingle). The weight of a
-shingle is 1 + ln(times in the text). Each shingle's arrivals form a Poisson process of that rate; an arrival falls on
-a random register, and a register keeps the shingle that came first. A text is done when no further arrival can
+Shingles are runs of five words (ASCII letters in lower case; a shorter text is one shingle). Each distinct shingle has
+weight 1, however often it occurs, since sets decide. A shingle's arrivals form a Poisson process of its weight; an arrival
+falls on a random register, and a register keeps the shingle that came first. A text is done when no further arrival can
 come before the latest register. Two signatures agree in a register with the probability Jaccard similarity of
-the weighted shingles. Texts that agree in a whole band become candidates, and exact shingle sets decide: two texts are linked
+the shingle sets. Texts that agree in a whole band become candidates, and exact shingle sets decide: two texts are linked
 at a Jaccard similarity of 0.8 or more.
 """
 
@@ -36,8 +36,8 @@ MORE_LEADERS = 32
 MAX_ROUNDS = 24
 
 
-def shingles(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hash and count of the distinct shingles of each text."""
+def shingles(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the distinct shingles of each text."""
     first, h = t.windows(WORDS)
     row = t.word_row[first]
     short_word = np.flatnonzero(np.bincount(t.word_row, minlength=t.n)[t.word_row] < WORDS)
@@ -48,8 +48,8 @@ def shingles(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         s = short_word[start]
         own = mix((prefix[s + n] - prefix[s]) * inverse[s] + n.astype(np.uint64))
         row, h = np.concatenate([row, rows]), np.concatenate([h, own])
-    _, one, count = np.unique(mix(h ^ mix(row.astype(np.uint64))), return_index=True, return_counts=True)
-    return row[one], h[one], count
+    _, one = np.unique(mix(h ^ mix(row.astype(np.uint64))), return_index=True)
+    return row[one], h[one]
 
 
 def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
@@ -81,8 +81,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             t = Texts.of(batch.column("text"), fold=True)
-            row, h, count = shingles(t)
-            s = signatures(row, h, 1 + np.log(count), t.n)
+            row, h = shingles(t)
+            s = signatures(row, h, np.ones(len(h)), t.n)
             folded = np.zeros((t.n, BANDS), np.uint64)
             for k in range(ROWS):
                 folded = mix(folded * np.uint64(BASE) + s[:, k::ROWS])
@@ -130,7 +130,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in chunks(batches, "text_a"):
             sets = []
             for side in ("text_a", "text_b"):
-                row, h, _ = shingles(Texts.of(batch.column(side), fold=True))
+                row, h = shingles(Texts.of(batch.column(side), fold=True))
                 sets.append((row, mix(h ^ mix(row.astype(np.uint64)))))
             (row_a, key_a), (row_b, key_b) = sets
             n = batch.num_rows

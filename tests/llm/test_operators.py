@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on nulls, empty texts, repeated rows, extra columns and empty tables."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -227,6 +228,31 @@ def test_near_texts(spark, odd, small):
     assert near_text.near_digest(odd.limit(0)).count() == 0
 
 
+def test_near_texts_that_differ_in_repeats(spark):
+    """Sets decide: repeats of shingles in one of two texts do not lose a pair."""
+    rows = []
+    for k in range(12):
+        words = [f"p{k}w{i}" for i in range(100)]
+        times = (20, 100, 400)[k % 3]
+        rows.append((10 * k, " ".join(words)))
+        rows.append((10 * k + 1, " ".join(words[:30] * times + words[30:])))
+        # the unshared end stands several times
+        rows.append((10 * k + 2, " ".join(words[:95] + [f"p{k}x{i}" for i in range(8)] * 5)))
+    want = plain_classes(rows)
+    assert len(set(want.values())) == 12
+    got = near_text.near_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
+def test_pairs_at_the_threshold_are_seldom_missed():
+    """Sets of similarity 0.8 pass bands and sketch as README states."""
+    n, t = near_text.REGISTERS, near_text.THRESHOLD
+    most = int((1 - t + near_text.SKETCH_SLACK) * 0.75 * n) + 1
+    unlike = 0.75 * (1 - t)
+    below = sum(math.comb(n, k) * unlike**k * (1 - unlike) ** (n - k) for k in range(most + 1))
+    assert (1 - t**near_text.ROWS) ** near_text.BANDS + 1 - below < 0.001
+
+
 def test_signature_estimates_weighted_similarity():
     h = np.arange(1, 201, dtype=np.uint64)
     row = np.concatenate([np.zeros(150, np.int64), np.ones(150, np.int64)])
