@@ -16,9 +16,9 @@ from ringwarden.session import store, tune
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-# Weights of the quality domains in the mix; documents are repeated for it, and none is left out.
+# Weights of the quality domains in the mix; documents are repeated for it, and none is left out. The total follows from the two.
 TARGET = {"good": 0.95, "poor": 0.05}
-TOTAL_FACTOR = 1.1
+TOTAL_FACTOR = None
 MIN_RATE = 1.0
 
 

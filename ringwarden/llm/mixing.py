@@ -8,6 +8,7 @@ the sense of least squares. Only sums with one entry per domain, or pair of doma
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -27,11 +28,16 @@ FLOOR = 1e-4
 MAX_STEPS = 12
 # Stop when the targets are met, or no step moves a rate or the distance, to this share.
 TOLERANCE = 1e-6
+# Distance to the targets, as a share of all tokens wanted, above which a fit is reported as missed.
+MAX_DISTANCE = 0.005
+# Room over the least total that the targets allow, and how often a derived total is raised by it.
+TOTAL_ROOM = 1.1
+MAX_TOTALS = 8
 
 
 def tokens(text: Column) -> Column:
-    """Words as parted by single spaces: the size that targets are stated in."""
-    return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
+    """Runs of other than white space: the size that targets are stated in."""
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def measures(text: Column) -> Column:
@@ -66,6 +72,8 @@ class Mixture:
     steps: list[np.ndarray] = field(default_factory=list)
     min_rate: float = 0.0
     start: float = 1.0
+    shares: dict[str, float] = field(default_factory=dict)  # expected token share of each domain at the rates
+    distance: float = 0.0  # what is left between the expected domain tokens and the targets, as a share of all wanted
 
     def posterior(self, bins: Column) -> Column:
         """array of one probability per domain."""
@@ -111,47 +119,74 @@ def fit_classifier(table: DataFrame, labelled: DataFrame) -> Mixture:
     return Mixture(domains, np.log(docs / docs.sum()), np.log(smooth / smooth.sum(axis=2, keepdims=True)))
 
 
-def fit_rates(table: DataFrame, mixture: Mixture, target: dict[str, float], total_factor: float = 1.0, min_rate: float = 0.0) -> Mixture:
+def fit_rates(table: DataFrame, mixture: Mixture, target: dict[str, float], total_factor: float | None = 1.0, min_rate: float = 0.0) -> Mixture:
     """Projected gradient on half the squared distance of expected domain tokens to the targets.
 
     Targets are ``target`` weights of ``total_factor`` times all tokens. The gradient is taken in the metric of
     the tokens, and scaled by the sums of tokens x posterior x posterior over documents off the bound, which makes a
     step without bound exact. ``min_rate`` 0 allows a document to be left out; 1 only repeats documents.
     Domains that no document is labelled with have no posterior and their weight is spread over the others.
+
+    With ``total_factor`` None the total follows from the bound: a domain holds at least ``min_rate`` times its tokens, so
+    the total is the largest such share / weight with some room, raised until the targets are met. The shares reached and the
+    distance left are kept in the mixture, and a distance above MAX_DISTANCE is warned of.
     """
     weights = np.array([max(0.0, target.get(d, 0.0)) for d in mixture.domains])
     weights = weights / weights.sum() if weights.sum() > 0 else np.full(len(weights), 1 / len(weights))
-    mixture.min_rate, mixture.start, mixture.steps = min_rate, total_factor, []
+    # rates follow from posteriors alone, and few of these are different
+    table = store(table.groupBy("p").agg(F.sum("tokens").alias("tokens")), "posterior-tokens")
+    if total_factor is not None:
+        _descend(table, mixture, weights, total_factor, min_rate)
+    else:
+        held = table.agg(F.sum("tokens").alias("all"), *(F.sum(F.col("tokens") * F.get("p", F.lit(d))).alias(f"e{d}") for d in range(len(weights)))).first()
+        bound = [held[f"e{d}"] / held["all"] / w for d, w in enumerate(weights) if w > 0] if held["all"] else []
+        factor = max([1.0, *(min_rate * b * TOTAL_ROOM for b in bound)])
+        for _ in range(MAX_TOTALS):
+            _descend(table, mixture, weights, factor, min_rate)
+            if mixture.distance <= MAX_DISTANCE:
+                break
+            factor *= TOTAL_ROOM
+    if mixture.distance > MAX_DISTANCE:
+        warnings.warn(f"mixing misses its targets: token shares {mixture.shares}, wanted {dict(zip(mixture.domains, weights.tolist()))}, distance {mixture.distance:.4f}", stacklevel=2)
+    return mixture
+
+
+def _descend(table: DataFrame, mixture: Mixture, weights: np.ndarray, total_factor: float, min_rate: float) -> None:
+    """Fits the steps of one total; ``table``: p, tokens."""
+    mixture.min_rate, mixture.start, mixture.steps, mixture.shares, mixture.distance = min_rate, total_factor, [], {}, 0.0
     best = np.inf
     p = [F.get("p", F.lit(d)) for d in range(len(mixture.domains))]
-    for _ in range(MAX_STEPS):
+    pairs = [(a, b) for a in range(len(p)) for b in range(a + 1)]
+    while True:
         rated = table.withColumn("rate", mixture.rate(F.col("p")))
         free = (F.col("rate") > min_rate).cast("double")
-        pairs = [(a, b) for a in range(len(p)) for b in range(a + 1)]
         row = rated.agg(
             F.sum("tokens").alias("all"), *(F.sum(F.col("rate") * F.col("tokens") * p[d]).alias(f"e{d}") for d in range(len(p))),
             *(F.sum(free * F.col("tokens") * p[a] * p[b]).alias(f"m{a}_{b}") for a, b in pairs),
         ).first()
         if not row["all"]:
-            return mixture
+            return
         goal = weights * total_factor * row["all"]
-        off = np.array([row[f"e{d}"] for d in range(len(p))]) - goal
+        reached = np.array([row[f"e{d}"] for d in range(len(p))])
+        off = reached - goal
+        distance = float(np.linalg.norm(off) / goal.sum())
+        if distance > best:
+            mixture.steps.pop()
+            return
+        mixture.shares = dict(zip(mixture.domains, (reached / max(reached.sum(), 1e-300)).tolist()))
+        mixture.distance = distance
         scale = np.zeros((len(p), len(p)))
         for a, b in pairs:
             scale[a, b] = scale[b, a] = row[f"m{a}_{b}"]
         # a little of the trace keeps the scale regular when few documents are free
         step = np.linalg.solve(scale + np.eye(len(p)) * (np.trace(scale) * 1e-9 + 1e-9), off)
-        distance = float(np.linalg.norm(off) / goal.sum())
-        if distance <= TOLERANCE or np.abs(step).max() < TOLERANCE or distance > best * (1 - TOLERANCE):
-            if distance > best:
-                mixture.steps.pop()
-            break
+        if len(mixture.steps) == MAX_STEPS or distance <= TOLERANCE or np.abs(step).max() < TOLERANCE or distance > best * (1 - TOLERANCE):
+            return
         best = distance
         mixture.steps.append(step)
-    return mixture
 
 
-def fit(docs: DataFrame, labelled: DataFrame, target: dict[str, float], total_factor: float = 1.0, min_rate: float = 0.0) -> tuple[Mixture, DataFrame]:
+def fit(docs: DataFrame, labelled: DataFrame, target: dict[str, float], total_factor: float | None = 1.0, min_rate: float = 0.0) -> tuple[Mixture, DataFrame]:
     """The mixture and its table: doc_id, tokens, draw and p, the posteriors, of every row."""
     text = texts_of(docs)
     # the draw that rounds a rate follows the row, so that a repeated run rounds alike
@@ -162,10 +197,10 @@ def fit(docs: DataFrame, labelled: DataFrame, target: dict[str, float], total_fa
     return fit_rates(scored, mixture, target, total_factor, min_rate), scored
 
 
-def rates(docs: DataFrame, labelled: DataFrame, target: dict[str, float], total_factor: float = 1.0, min_rate: float = 0.0) -> DataFrame:
+def rates(docs: DataFrame, labelled: DataFrame, target: dict[str, float], total_factor: float | None = 1.0, min_rate: float = 0.0) -> DataFrame:
     """doc_id, tokens, one posterior column per domain, rate, and copies: the rate rounded up or down by the row's draw.
 
-    Null text is empty and counts one token, repeated rows are rated each (alike), an empty table gives no rows.
+    Null text is empty and counts no token, repeated rows are rated each (alike), an empty table gives no rows.
     """
     mixture, table = fit(docs, labelled, target, total_factor, min_rate)
     rated = table.withColumn("rate", F.round(mixture.rate(F.col("p")), 9))
@@ -173,7 +208,7 @@ def rates(docs: DataFrame, labelled: DataFrame, target: dict[str, float], total_
     return rated.select("doc_id", "tokens", *named, "rate", F.floor(F.col("rate") + F.col("draw")).cast("long").alias("copies"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, target: dict[str, float], total_factor: float = 1.0, min_rate: float = 0.0) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, target: dict[str, float], total_factor: float | None = 1.0, min_rate: float = 0.0) -> DataFrame:
     """``docs`` with every row as often as its rate says; columns stay as they are. The rate is worked out anew from the text, without a join."""
     mixture, _ = fit(docs, labelled, target, total_factor, min_rate)
     text = F.coalesce(F.col("text"), F.lit(""))

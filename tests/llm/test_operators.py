@@ -313,6 +313,28 @@ def test_mixing(spark, odd, small, folder):
     assert mixing.rates(odd.limit(0), labels, {}).count() == 0 and mixing.rates(odd, labels.limit(0), {"x": 1.0}).count() == len(ODD)
 
 
+def test_mixing_meets_targets_by_repeats_alone(spark):
+    """A domain above its weight is met with rates of at least 1, by a total that allows it."""
+    rows = [(i, f"GOOD {i} " + "plain words of text " * 20) if i % 4 else (i, "# $ % & | # \n" * 12) for i in range(400)]
+    marks = spark.createDataFrame([(i, "poor" if i % 4 == 0 else "good") for i in range(400)], "doc_id long, domain string")
+    docs, target = documents(spark, rows), {"good": 0.95, "poor": 0.05}
+    mixture, _ = mixing.fit(docs, marks, target, None, 1.0)
+    assert mixture.distance < mixing.MAX_DISTANCE and abs(mixture.shares["poor"] - 0.05) < 0.005
+    mixed = mixing.mix(docs, marks, target, None, 1.0).collect()
+    assert {r.doc_id for r in mixed} == set(range(400))
+    size = lambda keep: sum(len(r.text.split()) for r in mixed if keep(r))
+    assert abs(size(lambda r: r.doc_id % 4 == 0) / size(lambda r: True) - 0.05) < 0.01
+    with pytest.warns(UserWarning, match="misses its targets"):
+        mixture, _ = mixing.fit(docs, marks, target, 1.1, 1.0)
+    assert mixture.distance > mixing.MAX_DISTANCE and mixture.shares["poor"] > 0.06
+
+
+def test_mixing_counts_words_between_any_white_space(spark):
+    rows = documents(spark, [(1, "one\ntwo\tthree  four\n"), (2, ""), (3, None), (4, " \n"), (5, "word")])
+    got = {r.doc_id: r.tokens for r in mixing.rates(rows, spark.createDataFrame([], "doc_id long, domain string"), {}).collect()}
+    assert got == {1: 4, 2: 0, 3: 0, 4: 0, 5: 1}
+
+
 def test_quotes(spark):
     first = "Hello there my old friend.\n\nSecond paragraph stands here."
     rows = [
