@@ -79,15 +79,17 @@ def parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     """Pairs of parts of different roles at most ``reach`` apart: each part with the role, start and end of the other.
 
-    An interval join: parts are dealt into stretches of ``reach`` by row, and a part meets those of its own
-    stretches and the next ones. Parts have a least length, so a stretch holds a bounded number.
+    An interval join: a part lies in every stretch of ``reach`` code points from its start to its end, and meets those in
+    the stretches from ``reach`` before its start to ``reach`` after its end. Parts have a least length, so a stretch holds
+    a bounded number.
     """
     role = F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv])
     roles = found.withColumn("role", role[F.col("kind")])
     stretch = lambda c: F.floor(F.col(c) / reach)
     left = roles.withColumn("stretch", F.explode(F.sequence(stretch("start") - 1, stretch("end") + 1)))
     right = roles.select(
-        "row_id", F.col("role").alias("o_role"), F.col("kind").alias("o_kind"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), stretch("start").alias("stretch")
+        "row_id", F.col("role").alias("o_role"), F.col("kind").alias("o_kind"), F.col("start").alias("o_start"), F.col("end").alias("o_end"),
+        F.explode(F.sequence(stretch("start"), stretch("end"))).alias("stretch"),
     )
     near = (F.col("o_start") - F.col("end") <= reach) & (F.col("start") - F.col("o_end") <= reach) & (F.col("role") != F.col("o_role"))
     return left.join(right, ["row_id", "stretch"]).where(near).drop("stretch").distinct()

@@ -192,6 +192,23 @@ def test_secrets(spark, odd, small):
     assert secret_scan.secrets_digest(odd.limit(0)).count() == 0
 
 
+def test_parts_in_reach_meet_at_every_offset(spark):
+    """Long and short secrets before and after weak parts, against a plain loop over the parts of each text."""
+    texts = [f"{'.' * at} {a}{' ' * gap}{b} " for at in range(0, 800, 57) for gap in (1, 100, 380, 399, 400, 401, 500)
+             for long in ("token=" + "q" * 74, "token=" + "q" * 900) for a, b in ((long, "client_id=abcd"), ("client_id=abcd", long))]
+    _, found = secret_scan.parts(documents(spark, list(enumerate(texts))))
+    of = {}
+    for r in found.collect():
+        of.setdefault(r.row_id, []).append((r.kind, r.start, r.end))
+    role = secret_scan.ROLE
+    want = {(i, *x, *y) for i, xs in of.items() for x in xs for y in xs
+            if role[x[0]] != role[y[0]] and y[1] - x[2] <= secret_scan.REACH and x[1] - y[2] <= secret_scan.REACH}
+    got = [(r.row_id, r.kind, r.start, r.end, r.o_kind, r.o_start, r.o_end) for r in secret_scan.linked(found).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(of) == len(texts)
+    text = f"token={'q' * 900}{' ' * 94}client_id=abcd"
+    assert secret_scan.secrets_digest(documents(spark, [(1, text)])).first().spans == "assign:0:906,ident:1000:1014"
+
+
 def plain_classes(rows):
     sets = {}
     for i, t in rows:
