@@ -20,7 +20,17 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# The longest run that an IBAN may be part of; the lookahead lets the next start lie inside it.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))")
+_IBAN_END = re.compile("(?<=[A-Z0-9])(?![A-Za-z0-9])")
+# Characters of each country's IBAN (ISO 13616 registry).
+IBAN_LENGTH = {
+    c: int(w[:2]) for w in (
+        "15NO", "16BE", "18DKFIFOFKGLNLSD", "19MKSI", "20ATBAEEKZLTLUMNXK", "21CHHRLILV", "22BGBHCRDEGBGEIEMERSVA", "23AEGIILIQOMSOTL",
+        "24ADCZESMDPKROSASESKSTTNVG", "25LYPT", "26ISTR", "27BIDJFRGRITMCMRSM", "28ALAZBYCYDOGTHNHULBNIPLSV", "29BREGPSQAUA", "30JOKWMUYE",
+        "31MTSC", "32LC", "33RU",
+    ) for c in re.findall("..", w[2:])
+}
 _DIGIT = re.compile("[0-9]")
 
 # Score of a confirmed span without context, and the words that raise or lower it.
@@ -95,9 +105,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def ibans(text: str) -> list[tuple[str, int, int]]:
+    """A match ends where a word does, at its country's length; for a country without one at the longest that mod-97 confirms.
+
+    Such a country's match stands only where none of a listed country is.
+    """
     if not _DIGIT.search(text):
         return []
-    return [("iban", *m.span()) for m in _IBAN.finditer(text) if 15 <= len(m.group().replace(" ", "")) <= 34 and mod97(m.group().replace(" ", ""))]
+    listed: list[tuple[int, int]] = []
+    other: list[tuple[int, int]] = []
+    for m in _IBAN.finditer(text):
+        length = IBAN_LENGTH.get(m[1][:2])
+        spans = other if length is None else listed
+        if spans and m.start() < spans[-1][1]:
+            continue
+        # one more character of the text shows whether the run goes on
+        ends = [e.start() for e in _IBAN_END.finditer(text, m.start() + 15, min(len(text), m.end(1) + 1)) if e.start() <= m.end(1)]
+        for end in reversed(ends):
+            number = text[m.start() : end].replace(" ", "")
+            if 15 <= len(number) <= 34 and length in (None, len(number)) and mod97(number):
+                spans.append((m.start(), end))
+                break
+    alone = [(s, e) for s, e in other if all(e <= a or b <= s for a, b in listed)] if listed else other
+    return [("iban", s, e) for s, e in sorted(listed + alone)]
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:

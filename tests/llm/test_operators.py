@@ -166,6 +166,25 @@ def test_personal_data(spark, odd, small):
     assert pii.redact(odd).columns == odd.columns and pii.pii_digest(odd.limit(0)).count() == 0
 
 
+IBANS = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+
+
+def test_account_numbers_before_and_after_other_words(spark):
+    """Capitals and digits beside an account number do not hide it."""
+    for iban in IBANS:
+        for after in ("", " BIC COBADEFF", " EUR 500", " 00 EUR 500", " A 1", " Please", ". X", " 1234 5678", f" {IBANS[0]}"):
+            for before in ("", "REF ", "AB12 ", "AB12 3456 ", "Konto: "):
+                spans = [(s, e) for _, s, e in pii.ibans(before + iban + after)]
+                assert (len(before), len(before) + len(iban)) in spans, (before, iban, after)
+                assert len(spans) == 1 + (after[1:] == IBANS[0])
+    assert pii.ibans("DE89 3704 0044 0532 0130 01 EUR") == [] == pii.ibans("DE89370400440532013000X")
+    # a country that the list of lengths lacks is confirmed by its checksum
+    number = next(t for t in (f"QQ{k:02d} 3704 0044 0532 0130" for k in range(100)) if pii.mod97(t.replace(" ", "")))
+    assert ("iban", 0, len(number)) in pii.ibans(number + " BIC COBADEFF")
+    text = pii.redact(documents(spark, [(1, "Bank DE89 3704 0044 0532 0130 00 BIC COBADEFF")])).first().text
+    assert text == "Bank [IBAN] BIC COBADEFF"
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
