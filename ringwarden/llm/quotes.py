@@ -1,7 +1,8 @@
 """Quotation linking: quoted passages find the messages they come from; conversations without quotes.
 
 DataFrame functions only. A line's quote level is the number of > marks it begins with. A passage is a
-run of lines of one level without an empty line in between; its normal form has lower case and single spaces.
+run of lines of one level without an empty line in between; its normal form has lower case and single spaces. Beside the
+whole run its lines and its sentences are looked for, so that a trimmed quote finds its original too.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def _normal(text: Column) -> Column:
 
 
 def _passages(lines: Column) -> Column:
-    """Runs of lines of one level as (level, text), by joining all lines with marks between the runs."""
+    """Runs of lines of one level as (level, lines), by joining all lines with marks between the runs."""
     # \x01 parts runs and carries the level; \x02 ends it
     marked = F.array_join(
         F.transform(
@@ -50,7 +51,7 @@ def _passages(lines: Column) -> Column:
                     F.when(
                         (i == 0) | (F.get(lines, i - 1)["level"] != x["level"]) | (F.trim(F.get(lines, i - 1)["body"]) == ""),
                         F.concat(F.lit("\x01"), x["level"].cast("string"), F.lit("\x02")),
-                    ).otherwise(F.lit(" ")),
+                    ).otherwise(F.lit("\n")),
                     F.translate(x["body"], "\x01\x02", "  "),
                 )
             ),
@@ -59,12 +60,34 @@ def _passages(lines: Column) -> Column:
     )
     runs = F.filter(F.split(marked, "\x01"), lambda x: x.contains("\x02"))
     return F.transform(
-        runs, lambda x: F.struct(F.split(x, "\x02")[0].cast("int").alias("level"), _normal(F.split(x, "\x02")[1]).alias("passage"))
+        runs, lambda x: F.struct(F.split(x, "\x02")[0].cast("int").alias("level"), F.split(x, "\x02")[1].alias("passage"))
     )
 
 
+def _pieces(runs: Column) -> Column:
+    """level, run, kind, hashes and size of every run, and of the lines and sentences of those with several."""
+
+    def of(run: Column, i: Column) -> Column:
+        whole = F.array(_normal(run["passage"]))
+        lines = F.transform(F.split(run["passage"], "\n"), _normal)
+        sentences = F.split(_normal(run["passage"]), r"(?<=[.!?])\x20")
+        several = lambda parts: F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
+
+        def named(parts: Column, kind: int) -> Column:
+            return F.transform(
+                F.filter(parts, lambda x: F.length(x) >= MIN_PASSAGE),
+                lambda x: F.struct(
+                    run["level"].alias("level"), i.alias("run"), F.lit(kind).alias("kind"), F.xxhash64(x).alias("h1"), F.hash(x).alias("h2"), F.length(x).alias("size")
+                ),
+            )
+
+        return F.concat(*(named(parts, kind) for kind, parts in enumerate((whole, several(lines), several(sentences)))))
+
+    return F.flatten(F.transform(runs, of))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
-    """message_id, conv_id, turn, role, quote_level, own (the text without quotes) and passages of every row.
+    """message_id, conv_id, turn, role, quote_level, own (the text without quotes), n_quoted and pieces of every row.
 
     Texts without a quote mark are not taken apart: their own text is the whole, as one paragraph per empty line.
     """
@@ -77,15 +100,13 @@ def parsed(messages: DataFrame) -> DataFrame:
     own = F.regexp_replace(F.array_join(F.transform(own_lines, lambda x: x["body"]), "\n"), r"^\s+|\s+$", "")
     level = F.array_max(F.transform("lines", lambda x: x["level"]))
     plain = F.transform(
-        F.split(F.regexp_replace("text", r"\n[\x20\t]*(?=\n)", "\n"), "\n\n+"), lambda x: F.struct(F.lit(0).alias("level"), _normal(x).alias("passage"))
+        F.split(F.regexp_replace("text", r"\n[\x20\t]*(?=\n)", "\n"), "\n\n+"), lambda x: F.struct(F.lit(0).alias("level"), x.alias("passage"))
     )
+    rows = rows.withColumn("pieces", _pieces(F.when(has, _passages(F.col("lines"))).otherwise(plain)))
     return rows.select(
         F.monotonically_increasing_id().alias("message_id"), "conv_id", "turn", "role",
         F.when(has, level).otherwise(0).alias("quote_level"), F.when(has, own).otherwise(F.col("text")).alias("own"),
-        F.transform(
-            F.filter(F.when(has, _passages(F.col("lines"))).otherwise(plain), lambda p: F.length(p["passage"]) >= MIN_PASSAGE),
-            lambda p: F.struct(p["level"].alias("level"), F.xxhash64(p["passage"]).alias("h1"), F.hash(p["passage"]).alias("h2"), F.length(p["passage"]).alias("size")),
-        ).alias("passages"),
+        F.size(F.filter("pieces", lambda p: (p["level"] > 0) & (p["kind"] == 0))).cast("long").alias("n_quoted"), "pieces",
     )
 
 
@@ -109,11 +130,11 @@ def _previous(messages: DataFrame) -> DataFrame:
 def quote_links(table: DataFrame) -> DataFrame:
     """message_id, the message its quotes come from, and how many quoted passages were found.
 
-    For each passage only its first author counts, once within the conversation and once over all, so a passage
+    For each passage, line or sentence only its first author counts, once within the conversation and once over all, so a passage
     that everybody writes is one row and not all pairs. Level 1 tells the parent: the author of most quoted code
     points, the later one of two equals. A message never answers a later one.
     """
-    exploded = table.select("message_id", "conv_id", "turn", F.explode("passages").alias("p")).select("message_id", "conv_id", "turn", "p.*")
+    exploded = table.select("message_id", "conv_id", "turn", F.explode("pieces").alias("p")).select("message_id", "conv_id", "turn", "p.*")
     order = F.struct("conv_id", "turn", "message_id")
     quoted = store(exploded.where("level > 0"), "quoted")
     if quoted.isEmpty():
@@ -125,10 +146,13 @@ def quote_links(table: DataFrame) -> DataFrame:
     met = quoted.join(here, ["conv_id", "h1", "h2"], "left").join(there, ["h1", "h2"], "left")
     mine = F.struct("conv_id", "turn", "message_id")
     met = met.withColumn("source", F.when(F.col("source") < mine, F.col("source")).when(F.col("anywhere") < mine, F.col("anywhere")))
-    votes = met.where("source is not null").groupBy("message_id", "level", "source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("message_id").agg(
-        F.max(F.when(F.col("level") == 1, F.struct("size", "source"))).alias("best"), F.sum("n").alias("n_found")
-    )
+    met = met.where("source is not null")
+    # the whole run, its lines and its sentences are the same code points: the most of the three counts
+    votes = met.groupBy("message_id", "level", "run", "source", "kind").agg(F.sum("size").alias("size"))
+    votes = votes.groupBy("message_id", "level", "run", "source").agg(F.max("size").alias("size"))
+    runs = votes.select("message_id", "run").distinct().groupBy("message_id").agg(F.count(F.lit(1)).alias("n_found"))
+    votes = votes.groupBy("message_id", "level", "source").agg(F.sum("size").alias("size"))
+    best = votes.groupBy("message_id").agg(F.max(F.when(F.col("level") == 1, F.struct("size", "source"))).alias("best")).join(runs, "message_id")
     return best.select("message_id", F.col("best.source.message_id").alias("quoted_id"), "n_found")
 
 
@@ -164,5 +188,5 @@ def conversations(messages: DataFrame) -> DataFrame:
     return out.select(
         "conv_id", "turn", "role", F.col("parent_id_conv").alias("parent_conv"), F.col("parent_id_turn").alias("parent_turn"),
         F.col("root_conv").alias("thread_conv"), F.col("root_turn").alias("thread_turn"), "depth", F.col("quote_level").cast("int").alias("quote_level"),
-        F.size(F.filter("passages", lambda p: p["level"] > 0)).cast("long").alias("n_quoted"), "n_found", F.col("quoted_id").isNotNull().alias("linked"), "own",
+        "n_quoted", "n_found", F.col("quoted_id").isNotNull().alias("linked"), "own",
     )

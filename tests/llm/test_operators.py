@@ -388,6 +388,18 @@ def test_quotes(spark):
     assert quotes.conversations(table).count() == len(rows) and quotes.conversations(table.limit(0)).count() == 0
 
 
+def test_trimmed_quotes_find_their_original(spark):
+    """Some lines or sentences of a paragraph, or a paragraph broken by an answer, link as the whole does."""
+    first = "The first line of it stands here\nand the second line goes on. A sentence of its own follows!\nThen the third line ends it."
+    replies = [
+        "> and the second line goes on. A sentence of its own follows!\nYes to that.", "> A sentence of its own follows!\nIndeed it does.",
+        "> The first line of it stands here\nMy answer in between.\n> Then the third line ends it.\nAnd one more.", "> A sentence of\n> its own follows!\nWrapped anew.",
+    ]
+    rows = [(1, 0, "u", first), (1, 1, "a", "Something else is said here."), *((2 + i, 0, "a", r) for i, r in enumerate(replies))]
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[2 + i, 0].parent_conv, got[2 + i, 0].parent_turn, got[2 + i, 0].n_quoted, got[2 + i, 0].n_found) for i in range(4)] == [(1, 0, n, n) for n in (1, 1, 2, 1)]
+
+
 def test_quotes_round_trip(spark, folder):
     """Conversations written as mail, each message quoting the one before it, come apart into what they were."""
     talks = {}
