@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import huffman, line_rules, mixing, near_text, near_vectors, packing, pii, quotes, secret_scan, toxicity
+from . import (
+    huffman, importance, lexical, line_rules, mixing, near_text, near_vectors, packing, phrase_prints, pii, quotes, secret_scan, toxicity,
+)
+from .sql import SQL
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -58,11 +61,23 @@ def op10_quote_linking(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.conversations(_table(spark, folder, "conversations"))
 
 
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.importance_digest(_table(spark, folder), _table(spark, folder, "benchmark"))
+
+
+def op12_dual_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_table(spark, folder, "benchmark"), _table(spark, folder))
+
+
+def op13_phrase_prints(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_prints.fingerprints(_table(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_probminhash, op2_secret_linking, op3_quantised_vectors, op4_huffman_ids, op5_compression_toxicity,
         op6_cost_packing, op7_line_rules, op8_soft_mixing, op9_pii, op10_quote_linking,
+        op11_importance, op12_dual_tree_search, op13_phrase_prints,
     )
 }
-SQL: dict[str, str] = {}
