@@ -27,67 +27,69 @@ CHUNK_BYTES = 1 << 20
 PARTS_PER_TASK = 4
 
 
-class Parse:
-    """The phrases of one text, in order, with the dictionary to go on from any point before the end."""
-
-    def __init__(self):
-        self.trie: dict[int, int] = {}
-        self.node = 0  # number of the phrase that matches so far, times 256
-
-    def feed(self, data: bytes, at: int) -> tuple[list[int], list[int]]:
-        """Ends of the phrases that ``data`` (which begins at position ``at``) completes, and their keys in the dictionary."""
-        trie, node, ends, keys = self.trie, self.node, [], []
-        get, fresh, end, key_of = trie.get, len(trie) + 1, ends.append, keys.append
-        for byte in data:
-            at += 1
-            key = node | byte
-            node = get(key)
-            if node is None:
-                trie[key] = fresh << 8
-                fresh += 1
-                end(at)
-                key_of(key)
-                node = 0
-        self.node = node
-        return ends, keys
-
-
-def parsed(data: bytes) -> list[int]:
-    """Ends of all phrases; the last one may repeat an earlier one."""
-    ends, _ = Parse().feed(data, 0)
-    if data and (not ends or ends[-1] < len(data)):
-        ends.append(len(data))
-    return ends
-
-
-def parsed_both(data: bytes, cut: int, other: bytes) -> tuple[list[int], list[int]]:
-    """Phrase ends of ``data``, and of its first ``cut`` bytes with ``other`` after them; the part before the cut is parsed once."""
-    state = Parse()
-    shared, _ = state.feed(data[:cut], 0)
-    node = state.node
-    own, keys = state.feed(data[cut:], cut)
-    for key in keys:
-        del state.trie[key]
-    state.node = node
-    edited, _ = state.feed(other, cut)
-    first, second = shared + own, shared + edited
-    for ends, size in ((first, len(data)), (second, cut + len(other))):
-        if size and (not ends or ends[-1] < size):
-            ends.append(size)
-    return first, second
-
-
-def signatures(texts: list[bytes], ends: list[list[int]], size: int = SIZE) -> list[np.ndarray]:
+def extend(trie: dict[int, int], node: int, data: bytes) -> int:
+    """Parse ``data`` from ``node`` on and return the node at its end.
+
+    A key is the number of a phrase (0: none) times 256 plus the byte that follows it; it stands for a phrase of its own, whose
+    number times 256 is the value. Keys stand in the order of the phrases.
+    """
+    get, fresh = trie.get, len(trie) + 1 << 8
+    for byte in data:
+        if (node := get(key := node | byte)) is None:
+            trie[key] = fresh
+            fresh += 256
+            node = 0
+    return node
+
+
+def parsed(data: bytes) -> np.ndarray:
+    """Keys of all phrases. What is left at the end repeats an earlier phrase."""
+    trie: dict[int, int] = {}
+    extend(trie, 0, data)
+    return np.fromiter(trie, np.int64, len(trie))
+
+
+def parsed_both(data: bytes, cut: int, other: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase keys of ``data``, and of its first ``cut`` bytes with ``other`` after them; the part before the cut is parsed once."""
+    trie: dict[int, int] = {}
+    node = extend(trie, 0, data[:cut])
+    shared = len(trie)
+    extend(trie, node, data[cut:])
+    own = np.fromiter(trie, np.int64, len(trie))
+    for _ in range(len(trie) - shared):
+        trie.popitem()
+    extend(trie, node, other)
+    return own, np.fromiter(trie, np.int64, len(trie))
+
+
+def phrase_lengths(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Bytes of every phrase; ``first``: where the phrases of its text start."""
+    parent = keys >> 8
+    lengths = np.ones(len(keys), np.int64)
+    at = np.flatnonzero(parent)  # phrases that are one byte longer than another one, whose length is not added yet
+    up = first[at] + parent[at] - 1
+    known = np.ones(len(keys), bool)
+    known[at] = False
+    while len(at):
+        ready = known[up]
+        lengths[at[ready]] = lengths[up[ready]] + 1
+        known[at[ready]] = True
+        at, up = at[~ready], up[~ready]
+    return lengths
+
+
+def signatures(texts: list[bytes], keys: list[np.ndarray], size: int = SIZE) -> list[np.ndarray]:
     """The smallest distinct 32-bit hashes of each text's phrases, ascending."""
     t = Texts(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64))
-    counts = np.array([len(e) for e in ends], np.int64)
+    counts = np.array([len(k) for k in keys], np.int64)
     row = np.repeat(np.arange(len(texts)), counts)
-    at = np.concatenate([np.array(e, np.int64) for e in ends]) if len(ends) else np.zeros(0, np.int64)
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(counts) else counts
-    start = np.concatenate([[0], at[:-1]]) if len(at) else at
-    start[first[counts > 0]] = 0
-    h = t.hash(t.off[row] + start, t.off[row] + at) >> np.uint64(32)
-    key = np.unique(row.astype(np.uint64) << np.uint64(32) | h)
+    first = np.repeat(np.cumsum(counts) - counts, counts)
+    lengths = phrase_lengths(np.concatenate(keys), first)
+    end = np.cumsum(lengths)
+    end += t.off[row] - (end - lengths)[first]
+    h = t.hash(end - lengths, end) >> np.uint64(32)
+    key = np.sort(row.astype(np.uint64) << np.uint64(32) | h)
+    key = key[np.diff(key, prepend=~key[:1]).astype(bool)]
     edges = np.searchsorted(key, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))
     low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     return [low[a : min(b, a + size)] for a, b in zip(edges[:-1], edges[1:])]
@@ -108,18 +110,17 @@ def printed(signature: np.ndarray) -> str:
 
 def _judged(rows: list[tuple]) -> Iterator[tuple]:
     """Results of all ``rows`` (doc_id, text) but the last, each with the one after it."""
-    texts, ends, shown = [], [], []
+    texts, keys, shown = [], [], []
     for (doc_id, text), (_, after) in zip(rows, rows[1:]):
         n = len(text)
         edited = text[: n - n // 3] + after[: n // 3]
         data, changed = text.encode(), edited.encode()
         cut = len(text[: n - n // 3].encode())
-        first, second = parsed_both(data, cut, changed[cut:])
         texts += [data, changed]
-        ends += [first, second]
+        keys += parsed_both(data, cut, changed[cut:])
         shown.append((doc_id, n, hashlib.sha256(changed).hexdigest()))
     last = rows[-1][1].encode()
-    held = signatures([*texts, last], [*ends, parsed(last)])
+    held = signatures([*texts, last], [*keys, parsed(last)])
     for k, (doc_id, n, digest) in enumerate(shown):
         own, changed, after = held[2 * k], held[2 * k + 1], held[min(2 * k + 2, len(held) - 1)]
         yield doc_id, n, digest, printed(own), printed(changed), likeness(own, changed), likeness(own, after)
