@@ -27,8 +27,7 @@ REMEMBERED_LENGTH = 48
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 # Fixed pattern: letters that are normal as they are and have one lower-case form, then marks that make one piece.
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-MARKS = ".,!?;:"
+PLAIN = re.compile("^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)$", re.MULTILINE)
 
 ID_TYPE = np.dtype("<u4")
 _encoders: dict[str, "Encoder"] = {}
@@ -62,27 +61,20 @@ class Encoder:
         return np.array(ids, self.dtype).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        plain: dict[str, list[tuple[str, str]]] = {}
-        rest = []
-        add = plain.setdefault
-        for word in words:
-            letters = word.rstrip(MARKS)
-            if letters.isascii() and letters.isalpha() or LATIN.fullmatch(letters):
-                add(letters.lower(), []).append((word, word[len(letters) :]))
-            else:
-                rest.append(word)
-        marks = {m for group in plain.values() for _, m in group}
-        tail = {m: self._pack(self.whole.encode(m, add_special_tokens=False).ids) for m in marks}
-        if plain:
-            ids = np.array(self.letters.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize
-            if len(ends) != len(plain):
+        found = PLAIN.findall("\n".join(words))
+        own = [letters + mark for letters, mark in found]
+        rest = list(words.difference(own)) if len(own) < len(words) else []
+        if found:
+            low = "\n".join([letters for letters, _ in found]).lower().split("\n")
+            each = dict.fromkeys(low)  # every lower-case form once, in a set order
+            ids = np.array(self.letters.encode_batch_fast([" ".join(each)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(ends) != len(each):
                 raise ValueError("the tokenizer file does not mark word ends as expected")
-            packed, start = ids.tobytes(), 0
-            for group, end in zip(plain.values(), ends.tolist()):
-                own, start = packed[start:end], end
-                for word, mark in group:
-                    self.known[word] = own + tail[mark]
+            packed = ids.tobytes()
+            each = dict(zip(each, [packed[start:end] for start, end in zip([0, *ends], ends)]))
+            tail = {m: self._pack(self.whole.encode(m, add_special_tokens=False).ids) for m in {mark for _, mark in found}}
+            self.known.update(zip(own, [each[word] + tail[mark] for word, (_, mark) in zip(low, found)]))
         for word, found in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
             self.known[word] = self._pack(found.ids)
 

@@ -161,11 +161,27 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     marks = marks.where(~held_out_fold())
     counts = {r["toxic"]: r["n"] for r in marks.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    known = texts_of(docs).where(F.octet_length("text") <= sample_bytes).join(marks, "doc_id")
-    draw = lambda y, n: known.where((F.col("toxic") == 1) == bool(y)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n).select("text").collect()
-    bad, good = draw(1, sample_toxic), draw(0, sample_ordinary)
+    bad, good = (_sampled(docs, marks.where((F.col("toxic") == 1) == bool(y)), counts.get(y, 0), n, sample_bytes) for y, n in ((1, sample_toxic), (0, sample_ordinary)))
     total = sum(counts.values())
-    return fit([r["text"] for r in bad + good], [1] * len(bad) + [0] * len(good), counts.get(1, 0) / total if bad and good else None)
+    return fit(bad + good, [1] * len(bad) + [0] * len(good), counts.get(1, 0) / total if bad and good else None)
+
+
+def _sampled(docs: DataFrame, marks: DataFrame, count: int, most: int, longest: int) -> list[str]:
+    """Texts of the ``most`` documents of ``marks`` (``count`` rows) whose hashed ids are lowest, without those above ``longest`` bytes.
+
+    The ids are drawn first, below a hash that lets a few more than ``most`` through; no text is shuffled for it, and the driver gets the
+    chosen texts only. Of several texts under one id the smallest counts.
+    """
+    if not count:
+        return []
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    below = int(min(1.0, (most + 4 * most**0.5 + 8) / count) * (1 << 32))
+    drawn = sorted((r["place"], r["doc_id"]) for r in marks.select("doc_id", place.alias("place")).where(F.col("place") < below).collect())[:most]
+    spark = docs.sparkSession
+    ids = spark.createDataFrame([(i,) for _, i in drawn], "doc_id long")
+    chosen = texts_of(docs).join(F.broadcast(ids), "doc_id", "left_semi").where(F.octet_length("text") <= longest)
+    texts = {r["doc_id"]: r["text"] for r in chosen.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    return [texts[i] for _, i in drawn if i in texts]
 
 
 def scored(docs: DataFrame, model: Model, *more: str) -> DataFrame:
