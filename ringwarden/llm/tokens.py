@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,9 @@ from pyspark.sql import DataFrame
 from .support import small_batches, texts_of
 from .text_arrays import chunks
 
-# Words a worker remembers, and the longest it does.
+# Words a worker remembers, and ids of all of them.
 REMEMBERED_WORDS = 600_000
-REMEMBERED_LENGTH = 48
+REMEMBERED_IDS = 8_000_000
 # Fixed value: Python splits at these, the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -55,51 +56,92 @@ class Encoder:
         self.ends_word = np.zeros(self.size, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.remembered = remembered
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # number of each word
+        self.flat, self.start, self.size = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.used = 0
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def _keep(self, words: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Remember the ids of new words, which stand in ``flat`` one after the other."""
+        first, n, used = len(self.known), len(words), self.used
+        self.known.update(zip(words, range(first, first + n)))
+        self.flat = _with_room(self.flat, used + len(flat))
+        self.start, self.size = _with_room(self.start, first + n), _with_room(self.size, first + n)
+        self.flat[used : used + len(flat)] = flat
+        self.size[first : first + n] = sizes
+        self.start[first : first + n] = used + np.cumsum(sizes) - sizes
+        self.used = used + len(flat)
+
     def _learn(self, words: set[str]) -> None:
         found = PLAIN.findall("\n".join(words))
         own = [letters + mark for letters, mark in found]
         rest = list(words.difference(own)) if len(own) < len(words) else []
         if found:
             low = "\n".join([letters for letters, _ in found]).lower().split("\n")
-            each = dict.fromkeys(low)  # every lower-case form once, in a set order
+            each = {word: k for k, word in enumerate(dict.fromkeys(low))}
             ids = np.array(self.letters.encode_batch_fast([" ".join(each)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize).tolist()
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(each):
                 raise ValueError("the tokenizer file does not mark word ends as expected")
-            packed = ids.tobytes()
-            each = dict(zip(each, [packed[start:end] for start, end in zip([0, *ends], ends)]))
-            tail = {m: self._pack(self.whole.encode(m, add_special_tokens=False).ids) for m in {mark for _, mark in found}}
-            self.known.update(zip(own, [each[word] + tail[mark] for word, (_, mark) in zip(low, found)]))
-        for word, found in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[word] = self._pack(found.ids)
+            marks = {mark: k for k, mark in enumerate(dict.fromkeys(mark for _, mark in found))}
+            tails = [self.whole.encode(mark, add_special_tokens=False).ids for mark in marks]
+            tail_ends = np.cumsum([len(t) for t in tails])
+            word = np.fromiter(map(each.__getitem__, low), np.int64, len(low))
+            mark = np.fromiter((marks[m] for _, m in found), np.int64, len(found))
+            # two stretches for each word: its letters, and the marks after them
+            both = np.concatenate([ids, np.array(sum(tails, []), self.dtype)])
+            starts = np.stack([np.append(0, ends)[word], len(ids) + np.append(0, tail_ends)[mark]], 1)
+            sizes = np.stack([ends[word], len(ids) + tail_ends[mark]], 1) - starts
+            self._keep(own, sizes.sum(axis=1), _gathered(both, starts.ravel(), sizes.ravel()))
+        if rest:
+            found = [e.ids for e in self.whole.encode_batch_fast(rest, add_special_tokens=False)]
+            self._keep(rest, np.array([len(f) for f in found], np.int64), np.fromiter(chain.from_iterable(found), self.dtype))
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(number < 0).tolist()
+        if missing:
+            new = {words[k] for k in missing}
+            if len(self.known) + len(new) > self.remembered or self.used > REMEMBERED_IDS:
+                self._forget()
+                self._learn(set(words))
+                return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            self._learn(new)
+            number[missing] = [self.known[words[k]] for k in missing]
+        return number
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         split = [None if any(c in t for c in SEPARATORS) else t.split() for t in texts]
-        words = set().union(*(w for w in split if w))
-        long = {w: self._pack(self.whole.encode(w, add_special_tokens=False).ids) for w in words if len(w) > REMEMBERED_LENGTH}
-        words.difference_update(long)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = words
-        self._learn(new)
-        if long:
-            known = self.known
-            get = lambda w: known[w] if w in known else long[w]
-        else:
-            get = self.known.__getitem__
+        number = self._numbers([*chain.from_iterable(w for w in split if w)])
+        size = self.size[number]
+        packed = _gathered(self.flat, self.start[number], size).tobytes()
+        after = np.append(0, np.cumsum(size))[np.cumsum([len(w or ()) for w in split], dtype=np.int64)] * self.dtype.itemsize
         return [
-            self._pack(self.whole.encode(t, add_special_tokens=False).ids) if w is None else b"".join(map(get, w))
-            for t, w in zip(texts, split)
+            self._pack(self.whole.encode(t, add_special_tokens=False).ids) if w is None else packed[a:b]
+            for t, w, a, b in zip(texts, split, [0, *after.tolist()], after.tolist())
         ]
 
 
+def _with_room(values: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(values):
+        return values
+    out = np.zeros(max(n, 2 * len(values)), values.dtype)
+    out[: len(values)] = values
+    return out
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int, *more: str, compact: bool = False) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit, the end id last) of every row of ``docs``.
 
