@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import FLAG_THRESHOLD
 from ..functions import probability as prob
 from ..functions.scoring import clip
+from ..session import shuffle_width, store
+from .graph import sampling_key
 from .metrics import grid, one_row, steps_reached
+from .ordered import Ascending, Descending, global_rank, running_totals
 
 Calibrator = Callable[[DataFrame], DataFrame]
 
@@ -89,48 +92,150 @@ def temperature_calibrator(fit_on: DataFrame) -> Calibrator:
     )
 
 
-# --- Platt and isotonic -------------------------------------------------------------
+# --- Platt ------------------------------------------------------------------------
 
 
-def _as_vector(df: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=["y_prob"], outputCol="_x").transform(df)
+def fit_platt(fit_on: DataFrame, rounds: int = 25) -> tuple[float, float]:
+    """Slope and intercept of a logistic fit on the score, regularised as ``C = 1``.
+
+    Newton's method on rows added up per score: a round is one aggregate of five sums.
+    """
+    counts = fit_on.groupBy(F.col("y_prob").alias("x")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("y_true").cast("double")).alias("pos")
+    ).persist()
+    start = counts.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).first()
+    slope, intercept = 0.0, math.log((start["pos"] + 0.5) / (start["n"] - start["pos"] + 0.5)) if start["n"] else 0.0
+    x, n = F.col("x"), F.col("n")
+    for _ in range(rounds):
+        p = 1.0 / (1.0 + F.exp(-(F.lit(slope) * x + F.lit(intercept))))
+        s = counts.agg(
+            F.sum((n * p - F.col("pos")) * x).alias("gx"), F.sum(n * p - F.col("pos")).alias("g1"),
+            F.sum(n * p * (1.0 - p) * x * x).alias("hxx"), F.sum(n * p * (1.0 - p) * x).alias("hx1"), F.sum(n * p * (1.0 - p)).alias("h11"),
+        ).first()
+        if s["h11"] is None:
+            break
+        gx, hxx = s["gx"] + slope, s["hxx"] + 1.0
+        area = hxx * s["h11"] - s["hx1"] ** 2
+        if area <= 0:  # all rows of one label: the intercept alone would run away
+            break
+        step = ((s["h11"] * gx - s["hx1"] * s["g1"]) / area, (hxx * s["g1"] - s["hx1"] * gx) / area)
+        slope, intercept = slope - step[0], intercept - step[1]
+        if max(map(abs, step)) < 1e-12:
+            break
+    counts.unpersist()
+    return slope, intercept
 
 
 def platt_calibrator(fit_on: DataFrame) -> Calibrator:
-    """One-feature logistic fit, regularised as ``C = 1``; rows pre-added per score."""
-    counts = fit_on.groupBy("y_prob", F.col("y_true").cast("double").alias("label")).agg(
-        F.count(F.lit(1)).cast("double").alias("w")
-    )
-    rows = fit_on.count()
-    model = LogisticRegression(
-        featuresCol="_x", labelCol="label", weightCol="w", standardization=False,
-        regParam=1.0 / max(rows, 1), maxIter=100,
-    ).fit(_as_vector(counts))
+    slope, intercept = fit_platt(fit_on)
+    return lambda df: df.withColumn("y_cal", 1.0 / (1.0 + F.exp(-(F.lit(slope) * F.col("y_prob") + F.lit(intercept)))))
+
 
-    def apply(df: DataFrame) -> DataFrame:
-        scored = model.transform(_as_vector(df))
-        return scored.withColumn("y_cal", vector_to_array("probability")[1]).select(*df.columns, "y_cal")
+# --- isotonic ---------------------------------------------------------------------
 
-    return apply
+# Slices that one task pools into one, and blocks up to which the fit is broadcast (32 bytes each).
+SLICES_TOGETHER = 16
+BROADCAST_BLOCKS = 1_000_000
+_BLOCK = "part int, lo double, hi double, n long, pos long"
 
 
-def isotonic_calibrator(fit_on: DataFrame, score_step: float = 1e-6) -> Calibrator:
-    """Monotone fit, linear between its boundaries, clipped outside.
+def _pooled(lo, hi, n, pos) -> list[list]:
+    """Adjacent violators pooled from left to right; columns of the blocks left, means strictly rising.
 
-    Rows are added up per ``score_step`` before the fit, so at most ``1 / score_step``
-    weighted points reach it however long the table is.
+    Means are compared in whole numbers, so the result does not depend on how the points were cut up.
+    """
+    out: list[list] = [[], [], [], []]
+    los, his, ns, sums = out
+    for a, b, k, y in zip(lo, hi, n, pos):
+        while ns and sums[-1] * k >= y * ns[-1]:
+            a = los.pop()
+            his.pop()
+            k += ns.pop()
+            y += sums.pop()
+        los.append(a)
+        his.append(b)
+        ns.append(k)
+        sums.append(y)
+    return out
+
+
+def isotonic_blocks(fit_on: DataFrame) -> DataFrame:
+    """(lo, hi, n, pos): the blocks of the best rising step function of the label over the score, exact.
+
+    Rows are added up per score, so a frequent score is one point. Scores are range-split, each slice pools its points, and
+    neighbouring slices are then pooled together, a few at a time: pooling the blocks of pooled slices gives what pooling
+    all points would. The means of blocks rise strictly, so N rows leave about N**(2/3) blocks at most, and mostly
+    a few hundred, however many scores there are. Null and NaN scores, and null labels, take no part.
     """
-    digits = max(0, round(-math.log10(score_step)))
-    points = fit_on.groupBy(F.round("y_prob", digits).alias("x")).agg(
-        F.avg(F.col("y_true").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w")
+    known = fit_on.where(F.col("y_true").isNotNull() & F.col("y_prob").isNotNull() & ~F.isnan("y_prob"))
+    points = known.groupBy(F.col("y_prob").cast("double").alias("x")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("y_true").cast("long")).alias("pos")
     )
-    model = IsotonicRegression(featuresCol="x", labelCol="label", weightCol="w").fit(points)
-
-    def apply(df: DataFrame) -> DataFrame:
-        scored = model.transform(df.withColumn("x", F.col("y_prob")))
-        return scored.withColumn("y_cal", clip(F.col("prediction"), 0.0, 1.0)).select(*df.columns, "y_cal")
-
-    return apply
+    slices = shuffle_width(fit_on.sparkSession)
+    ranged = points.repartitionByRange(slices, "x").sortWithinPartitions("x").select("x", "n", "pos")
+
+    def pool_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held: list[list] = [[], [], [], []]
+        for batch in batches:
+            x, n, pos = (c.to_pylist() for c in batch.columns)
+            held = _pooled(held[0] + x, held[1] + x, held[2] + n, held[3] + pos)
+        yield _blocks(part, held)
+
+    def pool_group(table: pa.Table) -> pa.Table:
+        table = table.sort_by("lo")
+        return pa.Table.from_batches([_blocks(table.column("part")[0].as_py(), _pooled(*(table.column(c).to_pylist() for c in ("lo", "hi", "n", "pos"))))])
+
+    blocks = store(ranged.mapInArrow(pool_slice, _BLOCK), "isotonic")
+    while slices > 1:
+        slices = -(-slices // SLICES_TOGETHER)
+        together = blocks.withColumn("part", F.floor(F.col("part") / SLICES_TOGETHER).cast("int"))
+        blocks = store(together.groupBy("part").applyInArrow(pool_group, _BLOCK), "isotonic")
+    return blocks.drop("part")
+
+
+def _blocks(part: int, columns: list[list]) -> pa.RecordBatch:
+    kinds = (pa.float64(), pa.float64(), pa.int64(), pa.int64())
+    arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+    return pa.RecordBatch.from_arrays([pa.array([part] * len(columns[0]), pa.int32()), *arrays], names=["part", "lo", "hi", "n", "pos"])
+
+
+def isotonic_calibrator(fit_on: DataFrame) -> Calibrator:
+    """The exact monotone fit, linear between its blocks, clipped outside; null and NaN scores stay uncalibrated (null)."""
+    blocks = isotonic_blocks(fit_on).withColumn("v", F.col("pos") / F.col("n"))
+    count = blocks.count()
+    if not count:
+        return lambda df: df.withColumn("y_cal", F.lit(None).cast("double"))
+    if count <= BROADCAST_BLOCKS:
+        rows = blocks.select("lo", "hi", "v").orderBy("lo").collect()
+        knots = np.array([(x, r["v"]) for r in rows for x in (r["lo"], r["hi"])]).T
+        return lambda df: _interpolated(df, knots)
+    knots = blocks.select(F.explode(F.array("lo", "hi")).alias("x"), "v").distinct()
+    return lambda df: _interpolated_in_order(df, knots)
+
+
+def _interpolated(df: DataFrame, knots: np.ndarray) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(knots)
+
+    @F.pandas_udf("double")
+    def value(x: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(x.to_numpy(dtype=float, na_value=np.nan), *shared.value))
+
+    return df.withColumn("y_cal", F.nanvl(value(F.col("y_prob").cast("double")), F.lit(None).cast("double")))
+
+
+def _interpolated_in_order(df: DataFrame, knots: DataFrame) -> DataFrame:
+    """The same for fits of any size: scores and knots stand in one order, and each score looks at the knots on both sides."""
+    scores = df.select(F.col("y_prob").cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")).distinct()
+    both = knots.select("x", F.struct("x", "v").alias("knot")).unionByName(
+        scores.join(knots, "x", "left_anti").select("x", F.lit(None).cast("struct<x:double,v:double>").alias("knot"))
+    )
+    seen = running_totals(both, order=[Ascending("x")], lasts={"below": "knot"})
+    seen = running_totals(seen, order=[Descending("x")], lasts={"above": "knot"})
+    x0, v0, x1, v1 = (F.col(c) for c in ("below.x", "below.v", "above.x", "above.v"))
+    inside = F.when(x1 > x0, v0 + (F.col("x") - x0) * (v1 - v0) / (x1 - x0)).otherwise(v0)
+    values = seen.select("x", F.when(x0.isNull(), v1).when(x1.isNull(), v0).otherwise(inside).alias("y_cal"))
+    return df.join(values.withColumnRenamed("x", "_x"), F.col("y_prob").cast("double") == F.col("_x"), "left").drop("_x")
 
 
 CALIBRATORS: dict[str, Callable[[DataFrame], Calibrator]] = {
@@ -140,10 +245,11 @@ CALIBRATORS: dict[str, Callable[[DataFrame], Calibrator]] = {
 }
 
 
-def stratified_halves(df: DataFrame) -> DataFrame:
-    """Adds ``part`` fit / test by an id hash; both labels land in both parts."""
-    even = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
-    return df.withColumn("part", F.when(even, "fit").otherwise("test"))
+def stratified_halves(df: DataFrame, seed: int = 42) -> DataFrame:
+    """Adds ``part`` fit / test: the rows of each label take turns in hash order, so both parts have its share to one row."""
+    keyed = df.withColumn("_key", sampling_key("id", seed=seed))
+    ranked = global_rank(keyed, keys=["y_true"], order=[Ascending("_key"), Ascending("id")], name="_r")
+    return ranked.withColumn("part", F.when(F.col("_r") % 2 == 1, "fit").otherwise("test")).drop("_key", "_r")
 
 
 def _metric_row(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..constants import FEATURES, TABULAR_FEATURES
+from ..constants import FEATURES, FLAG_THRESHOLD, TABULAR_FEATURES
 from ..functions import scoring
 from ..functions.scoring import feature_columns
 from ..operators import calibration, drift, graph, learn, metrics, rings
@@ -382,8 +382,53 @@ def temperature_calibrate(spark, folder):
     return scored.agg(F.round(F.max(F.lit(t)), 4).alias("temperature"))
 
 
+_HALVES = """
+halves AS MATERIALIZED (SELECT id, y_true, y_prob, row_number() OVER (PARTITION BY y_true ORDER BY md5(id || '|42'), id) % 2 AS fits FROM scored),
+points AS MATERIALIZED (SELECT y_prob AS x, count(*) AS n, sum(y_true) AS pos FROM halves WHERE fits = 1 GROUP BY 1)"""
+
+# Runs of falling means are one block of any fit; over those, the largest of the smallest means of stretches around each is the fit.
+_ISOTONIC = """
+steps AS (SELECT *, coalesce(pos * lag(n) OVER w > lag(pos) OVER w * n, FALSE) AS rises FROM points WINDOW w AS (ORDER BY x)),
+runs AS (SELECT g, min(x) AS lo, max(x) AS hi, sum(n) AS n, sum(pos) AS pos FROM (SELECT *, sum(rises::INTEGER) OVER (ORDER BY x) AS g FROM steps) GROUP BY g),
+sums AS MATERIALIZED (SELECT *, sum(n) OVER (ORDER BY g) AS cn, sum(pos) OVER (ORDER BY g) AS cp FROM runs),
+least_means AS (SELECT k.g, min((k.cp - j.cp + j.pos) / (k.cn - j.cn + j.n)) OVER (PARTITION BY j.g ORDER BY k.g DESC) AS low FROM sums j JOIN sums k ON k.g >= j.g),
+fitted AS (SELECT g, max(low) AS v FROM least_means GROUP BY g),
+knots AS MATERIALIZED (SELECT DISTINCT unnest([lo, hi]) AS x, v FROM (SELECT min(lo) AS lo, max(hi) AS hi, v FROM fitted JOIN runs USING (g) GROUP BY v)),
+isotonic AS MATERIALIZED (SELECT id, y_true, y_prob, CASE WHEN a.x IS NULL THEN b.v WHEN b.x IS NULL OR b.x = a.x THEN a.v
+  ELSE a.v + (y_prob - a.x) * (b.v - a.v) / (b.x - a.x) END AS y_cal
+  FROM (SELECT * FROM halves WHERE fits = 0) t ASOF LEFT JOIN knots a ON t.y_prob >= a.x ASOF LEFT JOIN knots b ON t.y_prob <= b.x)"""
+
+
+def _platt_sql(rounds=12):
+    ctes = ["p0 AS (SELECT CAST(0 AS DOUBLE) AS a, ln((sum(pos) + 0.5) / (sum(n) - sum(pos) + 0.5)) AS b FROM points)"]
+    for i in range(1, rounds + 1):
+        ctes.append(f"""s{i} AS MATERIALIZED (SELECT a, b, sum((n * p - pos) * x) + a AS gx, sum(n * p - pos) AS g1,
+          sum(n * p * (1 - p) * x * x) + 1 AS hxx, sum(n * p * (1 - p) * x) AS hx1, sum(n * p * (1 - p)) AS h11
+          FROM (SELECT *, 1 / (1 + exp(-(a * x + b))) AS p FROM points, p{i - 1}) GROUP BY a, b)""")
+        ctes.append(f"""p{i} AS MATERIALIZED (SELECT a - (h11 * gx - hx1 * g1) / (hxx * h11 - hx1 * hx1) AS a,
+          b - (hxx * g1 - hx1 * gx) / (hxx * h11 - hx1 * hx1) AS b FROM s{i})""")
+    ctes.append(f"platt AS (SELECT id, y_true, y_prob, 1 / (1 + exp(-(a * y_prob + b))) AS y_cal FROM halves, p{rounds} WHERE fits = 0)")
+    return ",\n".join(ctes)
+
+
+def _halved_temperature_sql():
+    """Candidates and losses over the fitting half."""
+    whole = _temperature_sql().replace("FROM scored GROUP BY", "FROM halves WHERE fits = 1 GROUP BY")
+    ctes, last = whole.removeprefix("WITH ").rsplit(" SELECT round(t, 4) AS temperature FROM ", 1)
+    logit = "ln(greatest(1e-6, least(1 - 1e-6, y_prob)) / (1 - greatest(1e-6, least(1 - 1e-6, y_prob))))"
+    return f"""{ctes},
+temperature AS (SELECT id, y_true, y_prob, greatest(0, least(1, 1 / (1 + exp(-greatest(-30, least(30, {logit} / greatest(t, 0.05))))))) AS y_cal
+  FROM halves, {last} WHERE fits = 0)"""
+
+
+def _compare_row(method, source, column):
+    index = "least(9, " + " + ".join(f"({column} >= {e!r})::INTEGER" for e in _EDGES[1:]) + ")"
+    return f"""SELECT '{method}' AS method, round((SELECT avg(power({column} - y_true, 2)) FROM {source}), 5) AS brier_score,
+  round((SELECT sum(n * abs(y - p)) / sum(n) FROM (SELECT {index} AS b, count(*) AS n, avg(y_true) AS y, avg({column}) AS p FROM {source} GROUP BY 1)), 5) AS ece"""
+
+
 def _halves(spark, folder):
-    split = calibration.stratified_halves(scored_of(spark, folder))
+    split = store(calibration.stratified_halves(scored_of(spark, folder)), "halves")
     return split.where("part = 'fit'"), split.where("part = 'test'")
 
 
@@ -392,22 +437,34 @@ def _calibrated(spark, folder, method):
     return calibration.CALIBRATORS[method](fit)(test).select("id", "y_true", "y_prob", r("y_cal").alias("y_cal"))
 
 
-@query("isotonic_calibrate")
+@query("isotonic_calibrate", "scored", f"WITH {_HALVES}, {_ISOTONIC} SELECT id, y_true, y_prob, round(y_cal, 6) AS y_cal FROM isotonic")
 def isotonic_calibrate(spark, folder):
     return _calibrated(spark, folder, "isotonic")
 
 
-@query("platt_calibrate")
+@query("platt_calibrate", "scored", f"WITH {_HALVES}, {_platt_sql()} SELECT id, y_true, y_prob, round(y_cal, 6) AS y_cal FROM platt")
 def platt_calibrate(spark, folder):
     return _calibrated(spark, folder, "platt")
 
 
-@query("calibration_compare")
+@query("calibration_compare", "scored", f"""WITH {_HALVES}, {_ISOTONIC}, {_platt_sql()}, {_halved_temperature_sql()}
+{_compare_row("Uncalibrated", "isotonic", "y_prob")} UNION ALL {_compare_row("Platt", "platt", "y_cal")}
+UNION ALL {_compare_row("Temperature", "temperature", "y_cal")} UNION ALL {_compare_row("Isotonic", "isotonic", "y_cal")}""")
 def calibration_compare(spark, folder):
     return calibration.calibration_compare(*_halves(spark, folder))
 
 
-@query("calibration_lift")
+def _lift_sql():
+    index = lambda c: "least(9, " + " + ".join(f"({c} >= {e!r})::INTEGER" for e in _EDGES[1:]) + ")"
+    brier = lambda c: f"(SELECT avg(power({c} - y_true, 2)) FROM isotonic)"
+    gap = lambda c: f"(SELECT sum(n * abs(y - p)) / sum(n) FROM (SELECT {index(c)} AS b, count(*) AS n, avg(y_true) AS y, avg({c}) AS p FROM isotonic GROUP BY 1))"
+    return f"""WITH {_HALVES}, {_ISOTONIC}, four AS (SELECT {brier("y_prob")} AS b0, {brier("y_cal")} AS b1, {gap("y_prob")} AS e0, {gap("y_cal")} AS e1)
+SELECT 'isotonic' AS method, round(b0, 5) AS brier_before, round(b1, 5) AS brier_after, round(e0, 5) AS ece_before, round(e1, 5) AS ece_after,
+  round((1 - b1 / greatest(b0, 1e-6)) * 100, 2) AS brier_reduction_pct, round((1 - e1 / greatest(e0, 1e-6)) * 100, 2) AS ece_reduction_pct,
+  CAST(0.008264 AS DOUBLE) AS bayes_optimal_threshold, CAST({FLAG_THRESHOLD} AS DOUBLE) AS operational_threshold FROM four"""
+
+
+@query("calibration_lift", "scored", _lift_sql())
 def calibration_lift(spark, folder):
     return calibration.calibration_lift(*_halves(spark, folder))
 

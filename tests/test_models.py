@@ -100,6 +100,58 @@ def noisy(spark):
     return spark.createDataFrame(rows, "id long, y_true int, y_prob double").cache()
 
 
+def plain_isotonic(rows):
+    """Mean label of each score's block: the largest, over the starts before it, of the smallest mean of a stretch that holds it."""
+    points = {}
+    for x, y in rows:
+        n, pos = points.get(x, (0, 0))
+        points[x] = (n + 1, pos + y)
+    xs = sorted(points)
+    mean = lambda j, k: sum(points[x][1] for x in xs[j : k + 1]) / sum(points[x][0] for x in xs[j : k + 1])
+    return {x: max(min(mean(j, k) for k in range(i, len(xs))) for j in range(i + 1)) for i, x in enumerate(xs)}
+
+
+@pytest.mark.parametrize("together", [2, 16])
+def test_isotonic_is_exact(spark, monkeypatch, together):
+    monkeypatch.setattr(calibration, "SLICES_TOGETHER", together)
+    rng = random.Random(together)
+    rows = [(rng.randrange(60) / 60 + 1e-9 * rng.randrange(2), int(rng.random() < 0.5)) for _ in range(400)]
+    rows += [(0.25, 1)] * 200  # a score with a third of all rows
+    frame = spark.createDataFrame([(k, y, x) for k, (x, y) in enumerate(rows)], "id long, y_true int, y_prob double")
+    want = plain_isotonic(rows)
+    got = calibration.isotonic_calibrator(frame)(frame).select("y_prob", "y_cal").distinct().collect()
+    assert {r.y_prob: r.y_cal for r in got} == pytest.approx(want)
+    blocks = calibration.isotonic_blocks(frame).orderBy("lo").collect()
+    assert sum(b.n for b in blocks) == len(rows) and all(a.pos * b.n < b.pos * a.n for a, b in zip(blocks, blocks[1:]))
+
+
+def test_isotonic_between_and_outside(spark, monkeypatch):
+    fit = spark.createDataFrame([(1, 0, 0.2), (2, 0, 0.4), (3, 1, 0.6), (4, 0, None), (5, 1, float("nan")), (6, None, 0.9)], "id long, y_true int, y_prob double")
+    asked = spark.createDataFrame([(i, x) for i, x in enumerate([0.0, 0.2, 0.3, 0.45, 0.5, 0.6, 1.0, None, float("nan"), 0.5])], "id long, y_prob double")
+    want = [0.0, 0.0, 0.0, 0.25, 0.5, 1.0, 1.0, None, None, 0.5]
+    for blocks in (calibration.BROADCAST_BLOCKS, 0):
+        monkeypatch.setattr(calibration, "BROADCAST_BLOCKS", blocks)
+        got = calibration.isotonic_calibrator(fit)(asked).orderBy("id").collect()
+        assert [None if r.y_cal is None else round(r.y_cal, 9) for r in got] == want
+    nothing = calibration.isotonic_calibrator(fit.limit(0))(asked)
+    assert nothing.columns == ["id", "y_prob", "y_cal"] and nothing.where("y_cal is not null").count() == 0
+
+
+def test_platt_has_no_gradient_left(noisy):
+    a, b = calibration.fit_platt(noisy)
+    rows = [(r.y_prob, r.y_true) for r in noisy.collect()]
+    p = [1 / (1 + math.exp(-(a * x + b))) for x, _ in rows]
+    assert sum((q - y) * x for q, (x, y) in zip(p, rows)) + a == pytest.approx(0, abs=1e-6)
+    assert sum(q - y for q, (_, y) in zip(p, rows)) == pytest.approx(0, abs=1e-6)
+    assert calibration.fit_platt(noisy.limit(0)) == (0.0, 0.0)
+
+
+def test_halves_hold_both_labels(noisy):
+    counts = {(r.y_true, r.part): r["count"] for r in calibration.stratified_halves(noisy).groupBy("y_true", "part").count().collect()}
+    for label in (0, 1):
+        assert 0 <= counts[label, "fit"] - counts[label, "test"] <= 1
+
+
 def test_calibrators(noisy):
     iso = calibration.isotonic_calibrator(noisy)(noisy).select("y_prob", "y_cal").distinct().orderBy("y_prob").collect()
     values = [r.y_cal for r in iso]
