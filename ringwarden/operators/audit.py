@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import AUDIT_COLUMNS
 from ..functions.transaction import entity_id
+from ..session import store
 
 DEFAULT_NOTE = "No note was left by the analyst."
 
@@ -26,9 +28,22 @@ def audit_records(requests: DataFrame) -> DataFrame:
 
 
 def audit_append(records: DataFrame, path: str) -> None:
-    """Append, one folder per day; the rebalance keeps files few and splits a busy day."""
-    daily = records.withColumn("day", F.substring("timestamp", 1, 10)).hint("rebalance", "day")
-    daily.write.mode("append").partitionBy("day").parquet(path)
+    """Append what the log does not hold yet, one folder per month; running it again appends nothing.
+
+    Only the ids of months that ``records`` touch are read. The rebalance keeps files few and splits a busy month.
+    """
+    spark = records.sparkSession
+    monthly = _once(records).withColumn("month", F.substring("timestamp", 1, 7))
+    try:
+        log = spark.read.schema(monthly.select(*AUDIT_COLUMNS, "month").schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        months = monthly.select("month").distinct()
+        known = log.select("month", "audit_id").join(months, "month", "left_semi").select("audit_id")
+        monthly = store(monthly.join(known, "audit_id", "left_anti"), "audit")
+    monthly.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
 
 
 def _once(records: DataFrame) -> DataFrame:

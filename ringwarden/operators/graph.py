@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..constants import LINK_KINDS, NEIGHBOR_CAP_DEFAULT, NEIGHBOR_CAPS
 from ..session import cut_lineage, store
+from .ordered import Ascending, global_rank
 from .spread import ROWS_PER_SLICE, SpreadRows, per_key, spread_rows
 
 
@@ -420,28 +421,49 @@ def identifier_components(
 # --- neighbourhoods ---------------------------------------------------------------
 
 
+# Seeds that one 64-bit word of a seed set stands for.
+SEEDS_PER_WORD = 64
+
+
+def numbered_seeds(seeds: DataFrame) -> DataFrame:
+    """(seed, word, bit): every distinct seed has one bit of one word. Stored, so that a number stays what it is."""
+    ranked = global_rank(seeds.select(F.col("id").alias("seed")).where("seed is not null").distinct(), order=[Ascending("seed")], name="rank")
+    place = F.col("rank") - 1
+    return store(ranked.select("seed", F.floor(place / SEEDS_PER_WORD).cast("int").alias("word"), (place % SEEDS_PER_WORD).cast("int").alias("bit")), "seeds")
+
+
+def two_hop_sets(edges: DataFrame, numbered: DataFrame, *, weight: str | None = None, min_weight: float = 0.1) -> DataFrame:
+    """(src, dst, word, seeds): each edge once for every word of seeds it is near to, with the bits of those seeds.
+
+    Near is what touches a seed or one of its neighbours; first hops are of any weight. A hub that all seeds
+    share costs its edges once for each 64 seeds, not once for each seed. Sets of bits are joined by ``bit_or``, which combines
+    map-side; the sets of nodes are stored, so that adaptive execution splits the edges of a hub.
+    """
+    bits = numbered.select("seed", "word", F.expr("shiftleft(1L, bit) AS bits"))
+    ends = edges.select("src", "dst").where("src is not null and dst is not null")
+    hops = [
+        ends.join(bits, ends[here] == bits["seed"]).select(F.col(there).alias("id"), "word", "bits")
+        for here, there in (("src", "dst"), ("dst", "src"))
+    ]
+    near = bits.select(F.col("seed").alias("id"), "word", "bits").union(hops[0]).union(hops[1])
+    near = store(near.groupBy("id", "word").agg(F.bit_or("bits").alias("bits")), "near-seeds")
+    kept = edges.where(F.col(weight) > min_weight) if weight else edges
+    met = [kept.select("src", "dst").join(near, F.col(end) == F.col("id")).select("src", "dst", "word", "bits") for end in ("src", "dst")]
+    return met[0].union(met[1]).groupBy("src", "dst", "word").agg(F.bit_or("bits").alias("seeds"))
+
+
+def opened_sets(sets: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(seed, src, dst) of the sets of ``two_hop_sets``."""
+    held = F.expr(f"filter(sequence(0, {SEEDS_PER_WORD - 1}), k -> (seeds & shiftleft(1L, k)) != 0)")
+    return sets.withColumn("bit", F.explode(held)).join(numbered, ["word", "bit"]).select("seed", "src", "dst")
+
+
 def two_hop_subgraph(
     edges: DataFrame, seeds: DataFrame, *, weight: str | None = None, min_weight: float = 0.1
 ) -> DataFrame:
-    """(seed, src, dst): edges that touch a seed or one of its neighbours."""
-    touching = (
-        edges.join(seeds.select(F.col("id").alias("seed")), F.col("src") == F.col("seed"))
-        .select("seed", "src", "dst")
-        .union(
-            edges.join(seeds.select(F.col("id").alias("seed")), F.col("dst") == F.col("seed")).select(
-                "seed", "src", "dst"
-            )
-        )
-    )
-    near = (
-        touching.select("seed", F.explode(F.array("src", "dst")).alias("id"))
-        .union(seeds.select(F.col("id").alias("seed"), "id"))
-        .distinct()
-    )
-    kept = edges.where(F.col(weight) > min_weight) if weight else edges
-    outward = kept.join(near, F.col("src") == F.col("id")).select("seed", "src", "dst")
-    inward = kept.join(near, F.col("dst") == F.col("id")).select("seed", "src", "dst")
-    return outward.union(inward).distinct()
+    """(seed, src, dst): edges that touch a seed or one of its neighbours. ``two_hop_sets`` is the compact form."""
+    numbered = numbered_seeds(seeds)
+    return opened_sets(two_hop_sets(edges, numbered, weight=weight, min_weight=min_weight), numbered)
 
 
 def sampling_key(*columns, seed: int = 0):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vec
 from ..functions.scoring import sigmoid
 from .graph import sampling_key
+from ..session import store
 from .ordered import Ascending, Descending, global_rank
 from .spread import per_key
 
@@ -98,7 +99,8 @@ def gat_attention(nodes: DataFrame, edges: DataFrame, *, dim: int, score) -> Dat
     Peak and normaliser are plain aggregates per node (combined map-side) rather
     than a window, so a hub's edges are never brought into one task.
     """
-    scored = gat_scores(nodes, edges, score)
+    # stored: the joins below deal the edges anew, and so can split those of a hub
+    scored = store(gat_scores(nodes, edges, score), "gat-scores")
     peak = per_key(scored.groupBy("dst").agg(F.max("score").alias("peak")))
     weighted = scored.join(peak, "dst").withColumn("w", F.exp(F.col("score") - F.col("peak")))
     summed = vector_sum(weighted, by="dst", vector="x_src", dim=dim, weight=F.col("w"), extra={"mass": F.sum("w")})
@@ -107,7 +109,7 @@ def gat_attention(nodes: DataFrame, edges: DataFrame, *, dim: int, score) -> Dat
 
 def attention_weights(nodes: DataFrame, edges: DataFrame, *, score) -> DataFrame:
     """(src, dst, alpha) of the same softmax."""
-    scored = gat_scores(nodes, edges, score).drop("x_src")
+    scored = store(gat_scores(nodes, edges, score).drop("x_src"), "gat-scores")
     peak = per_key(scored.groupBy("dst").agg(F.max("score").alias("peak")))
     lifted = scored.join(peak, "dst").withColumn("w", F.exp(F.col("score") - F.col("peak")))
     mass = per_key(lifted.groupBy("dst").agg(F.sum("w").alias("mass")))

@@ -9,6 +9,7 @@ from ..constants import CACHE_TTL_SECONDS, FEATURES
 from ..schemas import FEATURE_RECORD
 
 MICROS = 1_000_000
+from .spread import per_key
 
 
 def with_expiry(df: DataFrame, *, written_us: str, ttl_sec: int = CACHE_TTL_SECONDS) -> DataFrame:
@@ -36,8 +37,12 @@ def is_live(now_us: Column, expire_us: Column) -> Column:
 
 
 def lookup_ttl(requests: DataFrame, snapshot: DataFrame, *, key: str, value: str, now_us: Column) -> DataFrame:
-    """Requests with the stored value where it is present and unexpired."""
-    stored = snapshot.select(key, F.col(value).alias("_value"), F.col("expire_us").alias("_expire"))
+    """Requests with the stored value where it is present and unexpired.
+
+    The snapshot is written first, so that the requests of a hot key can be split: a join with an
+    aggregate on the key would keep the aggregate's partitions.
+    """
+    stored = per_key(snapshot.select(key, F.col(value).alias("_value"), F.col("expire_us").alias("_expire")))
     joined = requests.join(stored, key, "left")
     live = F.coalesce(is_live(now_us, F.col("_expire")), F.lit(False)) & F.col("_value").isNotNull()
     return joined.select(*requests.columns, F.when(live, F.col("_value")).alias(value), live.alias("cache_hit"))

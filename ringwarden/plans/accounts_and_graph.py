@@ -256,10 +256,10 @@ def _sample_sql(fanout):
     return f"WITH {', '.join(ctes)} {' UNION ALL '.join(names)}"
 
 
-@query("neighbor_sample", "txn cedges", _sample_sql((3, 2)))
+@query("neighbor_sample", "txn cedges", _sample_sql((25, 10, 5)))
 def neighbor_sample(spark, folder):
     fraud = txn_of(spark, folder).where("isFraud = 1").select(F.col("nameOrig").alias("id"))
-    return graph.neighbor_sample(account_edges(spark, folder), fraud, fanout=(3, 2))
+    return graph.neighbor_sample(account_edges(spark, folder), fraud, fanout=(25, 10, 5))
 
 
 _CAP = "CASE relation " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in NEIGHBOR_CAPS.items()) + " ELSE 12 END"

@@ -182,11 +182,11 @@ def _fraud_and_clean(spark, folder):
 @query("decoy_edges", "labels_of", f"""
 WITH c AS MATERIALIZED (SELECT account_id, row_number() OVER (ORDER BY account_id) AS pos, count(*) OVER () AS n FROM labels_of WHERE label = 0),
 w AS (SELECT account_id AS src, k, i AS copy, {HASH.format("'0:' || account_id || ':' || k || ':' || i")} % (SELECT max(n) FROM c) + 1 AS pos
-  FROM labels_of CROSS JOIN (SELECT unnest([10, 50]) AS k) CROSS JOIN range(1, 51) g(i) WHERE label = 1 AND i <= k)
+  FROM labels_of CROSS JOIN (SELECT unnest([10, 50, 100, 500]) AS k) CROSS JOIN range(1, 501) g(i) WHERE label = 1 AND i <= k)
 SELECT CAST(k AS INTEGER) AS k, src, CAST(copy AS INTEGER) AS copy, c.account_id AS dst FROM w JOIN c USING (pos)""")
 def decoy_edges(spark, folder):
     _, fraud, clean = _fraud_and_clean(spark, folder)
-    return plant.decoy_edges(fraud, clean, k_values=(0, 10, 50))
+    return plant.decoy_edges(fraud, clean, k_values=(0, 10, 50, 100, 500))
 
 
 @query("stress_curve", "labels_of acct cedges", f"""
@@ -249,22 +249,9 @@ def stream_velocity(spark, folder):
 SELECT user_id, h * {_HOUR} AS start_us, count(*) AS tx_velocity, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS amount_velocity
 FROM (SELECT *, unnest(range(ts_us // {_HOUR} - 23, ts_us // {_HOUR} + 1)) AS h FROM ev) GROUP BY 1, 2""")
 def stream_velocity_sliding(spark, folder):
-    rows = jobs.run_to_table(jobs.sliding_velocity(_stream(spark, folder)), mode="append", label="sliding")
-    return _closed(rows, jobs.sliding_velocity, spark, folder)
-
-
-def _closed(rows, build, spark, folder):
-    """The windows the stream has closed, and those its watermark still holds open.
-
-    A finished stream leaves the last day's windows open; a batch run of the same
-    expression gives them, so the result covers all events.
-    """
-    batch = build(views.events(spark, folder))
-    keys = ["user_id", "window_start"]
-    still_open = batch.join(rows, keys, "left_anti")
-    return rows.unionByName(still_open).select(
-        "user_id", F.unix_micros("window_start").alias("start_us"), "tx_velocity", F.col("amount_velocity").cast("double").alias("amount_velocity")
-    )
+    """Every window as it stands when the feed ends, those still open included."""
+    rows = jobs.run_updates(jobs.sliding_velocity(_stream(spark, folder)), ["user_id", "window_start"], label="sliding")
+    return rows.select("user_id", F.unix_micros("window_start").alias("start_us"), "tx_velocity", F.col("amount_velocity").cast("double").alias("amount_velocity"))
 
 
 @query("stream_rate_limit", "ev", """
@@ -350,16 +337,11 @@ def stream_audit(spark, folder):
 SELECT user_id, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS events FROM (
   SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS g FROM (
     SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) < {4 * _HOUR} THEN 0 ELSE 1 END AS s FROM ev))
-GROUP BY user_id, g HAVING count(*) >= 4""")
+GROUP BY user_id, g HAVING count(*) >= 4 AND max(ts_us) + {4 * _HOUR} <= (SELECT max(ts_us) // 1000 * 1000 FROM ev) - {24 * _HOUR}""")
 def stream_session_burst(spark, folder):
-    """Four-hour gap, because the sparse events have no five-minute bursts."""
-    gap_us = 4 * _HOUR
-    stream = jobs.session_burst(_stream(spark, folder), gap="4 hours", min_events=4)
-    rows = jobs.run_to_table(stream, label="sessions")
-    # sessions the watermark still holds open when the feed ends come from the batch form
-    batch = jobs.session_burst(views.events(spark, folder), gap="4 hours", min_events=4)
-    both = rows.unionByName(batch.join(rows, ["user_id", "start_us"], "left_anti"))
-    return both.select("user_id", "start_us", (F.col("end_us") - gap_us).alias("end_us"), "events")
+    """Sessions the watermark has closed when the feed ends; a four-hour gap, because the sparse events have no five-minute bursts."""
+    rows = jobs.run_to_table(jobs.session_burst(_stream(spark, folder), gap="4 hours", min_events=4), label="sessions")
+    return rows.select("user_id", "start_us", (F.col("end_us") - 4 * _HOUR).alias("end_us"), "events")
 
 
 @query("session_bursts", "ev", f"""
@@ -376,7 +358,5 @@ SELECT device_id, ts_us // 60000000 * 60000000 AS minute_us, count(*) AS total,
   round(count(*) FILTER (WHERE value > 100) * 1.0 / count(*), 6) AS flag_rate FROM ev GROUP BY 1, 2""")
 def stream_merchant_minute(spark, folder):
     """Devices stand in for merchants; values above 100 for flagged payments."""
-    build = lambda events: jobs.merchant_minute(events, merchant="device_id", flagged=F.col("value") > 100)
-    rows = jobs.run_to_table(build(_stream(spark, folder)), label="minutes")
-    still_open = build(views.events(spark, folder)).join(rows, ["device_id", "minute_us"], "left_anti")
-    return rounded(rows.unionByName(still_open), "flag_rate")
+    minutes = jobs.merchant_minute(_stream(spark, folder), merchant="device_id", flagged=F.col("value") > 100)
+    return rounded(jobs.run_updates(minutes, ["device_id", "minute_us"], label="minutes"), "flag_rate")

@@ -52,13 +52,13 @@ def feature_cache(spark, folder):
 
 
 def _audit_requests(spark, folder):
-    """One analyst decision per flagged order, at the order's own time."""
-    orders = views.table(spark, folder, "orders").where("o_totalprice > 400000")
+    """One analyst decision per order, at the order's own time."""
+    orders = views.table(spark, folder, "orders")
     return orders.select(
         F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("account_id"),
         F.when(F.col("o_orderstatus") == "F", "CONFIRMED_FLAG").otherwise("OVERRIDDEN_CLEAN").alias("decision"),
         F.concat(F.lit("analyst_"), (F.col("o_orderkey") % 7).cast("string")).alias("analyst_id"),
-        F.round(F.col("o_totalprice") / 600000.0, 6).alias("risk_score"),
+        (F.col("o_totalprice").cast("double") / 600000.0).alias("risk_score"),
         F.when(F.col("o_orderkey") % 3 == 0, "checked by phone").alias("notes"),
         F.lit("Flagged for Physical Delivery Verification").alias("action_taken"),
         (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=(F.col("o_orderkey") % 86400).cast("decimal(18,6)"))).alias("requested_at"),
@@ -70,18 +70,18 @@ SELECT account_id, decision, analyst_id, risk_score, notes, action_taken, strfti
   'audit_' || substr(sha256(account_id || '|' || analyst_id || '|' || decision || '|' || CAST(epoch_us(stamp) AS VARCHAR)), 1, 14) AS audit_id
 FROM (SELECT 'C' || CAST(o_custkey AS VARCHAR) AS account_id,
     CASE WHEN o_orderstatus = 'F' THEN 'CONFIRMED_FLAG' ELSE 'OVERRIDDEN_CLEAN' END AS decision,
-    'analyst_' || CAST(o_orderkey % 7 AS VARCHAR) AS analyst_id, round(o_totalprice / 600000.0, 6) AS risk_score,
+    'analyst_' || CAST(o_orderkey % 7 AS VARCHAR) AS analyst_id, CAST(o_totalprice AS DOUBLE) / 600000.0 AS risk_score,
     CASE WHEN o_orderkey % 3 = 0 THEN 'checked by phone' ELSE 'No note was left by the analyst.' END AS notes,
     'Flagged for Physical Delivery Verification' AS action_taken,
     CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS stamp
-  FROM orders WHERE o_totalprice > 400000)"""
+  FROM orders)"""
 
 
 @query("audit_append", "", _AUDIT_SQL)
 def audit_append(spark, folder):
     path = scratch_path(spark, "audit")
     audit.audit_append(audit.audit_records(_audit_requests(spark, folder)), path)
-    return spark.read.parquet(path).drop("day")
+    return spark.read.parquet(path).drop("month")
 
 
 @query("audit_list", "", f"SELECT *, count(*) OVER () AS total_records FROM ({_AUDIT_SQL}) ORDER BY timestamp DESC, audit_id")

@@ -18,6 +18,7 @@ from ..operators import audit as audit_ops
 from ..operators.drift import drift_report
 from ..operators.rings import ring_report
 from ..operators.snapshots import is_live
+from ..operators.spread import per_key
 from ..operators.temporal import MICROS, rate_limit, rolling_velocity
 from ..schemas import EVENT
 from ..session import scratch_path
@@ -37,10 +38,14 @@ def event_stream(spark: SparkSession, folder: str, *, files: str = "events*.parq
     return shape_events(reader.parquet(folder))
 
 
-def run_to_table(stream: DataFrame, *, mode: str = "append", label: str = "stream") -> DataFrame:
-    """Run over everything available, write Parquet in the shared folder, read it back."""
+def run_to_table(stream: DataFrame, *, mode: str = "append", label: str = "stream", folder: str | None = None) -> DataFrame:
+    """Run over everything available, write Parquet below ``folder``, read all of it back.
+
+    With a ``folder`` a later call goes on where the last one stopped, with the state it had; without, a new one is
+    made in the shared folder.
+    """
     spark = stream.sparkSession
-    base = scratch_path(spark, label)
+    base = folder or scratch_path(spark, label)
     query = (
         stream.writeStream.outputMode(mode)
         .format("parquet")
@@ -53,11 +58,14 @@ def run_to_table(stream: DataFrame, *, mode: str = "append", label: str = "strea
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
-def run_batches(stream: DataFrame, step: Callable[[DataFrame, int, str], None], *, label: str) -> str:
-    """Run ``step(batch, batch_id, folder)`` over everything available; returns the folder."""
-    base = scratch_path(stream.sparkSession, label)
+def run_batches(
+    stream: DataFrame, step: Callable[[DataFrame, int, str], None], *, label: str, folder: str | None = None, mode: str = "append"
+) -> str:
+    """Run ``step(batch, batch_id, folder)`` over everything available and return the folder; goes on as ``run_to_table`` does."""
+    base = folder or scratch_path(stream.sparkSession, label)
     query = (
-        stream.writeStream.foreachBatch(lambda batch, batch_id: step(batch, batch_id, base))
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(lambda batch, batch_id: step(batch, batch_id, base))
         .option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True)
         .start()
@@ -66,6 +74,17 @@ def run_batches(stream: DataFrame, step: Callable[[DataFrame, int, str], None],
     return base
 
 
+def run_updates(aggregate: DataFrame, keys: list[str], *, label: str, folder: str | None = None) -> DataFrame:
+    """Run an aggregate in update mode: each batch writes the rows it changed, and a key's latest row counts.
+
+    Windows that the watermark still holds open are among them, as they stand.
+    """
+    base = run_batches(aggregate, lambda batch, batch_id, at: _write_batch(batch, at, "out", batch_id), label=label, folder=folder, mode="update")
+    rows = read_batches(aggregate.sparkSession, base, "out")
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in aggregate.columns if c not in keys]), "batch").alias("w"))
+    return latest.select(*keys, "w.*").select(*aggregate.columns)
+
+
 def _write_batch(df: DataFrame, folder: str, name: str, batch_id: int) -> None:
     """One folder per batch id: a batch that is run again replaces its own output."""
     df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
@@ -124,7 +143,7 @@ def with_recent_history(batch: DataFrame, batch_id: int, folder: str, *, ts_us:
     return known.withColumn("is_new", F.col("batch") == batch_id).drop("batch", "slot")
 
 
-def exact_velocity(events: DataFrame, *, key: str = "user_id", amount: str = "value", ts_us: str = "ts_us", window_sec: int = 86_400) -> DataFrame:
+def exact_velocity(events: DataFrame, *, key: str = "user_id", amount: str = "value", ts_us: str = "ts_us", window_sec: int = 86_400, into: str | None = None) -> DataFrame:
     """Exact trailing totals of every event, as known when its batch arrived."""
 
     def step(batch: DataFrame, batch_id: int, folder: str) -> None:
@@ -132,11 +151,11 @@ def exact_velocity(events: DataFrame, *, key: str = "user_id", amount: str = "va
         totals = rolling_velocity(rows, key=key, ts_us=ts_us, amount=amount, window_sec=window_sec)
         _write_batch(totals.where("is_new").drop("is_new"), folder, "out", batch_id)
 
-    folder = run_batches(events, step, label="velocity")
+    folder = run_batches(events, step, label="velocity", folder=into)
     return read_batches(events.sparkSession, folder, "out").drop("batch")
 
 
-def stream_rate_limit(events: DataFrame, *, key: str = "user_id", ts_us: str = "ts_us", max_requests: int = 100, window_sec: int = 60) -> DataFrame:
+def stream_rate_limit(events: DataFrame, *, key: str = "user_id", ts_us: str = "ts_us", max_requests: int = 100, window_sec: int = 60, into: str | None = None) -> DataFrame:
     """Requests in the trailing window, counted over batch and stored history."""
 
     def step(batch: DataFrame, batch_id: int, folder: str) -> None:
@@ -144,7 +163,7 @@ def stream_rate_limit(events: DataFrame, *, key: str = "user_id", ts_us: str = "
         limited = rate_limit(rows, key=key, ts_us=ts_us, max_requests=max_requests, window_sec=window_sec)
         _write_batch(limited.where("is_new").drop("is_new"), folder, "out", batch_id)
 
-    folder = run_batches(events, step, label="rate-limit")
+    folder = run_batches(events, step, label="rate-limit", folder=into)
     return read_batches(events.sparkSession, folder, "out").drop("batch")
 
 
@@ -182,7 +201,7 @@ def score_events(events: DataFrame, snapshot: DataFrame, *, key: str, probabilit
     The snapshot side is a static join; Spark broadcasts it only while its size
     is under the session's broadcast limit.
     """
-    stored = snapshot.select(F.col(key), F.col(value).alias("_cached"), F.col("expire_us").alias("_expire"))
+    stored = per_key(snapshot.select(F.col(key), F.col(value).alias("_cached"), F.col("expire_us").alias("_expire")))
     live = F.coalesce(is_live(F.col("ts_us"), F.col("_expire")), F.lit(False))
     cached = F.when(live, F.col("_cached"))
     return events.join(stored, key, "left").select(
@@ -192,43 +211,36 @@ def score_events(events: DataFrame, snapshot: DataFrame, *, key: str, probabilit
     )
 
 
-def nearline_scores(writes: DataFrame, *, key: str = "account_id", ts: str = "written_at", score: str = "score", ttl_sec: int = CACHE_TTL_SECONDS) -> DataFrame:
-    """Latest score per key with its expiry, kept up to date (update mode).
+def nearline_scores(
+    writes: DataFrame, *, key: str = "account_id", ts: str = "written_at", score: str = "score", ttl_sec: int = CACHE_TTL_SECONDS,
+    watermark: str = WATERMARK,
+) -> DataFrame:
+    """Latest score per key and slot of one TTL, with its expiry, kept up to date (update mode).
 
-    A max over (time, score) is combined before the state, so one state row per
-    key is all a hot key costs.
+    A max over (time, score) is combined before the state, so a hot key costs one state row a slot. A live write lies in the
+    slot of now or the one before, so slots that the watermark has left behind leave the state: it holds the keys of about two TTLs and
+    not every key ever seen. Without a TTL nothing expires, and neither does the state.
     """
-    latest = writes.groupBy(key).agg(F.max(F.struct(F.unix_micros(ts).alias("at"), F.col(score).alias("score"))).alias("w"))
-    expire = F.col("w.at") + ttl_sec * MICROS if ttl_sec else F.lit(0).cast("bigint")
-    return latest.select(key, F.col("w.at").alias("written_us"), F.col("w.score").alias("score"), expire.alias("expire_us"))
+    at = F.max(F.struct(F.unix_micros(ts).alias("at"), F.col(score).alias("score"))).alias("w")
+    if not ttl_sec:
+        return writes.groupBy(key).agg(at).select(key, F.col("w.at").alias("written_us"), F.col("w.score").alias("score"), F.lit(0).cast("bigint").alias("expire_us"))
+    slots = writes.withWatermark(ts, watermark).groupBy(F.window(ts, f"{ttl_sec} seconds"), key).agg(at)
+    return slots.select(key, F.col("w.at").alias("written_us"), F.col("w.score").alias("score"), (F.col("w.at") + ttl_sec * MICROS).alias("expire_us"))
 
 
-def nearline_table(writes: DataFrame, *, label: str = "nearline", **options) -> DataFrame:
-    """Run to a stored snapshot: each batch writes its updated keys, the newest wins."""
-    def step(batch: DataFrame, batch_id: int, folder: str) -> None:
-        _write_batch(batch, folder, "out", batch_id)
-
-    spark = writes.sparkSession
-    base = scratch_path(spark, label)
-    query = (
-        nearline_scores(writes, **options)
-        .writeStream.outputMode("update")
-        .foreachBatch(lambda b, i: step(b, i, base))
-        .option("checkpointLocation", f"{base}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+def nearline_table(writes: DataFrame, *, label: str = "nearline", into: str | None = None, **options) -> DataFrame:
+    """Run to a stored snapshot: each batch writes its updated slots, the newest write of a key wins."""
+    step = lambda batch, batch_id, at: _write_batch(batch, at, "out", batch_id)
+    base = run_batches(nearline_scores(writes, **options), step, label=label, folder=into, mode="update")
     key = options.get("key", "account_id")
-    rows = read_batches(spark, base, "out")
-    newest = rows.groupBy(key).agg(F.max(F.struct("batch", "written_us", "score", "expire_us")).alias("w"))
+    newest = read_batches(writes.sparkSession, base, "out").groupBy(key).agg(F.max(F.struct("written_us", "score", "expire_us")).alias("w"))
     return newest.select(key, "w.written_us", "w.score", "w.expire_us")
 
 
 # --- rings, drift, audit ----------------------------------------------------------------------------
 
 
-def ring_alerts(payments: DataFrame, scores: DataFrame, *, window_sec: int = 86_400) -> DataFrame:
+def ring_alerts(payments: DataFrame, scores: DataFrame, *, window_sec: int = 86_400, into: str | None = None) -> DataFrame:
     """Ring report after every batch over the payments of the last ``window_sec``."""
 
     def step(batch: DataFrame, batch_id: int, folder: str) -> None:
@@ -245,20 +257,20 @@ def ring_alerts(payments: DataFrame, scores: DataFrame, *, window_sec: int = 86_
         )
         _write_batch(ring_report(recent.drop("batch", "slot"), scores), folder, "out", batch_id)
 
-    folder = run_batches(payments, step, label="rings")
+    folder = run_batches(payments, step, label="rings", folder=into)
     return read_batches(payments.sparkSession, folder, "out")
 
 
-def drift_batches(scored: DataFrame, reference: DataFrame, *, score: str, features: list[str]) -> DataFrame:
+def drift_batches(scored: DataFrame, reference: DataFrame, *, score: str, features: list[str], into: str | None = None) -> DataFrame:
     """Drift report of every micro-batch against the reference."""
 
     def step(batch: DataFrame, batch_id: int, folder: str) -> None:
         _write_batch(drift_report(reference, batch, score=score, features=features), folder, "out", batch_id)
 
-    folder = run_batches(scored, step, label="drift")
+    folder = run_batches(scored, step, label="drift", folder=into)
     return read_batches(scored.sparkSession, folder, "out")
 
 
-def audit_log(requests: DataFrame) -> DataFrame:
+def audit_log(requests: DataFrame, *, into: str | None = None) -> DataFrame:
     """Append-only decision log through a checkpointed file sink."""
-    return run_to_table(audit_ops.audit_records(requests), label="audit")
+    return run_to_table(audit_ops.audit_records(requests), label="audit", folder=into)

@@ -175,6 +175,19 @@ def test_two_hop(spark):
     assert got == {("a", "a", "b"), ("a", "b", "c")}
 
 
+def test_two_hop_writes_an_edge_once_for_many_seeds(spark):
+    """A hub between 100 seeds: two words of seeds, so at most two rows for each edge."""
+    rows = [(f"s{i:03d}", "hub", 0.01) for i in range(100)] + [("hub", f"t{i}", 1.0) for i in range(30)] + [("t1", "far", 1.0), (None, "t2", 1.0)]
+    edges = spark.createDataFrame(rows, "src string, dst string, w double")
+    seeds = spark.createDataFrame([(f"s{i:03d}",) for i in range(100)] + [("s001",), ("alone",), (None,)], "id string")
+    numbered = graph.numbered_seeds(seeds)
+    sets = graph.two_hop_sets(edges, numbered, weight="w")
+    assert sets.count() == 2 * 30
+    got = {tuple(r) for r in graph.opened_sets(sets, numbered).collect()}
+    assert got == {(f"s{i:03d}", "hub", f"t{k}") for i in range(100) for k in range(30)}
+    assert graph.two_hop_subgraph(edges, seeds.limit(0)).count() == 0
+
+
 def test_topk_cap_keeps_the_latest(spark):
     rows = [("FROM_IP", "ip1", f"t{i}", float(i), 1.0) for i in range(10)] + [("OTHER", "x", f"t{i}", 1.0, float(i)) for i in range(20)]
     df = spark.createDataFrame(rows, "relation string, node string, tx string, timestamp double, amount double")

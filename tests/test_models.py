@@ -291,7 +291,10 @@ def test_audit_round_trip(spark, tmp_path):
 
     rows = [("a", "CONFIRMED_FLAG", "x", 0.9, None, "Hold", dt.datetime(2024, 1, 1, 10)), ("b", "OVERRIDDEN_CLEAN", "y", 0.2, "ok", "None", dt.datetime(2024, 1, 2, 10))]
     records = audit.audit_records(spark.createDataFrame(rows, ddl))
-    audit.audit_append(records, str(tmp_path / "log"))
+    audit.audit_append(records.limit(1), str(tmp_path / "log"))
+    for _ in range(2):  # the second run finds all of it there
+        audit.audit_append(records.union(records), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
     listed = audit.audit_list(spark.read.parquet(str(tmp_path / "log"))).collect()
     assert [r.account_id for r in listed] == ["b", "a"] and listed[0].total_records == 2
     assert listed[1].notes == "No note was left by the analyst."

@@ -63,7 +63,62 @@ def test_score_and_nearline_streams(spark, folder, late_feed):
     writes = stream.select(F.col("user_id").alias("account_id"), F.col("ts").alias("written_at"), (F.col("value") / 1000).alias("score"))
     table = jobs.nearline_table(writes)
     newest = views.events(spark, folder).groupBy("user_id").agg(F.max("ts_us").alias("t"))
-    assert rows(table.select("account_id", "written_us")) == rows(newest)
+    day = 86_400_000_000
+    end = newest.agg(F.max("t")).first()[0]
+    # writes that came later than the watermark allows have expired
+    live = table.where(F.col("expire_us") > end)
+    assert rows(live.select("account_id", "written_us")) == rows(newest.where(F.col("t") + day > end))
+
+
+def feed_of(spark, path, batches):
+    """One file per batch of (account_id, day)."""
+    for batch in batches:
+        stamped = spark.createDataFrame(batch, "account_id long, day double").select(
+            "account_id", F.timestamp_micros((F.lit(1_700_006_400_000_000) + F.col("day") * 86_400_000_000).cast("long")).alias("written_at"), (F.col("day") / 100).alias("score")
+        )
+        stamped.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema("account_id long, written_at timestamp, score double").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_nearline_state_falls_after_the_ttl(spark, tmp_path):
+    stream = feed_of(spark, str(tmp_path / "in"), [[(i, 0.5) for i in range(200)], [(1, 4.5)], [(2, 8.5)], [(2, 8.6)]])
+    query = (
+        jobs.nearline_scores(stream).writeStream.outputMode("update").foreachBatch(lambda b, i: b.count())
+        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert held[0] == 200 and held[-1] <= 2
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    batches = [[(i % 7, i / 40) for i in range(k, 80, 4)] for k in range(4)]
+    feed, own = str(tmp_path / "in"), str(tmp_path / "own")
+    first = jobs.nearline_table(feed_of(spark, feed, batches[:2]), into=own)
+    assert first.count() == 7
+    both = jobs.nearline_table(feed_of(spark, feed, batches[2:]), into=own)
+    whole = jobs.nearline_table(feed_of(spark, str(tmp_path / "all"), batches))
+    assert rows(both) == rows(whole) and rows(both) != rows(first)
+    ev = lambda path: spark.readStream.schema("account_id long, written_at timestamp, score double").parquet(path).select(
+        F.col("account_id").alias("user_id"), F.unix_micros("written_at").alias("ts_us"), F.col("score").alias("value"))
+    later, at = str(tmp_path / "later"), str(tmp_path / "velocity")
+    feed_of(spark, later, batches[:2])
+    jobs.exact_velocity(ev(later), into=at)
+    feed_of(spark, later, batches[2:])
+    got = jobs.exact_velocity(ev(later), into=at)
+    assert got.count() == 80 and got.agg(F.max("tx_velocity")).first()[0] > 1
+
+
+def test_updates_cover_open_windows_and_need_the_stream(spark, tmp_path):
+    minute = lambda path: jobs.merchant_minute(
+        spark.readStream.schema("account_id long, written_at timestamp, score double").option("maxFilesPerTrigger", 1).parquet(path).withColumnRenamed("written_at", "ts"),
+        merchant="account_id", flagged=F.col("score") > 0.01)
+    feed = str(tmp_path / "in")
+    feed_of(spark, feed, [[(1, 0.0), (1, 0.0001)], [(1, 0.0002), (2, 2.0)]])
+    got = jobs.run_updates(minute(feed), ["account_id", "minute_us"], label="minutes").select("account_id", "total", "flagged")
+    assert rows(got) == [(1, 3, 0), (2, 1, 1)]
+    feed_of(spark, str(tmp_path / "none"), [[]])
+    assert jobs.run_updates(minute(str(tmp_path / "none")), ["account_id", "minute_us"], label="minutes").count() == 0
 
 
 def test_dedupe(spark, late_feed):
