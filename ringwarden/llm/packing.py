@@ -59,7 +59,8 @@ def assign(lengths: np.ndarray, capacity: int = CAPACITY, linear: float = LINEAR
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
-    Documents are dealt by a hash of the row into groups of about ``group_bytes`` of text, each packed by one task;
+    Documents are dealt by a hash into groups of about ``group_bytes`` of text, each packed by one task; copies of a row go to
+    groups of their own, so no row that repeats fills a group;
     sequence_id is the group times 2**32 plus the sequence's number in it. Null text is empty and gives
     one piece of the end id. Repeated rows are packed each. An empty table gives no pieces.
     """
@@ -67,8 +68,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     rows = texts_of(docs)
     size = rows.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
     groups = int(size) // group_bytes + 1
-    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
-    ids = token_ids(dealt, tokenizer, end_id, "deal", compact=True)
+    ids = token_ids(rows, tokenizer, end_id, compact=True, place=True)
+    ids = ids.withColumn("deal", F.pmod(F.xxhash64("place"), F.lit(groups))).drop("place")
     packed_type = encoder(tokenizer).dtype
 
     def packed(table: pa.Table) -> pa.Table:

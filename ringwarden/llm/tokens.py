@@ -11,11 +11,14 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .support import small_batches, texts_of
@@ -142,10 +145,11 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int, *more: str, compact: bool = False) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int, *more: str, compact: bool = False, place: bool = False) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit, the end id last) of every row of ``docs``.
 
-    ``compact``: 16-bit ids where the vocabulary allows, as ``Encoder.dtype`` says.
+    ``compact``: 16-bit ids where the vocabulary allows, as ``Encoder.dtype`` says. ``place``: adds a hash of the row, of the
+    input partition and of how many equal rows came before it there, which tells copies apart and stays the same when a task runs again.
 
     Null text counts as empty and gives the end id alone. Repeated rows stay. Columns other than
     doc_id, text and ``more`` are not read.
@@ -158,6 +162,14 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, *more: str, compact:
         enc = encoder(tokenizer)
         width = enc.dtype if compact else ID_TYPE
         end = np.array([end_id], width).tobytes()
+        seen: Counter = Counter()
+        part = TaskContext.get().partitionId()
+
+        def place_of(doc_id: int | None, packed: bytes) -> int:
+            row = (doc_id, zlib.crc32(packed))
+            seen[row] += 1
+            return zlib.crc32(f"{row}:{part}:{seen[row]}".encode())
+
         for batch in chunks(batches, "text"):
             ids = enc.encode(batch.column("text").to_pylist())
             if width != enc.dtype:
@@ -165,7 +177,11 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, *more: str, compact:
             ids = [x + end for x in ids]
             columns = [batch.column(f.name) for f in kept]
             columns += [pa.array([len(x) // width.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + ["n_tokens", "ids"])
+            if place:
+                columns.append(pa.array(list(map(place_of, batch.column("doc_id").to_pylist(), ids)), pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     schema = rows.select(*[f.name for f in kept]).schema.add("n_tokens", "long").add("ids", "binary")
+    if place:
+        schema = schema.add("place", "long")
     return rows.mapInArrow(encode, schema)

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ringwarden.llm import huffman, line_rules, mixing, near_text, near_vectors, packing, pii, quotes, secret_scan, toxicity
@@ -90,6 +91,13 @@ def test_pieces_cover_documents(odd, small):
     assert packing.packing_digest(odd.limit(0), TOKENIZER).count() == 0
 
 
+def test_copies_of_a_row_spread_over_groups(spark):
+    copies = documents(spark, [(7, "the same words in every copy " * 20)] * 300 + [(None, None)] * 300).repartition(3)
+    pieces = packing.pack(copies, TOKENIZER, group_bytes=4000).groupBy((F.col("sequence_id") / 2**32).cast("int").alias("deal"))
+    sizes = [r["count"] for r in pieces.count().collect()]
+    assert sum(sizes) >= 600 and len(sizes) > 20 and max(sizes) < 60
+
+
 def test_cost_is_balanced():
     pieces = packing.assign(np.array([1000, 900, 500, 500, 400, 300, 300, 196]), 2048)
     cost = {}
