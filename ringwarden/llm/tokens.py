@@ -63,7 +63,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}  # number of each word
-        self.flat, self.start, self.size = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.flat, self.start, self.length = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = 0
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -74,9 +74,9 @@ class Encoder:
         first, n, used = len(self.known), len(words), self.used
         self.known.update(zip(words, range(first, first + n)))
         self.flat = _with_room(self.flat, used + len(flat))
-        self.start, self.size = _with_room(self.start, first + n), _with_room(self.size, first + n)
+        self.start, self.length = _with_room(self.start, first + n), _with_room(self.length, first + n)
         self.flat[used : used + len(flat)] = flat
-        self.size[first : first + n] = sizes
+        self.length[first : first + n] = sizes
         self.start[first : first + n] = used + np.cumsum(sizes) - sizes
         self.used = used + len(flat)
 
@@ -122,7 +122,7 @@ class Encoder:
         """Packed ids of each text."""
         split = [None if any(c in t for c in SEPARATORS) else t.split() for t in texts]
         number = self._numbers([*chain.from_iterable(w for w in split if w)])
-        size = self.size[number]
+        size = self.length[number]
         packed = _gathered(self.flat, self.start[number], size).tobytes()
         after = np.append(0, np.cumsum(size))[np.cumsum([len(w or ()) for w in split], dtype=np.int64)] * self.dtype.itemsize
         return [
