@@ -34,6 +34,8 @@ SKETCH_SLACK = 3.5 * 4 / 3 * (0.85 * 0.15 / REGISTERS) ** 0.5
 # Leaders of a bucket in the first round; each later round takes so many times more.
 MORE_LEADERS = 32
 MAX_ROUNDS = 24
+# Classes that no doc_id can name have numbers from here on.
+NAMED_BY_WORDS = 1 << 62
 
 
 def shingles(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +76,12 @@ def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, regis
     return element.reshape(n, registers)
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, key (equal for equal word sequences), n_words, bands and sketch of every row."""
+    """row_id, doc_id, text_hash, key (equal for equal word sequences), n_words, bands and sketch of every row."""
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,11 +103,12 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             key = mix((prefix[end] - prefix[end - n_words]) * inverse[end - n_words] + n_words.astype(np.uint64))
             listed = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a.view(np.int64).reshape(-1)), a.shape[1]).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(key.view(np.int64)), pa.array(n_words), listed(folded), listed(sketch)],
-                names=["doc_id", "key", "n_words", "bands", "sketch"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(key.view(np.int64)), pa.array(n_words), listed(folded), listed(sketch)],
+                names=["doc_id", "text_hash", "key", "n_words", "bands", "sketch"],
             )
 
-    out = texts_of(docs).mapInArrow(work, "doc_id long, key long, n_words long, bands array<long>, sketch array<long>")
+    rows = texts_of(docs, _text_hash().alias("text_hash"))
+    out = rows.mapInArrow(work, "doc_id long, text_hash long, key long, n_words long, bands array<long>, sketch array<long>")
     return store(out.withColumn("row_id", F.monotonically_increasing_id()), "fingerprints")
 
 
@@ -144,7 +151,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """(id, component) of all linked representatives, or None; ``reps``: rep, bands, sketch.
+    """(id, component) of all linked representatives, or None; ``reps``: rep, text_id, text_hash, bands, sketch.
+
+    The text of a representative is that of the rows of ``docs`` with its text_id as doc_id and its text_hash.
 
     In each round a bucket's leaders, the texts that share most buckets first, meet the members of
     other components, and then leave the bucket. A bucket is done when its members are of one component. Every pair
@@ -161,12 +170,12 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
         return None
     mark = F.struct("band", F.shiftright("bucket", 32).cast("int").alias("code"))
     popular = shared.groupBy("rep").agg(F.sum("size").alias("popular"), F.collect_list(mark).alias("marks"))  # at most one mark per band
-    known = store(popular.join(reps.select("rep", "sketch"), "rep"), "candidates")
+    known = store(popular.join(reps.select("rep", "text_id", "text_hash", "sketch"), "rep"), "candidates")
     members = store(shared.select("rep", "bucket", "band").join(known.select("rep", "popular"), "rep"), "members")
-    texts = store(
-        texts_of(docs).join(known.where("popular > 1").select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")),
-        "candidate-texts",
-    )
+    wanted = known.where("popular > 1").select("rep", F.col("text_id").alias("doc_id"), "text_hash")
+    texts = texts_of(docs, _text_hash().alias("text_hash")).join(wanted, ["doc_id", "text_hash"])
+    # grouped by the join's keys first, so that no text is shuffled again
+    texts = store(texts.groupBy("doc_id", "text_hash", "rep").agg(F.min("text").alias("text")).select("rep", "text"), "candidate-texts")
     labels, found = None, None
     leaders_per_bucket = 1
     for turn in range(MAX_ROUNDS):
@@ -213,41 +222,60 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id and class_id of every row: the smallest doc_id that near-duplicate links reach.
+def representatives(rows: DataFrame) -> DataFrame:
+    """One row per word sequence of ``rows`` (``fingerprint``): key, rep, keeper, text_id, text_hash, bands, sketch.
 
-    Texts of the same words are one class without a comparison. A text without words is like no other: its class is its
-    own doc_id. Rows with a null doc_id take the class of their text, null if it has none; repeated rows are in one class.
-    Of rows that repeat a doc_id with other texts each has the class of its text.
+    A doc_id speaks for one word sequence only, that of the smallest key under it. ``rep`` is the smallest doc_id that speaks
+    for the sequence; where all its ids speak for others, a number of 2^62 or more made of its words. ``keeper`` is
+    the doc_id of the row to keep.
     """
-    rows = fingerprint(docs)
-    reps = store(
-        rows.where("n_words > 0 and doc_id is not null").groupBy("key", "n_words").agg(
-            F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+    known = rows.where("n_words > 0 and doc_id is not null")
+    # the wide columns are shuffled once, by key, and the ids apart from them
+    texts = known.groupBy("key").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("own"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+    )
+    speaks = known.groupBy("doc_id").agg(F.min("key").alias("key")).groupBy("key").agg(F.min("doc_id").alias("speaker"))
+    made = F.col("key").bitwiseAND(F.lit(NAMED_BY_WORDS - 1)) + F.lit(NAMED_BY_WORDS)
+    return store(
+        texts.join(speaks, "key", "left").select(
+            "key", F.coalesce("speaker", made).alias("rep"), F.coalesce("speaker", F.col("own.doc_id")).alias("keeper"),
+            F.col("own.doc_id").alias("text_id"), F.col("own.text_hash").alias("text_hash"), "bands", "sketch",
         ),
         "representatives",
     )
-    # two texts under one doc_id: one of them speaks for both, so that ids stay unique
-    single = reps.groupBy("rep").agg(F.min(F.struct("key", "bands", "sketch")).alias("r")).select("rep", "r.bands", "r.sketch")
-    labels = links(store(single, "representatives"), docs)
-    named = reps.select("key", "n_words", F.col("rep"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """row_id, doc_id, text_hash, key, class_id, kept and n_words of every row; links join classes, equal words are one class without a comparison.
+
+    class_id is the smallest doc_id in the class, and kept marks the rows of that doc_id and its words. A text without words is like no other: its
+    class is its own doc_id. Rows with a null doc_id take the class of their text, null if it has none, and kept is null.
+    Repeated rows are in one class. Of rows that repeat a doc_id with other texts each has the class of its text; the doc_id
+    names one of these classes, the others are named by the next doc_id that can, or if there is none by a number of 2^62 or more.
+    """
+    rows = fingerprint(docs)
+    reps = representatives(rows)
+    labels = links(reps.select("rep", "text_id", "text_hash", "bands", "sketch"), docs)
+    named = reps.select("key", "keeper", "rep", F.col("rep").alias("class_id"))
     if labels is not None:
-        named = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "n_words", F.coalesce("component", "rep").alias("rep"))
-    out = rows.select("row_id", "doc_id", "key", "n_words").join(store(named, "classes"), ["key", "n_words"], "left")
-    return out.select("row_id", "doc_id", F.coalesce("rep", "doc_id").alias("class_id"), "n_words")
+        named = named.drop("class_id").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class_id", F.coalesce("component", "rep"))
+    named = store(named.select("key", "class_id", F.when(F.col("class_id") == F.col("rep"), F.col("keeper")).alias("keeper"), F.lit(True).alias("named")), "classes")
+    out = rows.select("row_id", "doc_id", "text_hash", "key", "n_words").join(named, "key", "left")
+    kept = F.when(F.col("doc_id").isNotNull(), F.col("named").isNull() | F.coalesce(F.col("doc_id") == F.col("keeper"), F.lit(False)))
+    return out.select("row_id", "doc_id", "text_hash", "key", F.coalesce("class_id", "doc_id").alias("class_id"), kept.alias("kept"), "n_words")
 
 
 def near_digest(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return near_duplicates(docs).select("doc_id", "class_id", "kept")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: the one whose doc_id names it, and one row of that.
+    """``docs`` with one document of each class: one row of those that ``near_duplicates`` marks as kept.
 
-    Rows with a null doc_id stay, since nothing names them.
+    Of such rows that differ in more than words one stays. Rows with a null doc_id stay, since nothing names them.
     """
-    found = near_duplicates(docs)
-    keep = found.where("doc_id = class_id").select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
-    named = docs.join(keep, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    found = near_duplicates(docs).where("kept")
+    keep = found.groupBy(F.col("doc_id").alias("kept_id"), "key").agg(F.min("text_hash").alias("kept_hash")).select("kept_id", "kept_hash")
+    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("kept_id"), _text_hash().alias("kept_hash"))
+    held = held.join(keep, ["kept_id", "kept_hash"], "left_semi").dropDuplicates(["kept_id", "kept_hash"]).select("row.*")
+    return held.unionByName(docs.where("doc_id is null"))

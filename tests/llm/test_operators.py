@@ -272,6 +272,26 @@ def test_near_texts(spark, odd, small):
     assert near_text.near_digest(odd.limit(0)).count() == 0
 
 
+def test_near_texts_of_one_id(spark):
+    """An id that stands for two texts joins neither their classes nor hides one of them."""
+    a, b = (" ".join(f"{x}{k}" for k in range(100)) for x in "ab")
+    rows = [(5, a), (5, b), (7, a), (8, b), (9, b + " tail"), (5, b), (None, a), (20, a + " end")]
+    docs = documents(spark, rows)
+    got = near_text.near_duplicates(docs).collect()
+    text_of = {r.key: "ab"[i] for i, t in enumerate((a, b)) for r in near_text.near_duplicates(documents(spark, [(1, t)])).collect()}
+    classes = {(r.doc_id, text_of.get(r.key)): r.class_id for r in got}
+    of_a = {classes[i] for i in ((5, "a"), (7, "a"), (None, "a"), (20, None))}
+    of_b = {classes[i] for i in ((5, "b"), (8, "b"), (9, None))}
+    assert len(of_a) == len(of_b) == 1 and of_a != of_b and 5 in of_a | of_b
+    kept = [r.text for r in near_text.one_of_each(docs).collect() if r.doc_id is not None]
+    assert sorted(kept) == [a, b]
+    # no id is left to name the second text
+    twice = documents(spark, [(5, a), (5, b)])
+    got = near_text.near_digest(twice).collect()
+    assert len({r.class_id for r in got}) == 2 and all(r.kept for r in got) and max(r.class_id for r in got) >= near_text.NAMED_BY_WORDS
+    assert sorted(r.text for r in near_text.one_of_each(twice).collect()) == [a, b]
+
+
 def test_near_texts_that_differ_in_repeats(spark):
     """Sets decide: repeats of shingles in one of two texts do not lose a pair."""
     rows = []
