@@ -13,7 +13,7 @@ from ..session import store
 from .support import small_batches, texts_of
 from .text_arrays import BASE, Texts, _power_tables, chunks, mix
 
-# A line in more distinct documents of one host than this is boilerplate.
+# A line in more documents of one host than this is boilerplate.
 MAX_DOCUMENTS = 20
 # A document is depleted when less than this share, or fewer than this many, of its words stay.
 MIN_SHARE_LEFT = 0.5
@@ -107,6 +107,12 @@ def measured(docs: DataFrame, host: str = "source", keep_text: bool = False) ->
     return rows.mapInArrow(measure, schema + (", text string" if keep_text else ""))
 
 
+def _lookup(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose host and h are ``wanted``; rows of a hot line are dealt over SALTS shares."""
+    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("salt", F.pmod("row_id", F.lit(SALTS)).cast("int")).join(salted, ["host", "h", "salt"]).drop("salt")
+
+
 def judge_lines(
     docs: DataFrame,
     host: str = "source",
@@ -114,27 +120,33 @@ def judge_lines(
     min_share_left: float = MIN_SHARE_LEFT,
     min_words_left: int = MIN_WORDS_LEFT,
     keep_text: bool = False,
+    copies_count: bool = False,
 ) -> DataFrame:
     """Measures of every document, words_left, dropped lines, base_failed and kept.
 
     A line is normalised by lower-casing ASCII letters and reducing white space; lines without a word
-    do not count. For each host the distinct documents with the line are counted: copies of one text are one
-    document, since they are the business of deduplication. Null text is empty, null hosts are one host,
-    repeated rows give a row each. An empty document has failed the base rules. ``keep_text`` adds
+    do not count. For each host the documents with the line are counted: with ``copies_count`` all distinct
+    doc_ids, else copies of one text as one document, for use after or before deduplication. Null text is empty, null hosts are one host
+    apart from the empty one, rows with a null doc_id are a document each, repeated rows give a row each and count once. An empty document has failed the base rules. ``keep_text`` adds
     the text without the dropped lines.
     """
     table = store(
         measured(docs, host, keep_text).withColumn("row_id", F.monotonically_increasing_id()), "line-measures"
     )
-    lines = table.select("row_id", F.coalesce("host", F.lit("")).alias("host"), "text_hash", F.explode("lines").alias("l"))
-    lines = lines.select("row_id", "host", "text_hash", F.col("l.h").alias("h"), F.col("l.words").alias("words"))
-    texts = lines.select("host", "h", "text_hash").distinct()
+    # null and empty hosts stay apart
+    owner = F.when(F.col("host").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("host")))
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row_id")).alias("row")) if copies_count else F.col("text_hash")
+    lines = table.select("row_id", owner.alias("host"), document.alias("document"), F.explode("lines").alias("l"))
+    lines = lines.select("row_id", "host", "document", F.col("l.h").alias("h"), F.col("l.words").alias("words"))
+    # rows with a line are no fewer than its documents and combine before the shuffle, so only lines in many rows are counted by document
+    many = store(lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents).select("host", "h"), "many-rows")
+    seen = store(_lookup(lines, many), "rows-of-common-lines")
     # one row per boilerplate line; stored, so that the join below sees its size
     common = store(
-        texts.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents).select("host", "h"), "common-lines"
+        seen.select("host", "h", "document").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents).select("host", "h"),
+        "common-lines",
     )
-    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = lines.withColumn("salt", F.pmod("row_id", F.lit(SALTS)).cast("int")).join(salted, ["host", "h", "salt"])
+    hit = _lookup(seen, common)
     lost = hit.groupBy("row_id").agg(F.sum("words").alias("lost"), F.collect_list("h").alias("dropped"))
     out = table.join(lost, "row_id", "left").withColumn("words_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
@@ -168,4 +180,4 @@ def without_lines(judged: DataFrame) -> DataFrame:
 
 
 def rules_digest(docs: DataFrame) -> DataFrame:
-    return judge_lines(docs).select("doc_id", *_MEASURES[:-1], "base_failed", "kept", "words_left")
+    return judge_lines(docs, copies_count=True).select("doc_id", *_MEASURES[:-1], "base_failed", "kept", "words_left")

@@ -146,6 +146,39 @@ def test_common_lines_go_and_depleted_documents_with_them(spark):
     assert line_rules.rules_digest(copies.limit(0)).count() == 0
 
 
+def test_lines_are_counted_by_document(spark):
+    """Line counts and verdicts against a plain loop, with copies, repeated rows and null ids and hosts."""
+    rng = np.random.default_rng(8)
+    shared = [f"Shared  line {k} " + " ".join(f"s{k}x{i}" for i in range(6)) for k in range(12)]
+    rows = []
+    for i in range(150):
+        own = [" ".join(f"w{i}x{j}x{k}" for k in range(6)) for j in range(4)]
+        some = [shared[int(k)] for k in rng.choice(12, int(rng.integers(0, 7)), p=np.arange(12, 0, -1) / 78)]
+        rows.append((i, "\n".join(own + some), ("a", "b", None, "")[int(rng.choice(4, p=[0.5, 0.2, 0.15, 0.15]))]))
+    rows += rows[:20] + [(1000 + i, rows[3][1], "a") for i in range(9)] + [(None, rows[5][1], "a")] * 3
+    seen = {}
+    for n, (i, text, host) in enumerate(rows):
+        for line in text.split("\n"):
+            seen.setdefault((host, tuple(line.lower().split())), set()).add(i if i is not None else ("row", n))
+    want = []
+    for i, text, host in rows:
+        lines = [tuple(x.lower().split()) for x in text.split("\n")]
+        words = sum(map(len, lines))
+        left = sum(len(x) for x in lines if len(seen[host, x]) <= 8)
+        failed = words < 20
+        want.append((str(i), str(host), left, not failed and left >= 10 and left >= 0.5 * words and not plain_repeats(text)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_rules.judge_lines(table, max_documents=8, copies_count=True).collect()
+    assert len({x[3] for x in want}) == 2 and sorted((str(r.doc_id), str(r.host), r.words_left, r.kept) for r in got) == sorted(want)
+
+
+def plain_repeats(text):
+    words = text.split()
+    windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+    inside = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(8)}
+    return 100 * len(inside) > 30 * len(words)
+
+
 def plain_pii(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
