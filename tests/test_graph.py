@@ -99,6 +99,20 @@ def test_core_and_triangles_against_plain_code(spark):
     assert by_id(graph.triangle_count(df), "triangles") == want
 
 
+def test_settled_levels_leave_the_rounds_of_core_numbers(spark, monkeypatch):
+    """A clique with a long fringe that falls link by link: late rounds read the fringe alone."""
+    clique = [(f"k{i:02d}", f"k{j:02d}") for i in range(12) for j in range(i)]
+    ladder = [(f"{side}{i:02d}", f"{side}{i + 1:02d}") for side in "lr" for i in range(20)] + [(f"l{i:02d}", f"r{i:02d}") for i in range(1, 20)]
+    leaves = [(f"k{i % 12:02d}", f"z{i:02d}") for i in range(300)]
+    pairs = clique + ladder + leaves + [("k00", "l20"), ("k01", "r20")]
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, dst string, weight double")
+    read, spread = [], graph.spread_rows
+    monkeypatch.setattr(graph, "spread_rows", lambda rows, *args, **kw: read.append(rows.count()) or spread(rows, *args, **kw))
+    assert by_id(graph.k_core(df, block=1), "k_core_number") == plain_core(pairs)
+    assert read[0] == 2 * len(pairs) and 0 < read[1] <= read[0] / 2
+    assert by_id(graph.k_core(df, block=1, rows_per_slice=3), "k_core_number") == plain_core(pairs)
+
+
 def test_structure_of_the_small_fixtures(edges6, txn10):
     assert by_id(graph.k_core(edges6), "k_core_number") == {"C001": 2, "C002": 2, "C003": 2, "C004": 1, "C005": 2}
     assert set(by_id(graph.clustering_coefficient(edges6), "local_clustering_coefficient").values()) == {0.0}
