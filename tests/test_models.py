@@ -301,3 +301,20 @@ def test_audit_round_trip(spark, tmp_path):
     audit.audit_export_csv(records, str(tmp_path / "csv"))
     header = next(p for p in (tmp_path / "csv").iterdir() if p.suffix == ".csv").read_text().splitlines()[0]
     assert header == "audit_id,account_id,decision,analyst_id,risk_score,action_taken,notes,timestamp"
+
+
+def test_ablation_fits_run_side_by_side(spark, monkeypatch):
+    import threading
+
+    at_once, both, train = set(), threading.Barrier(2, timeout=120), learn.train_logistic
+
+    def watched(*args, **kw):
+        at_once.add(threading.get_ident())
+        both.wait()
+        return train(*args, **kw)
+
+    monkeypatch.setattr(learn, "train_logistic", watched)
+    made = spark.createDataFrame([(f"a{i:03d}", float(i % 7), float((i * 5) % 11), int(i % 7 > 3)) for i in range(120)], "account_id string, x double, y double, label int")
+    got = learn.ablation_subsets(made, made, {"one": ("x",), "two": ("x", "y")})
+    assert [(r.model, r.n_features) for r in got.collect()] == [("one", 1), ("two", 2)]
+    assert len(at_once) == 2
