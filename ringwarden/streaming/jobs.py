@@ -85,6 +85,21 @@ def run_updates(aggregate: DataFrame, keys: list[str], *, label: str, folder: st
     return latest.select(*keys, "w.*").select(*aggregate.columns)
 
 
+def run_complete(aggregate: DataFrame, *, label: str, folder: str | None = None) -> DataFrame:
+    """Run an aggregate in complete mode: the rows as they stand after the last batch, open windows included.
+
+    For aggregates that update mode does not take, such as session windows; their state keeps every window. Two folders
+    take turns, so the output holds at most two copies.
+    """
+
+    def step(batch: DataFrame, batch_id: int, at: str) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{at}/out/batch={batch_id % 2}")
+
+    base = run_batches(aggregate, step, label=label, folder=folder, mode="complete")
+    rows = read_batches(aggregate.sparkSession, base, "out")
+    return rows.where(F.col("batch_id") == rows.agg(F.max("batch_id")).scalar()).select(*aggregate.columns)
+
+
 def _write_batch(df: DataFrame, folder: str, name: str, batch_id: int) -> None:
     """One folder per batch id: a batch that is run again replaces its own output."""
     df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
@@ -177,6 +192,11 @@ def session_burst(events: DataFrame, *, key: str = "user_id", gap: str = "5 minu
     )
 
 
+def all_session_bursts(events: DataFrame, *, into: str | None = None, **options) -> DataFrame:
+    """Sessions as they stand when the feed ends, those that the watermark holds open included."""
+    return run_complete(session_burst(events, **options), label="sessions", folder=into)
+
+
 def merchant_minute(events: DataFrame, *, merchant: str, flagged, watermark: str = WATERMARK) -> DataFrame:
     """Events, flagged events and their share per merchant and minute."""
     hits = F.sum(F.when(flagged, 1).otherwise(0)).cast("bigint")

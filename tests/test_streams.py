@@ -160,3 +160,36 @@ def test_transactions_csv(spark, tmp_path):
     )
     row = files.read_transactions_csv(spark, str(path)).first()
     assert (row.step, row.type, row.amount, row.isFraud) == (1, "TRANSFER", 10.5, 1)
+
+
+EVENTS_DDL = "event_id bigint, user_id bigint, ts timestamp, event_type string, value double, props string"
+
+
+@pytest.fixture()
+def own_feed(spark, tmp_path):
+    """Bursts of six users over four days, in one file and in two by time; the last one runs to the end of the feed."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    made = [(u * 100 + i, u, start + timedelta(hours=20 * u, minutes=17 * i), "view", 1.25 * i, "{}") for u in range(6) for i in range(9)]
+    cut = start + timedelta(hours=50)
+    for name, part in (("first", [r for r in made if r[2] < cut]), ("second", [r for r in made if r[2] >= cut]), ("events", made)):
+        spark.createDataFrame(part, EVENTS_DDL).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        # one file, as the query names it
+        (written,) = (tmp_path / name).glob("part-*")
+        (tmp_path / f"{name}.parquet").write_bytes(written.read_bytes())
+    return str(tmp_path), len(made)
+
+
+def test_session_burst_query_holds_sessions_still_open(spark, own_feed):
+    from ringwarden.plans.catalog import CATALOG
+
+    got, want = [CATALOG[q].run(spark, own_feed[0]).select("user_id", "start_us", "end_us", "events") for q in ("stream_session_burst", "session_bursts")]
+    assert rows(got) == rows(want)
+    assert got.where("user_id = 5").first()["events"] == 9
+
+
+def test_open_sessions_grow_over_batches(spark, own_feed):
+    stream = jobs.event_stream(spark, own_feed[0], files="{first,second}.parquet", max_files=1)
+    got = jobs.all_session_bursts(stream, gap="4 hours", min_events=4)
+    assert {(r.user_id, r.events) for r in got.collect()} == {(u, 9) for u in range(6)}
