@@ -122,6 +122,27 @@ def sliding_velocity(events: DataFrame, *, key: str = "user_id", amount: str = "
     )
 
 
+def sliding_totals(
+    events: DataFrame, *, key: str = "user_id", amount: str = "value", width_sec: int = 86_400, slide_sec: int = 3600,
+    late_sec: int = 86_400, into: str | None = None,
+) -> DataFrame:
+    """Every row of ``sliding_velocity`` as it stands when the feed ends, by tiles of one slide.
+
+    The stream keeps one row per key and tile; a tile is dealt to its windows at the end, where a key has one row
+    per tile however many events it has. So neither state nor output of the stream holds an event once per window. A tile waits
+    until the last of its windows would close, so no event that a window would take is late.
+    """
+    tile = f"{slide_sec} seconds"
+    tiles = sliding_velocity(events, key=key, amount=amount, width=tile, slide=tile, watermark=f"{late_sec + width_sec - slide_sec} seconds")
+    rows = run_updates(tiles.drop("window_end"), [key, "window_start"], label="tiles", folder=into)
+    back = F.explode(F.sequence(F.lit(0), F.lit(width_sec // slide_sec - 1)))
+    start = F.unix_micros("window_start") - F.col("back") * F.lit(slide_sec * MICROS)
+    dealt = rows.repartition(key).withColumn("back", back).withColumn("start_us", start)
+    return dealt.groupBy(key, "start_us").agg(
+        F.sum("tx_velocity").alias("tx_velocity"), F.sum("amount_velocity").cast(MONEY).alias("amount_velocity")
+    )
+
+
 def slot_width(keep_sec: int) -> int:
     """Seconds per history folder: a window touches at most two, and folders stay few."""
     return max(keep_sec, 6 * 3600)

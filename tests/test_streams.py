@@ -193,3 +193,17 @@ def test_open_sessions_grow_over_batches(spark, own_feed):
     stream = jobs.event_stream(spark, own_feed[0], files="{first,second}.parquet", max_files=1)
     got = jobs.all_session_bursts(stream, gap="4 hours", min_events=4)
     assert {(r.user_id, r.events) for r in got.collect()} == {(u, 9) for u in range(6)}
+
+
+def test_sliding_totals_keep_one_row_per_tile(spark, own_feed, monkeypatch):
+    kept, run = [], jobs.run_updates
+    monkeypatch.setattr(jobs, "run_updates", lambda *args, **kw: kept.append(run(*args, **kw)) or kept[-1])
+    from ringwarden.plans.catalog import CATALOG
+
+    got = CATALOG["stream_velocity_sliding"].run(spark, own_feed[0])
+    want = jobs.sliding_velocity(views.events(spark, own_feed[0])).select(
+        "user_id", F.unix_micros("window_start").alias("start_us"), "tx_velocity", F.col("amount_velocity").cast("double").alias("amount_velocity")
+    )
+    assert rows(got) == rows(want)
+    # 54 events lie in 24 windows each
+    assert kept[0].count() <= own_feed[1]
