@@ -138,7 +138,7 @@ def ring_report(
     ``min_concentration`` drops rings whose mean member score is lower; off by default.
     """
     clustered = store(ring_payments(payments, **linking), "ring-payments")
-    return report_from(clustered, ring_entities(clustered), scores, min_concentration=min_concentration)
+    return report_from(clustered, store(ring_entities(clustered), "ring-entities"), scores, min_concentration=min_concentration)
 
 
 def report_from(
@@ -237,6 +237,8 @@ def post_detection_loss(matches: DataFrame, truth: DataFrame, events: DataFrame)
     paid = events.select(
         F.col("customer_id"), at.alias("paid_at"), F.coalesce("amount", F.lit(0.0)).cast(MONEY).alias("paid")
     )
+    # both joins below read the pairs
+    matches = store(matches, "matches")
     suspects = matches.join(truth.select("ring_id", "customer_id").distinct(), "ring_id")
     lost = (
         suspects.join(paid, "customer_id")

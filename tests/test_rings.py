@@ -103,3 +103,18 @@ def test_decoys(spark):
     clean = spark.createDataFrame([(f"c{i}",) for i in range(20)], "id string")
     got = plant.decoy_edges(fraud, clean, k_values=(0, 3, 7)).groupBy("k").count().collect()
     assert {r.k: r["count"] for r in got} == {3: 6, 7: 14}
+
+
+def test_ring_evaluation_reads_the_payments_once(spark, tmp_path):
+    """What is left to run after the rings are found reads written tables, not the join of orders and line items again."""
+    from ringwarden.plans.catalog import CATALOG
+
+    made = [(i, i % 12 + 1, "1-URGENT", "F", 1000.0 + i, "1995-01-02") for i in range(1, 120)]
+    orders = spark.createDataFrame(made, "o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_orderstatus string, o_totalprice double, o_orderdate string")
+    orders.withColumn("o_orderdate", F.to_date("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, i % 7, i % 5) for i in range(1, 120)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, 1.0) for i in range(1, 40)], "c_custkey bigint, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("ring_truth_match", "post_detection_loss", "ring_eval"):
+        got = CATALOG[name].run(spark, str(tmp_path))
+        assert not [f for f in got.inputFiles() if "lineitem.parquet" in f], name
+        assert got.count() > 0
