@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, with the words of earlier texts remembered.
 
 The tokenizer drops white space and never looks across it, so a text's ids are the ids of its
-words, one after the other. A worker keeps the packed ids of words it has seen; new words that are
-Latin letters, with or without marks of punctuation at their end, take a short way through the same
+words, one after the other. A worker keeps the packed ids of words it has seen, and when they grow too many those that
+were seen again; new words that are Latin letters, with or without marks of punctuation at their end, take a short way through the same
 BPE model (they need no normalisation but lower case), all others the whole tokenizer. The ids equal those of
 encoding the whole text (tested).
 """
@@ -14,7 +14,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +25,13 @@ from .support import small_batches, texts_of
 from .text_arrays import chunks
 
 # Words a worker remembers, and ids of all of them.
-REMEMBERED_WORDS = 600_000
-REMEMBERED_IDS = 8_000_000
+REMEMBERED_WORDS = 450_000
+REMEMBERED_IDS = 6_000_000
 # Fixed value: Python splits at these, the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 # Fixed pattern: letters that are normal as they are and have one lower-case form, then marks that make one piece.
-PLAIN = re.compile("^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)$", re.MULTILINE)
+PLAIN = re.compile("^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([-.,!?;:*#$%&|<>()\\[\\]{}\"+=/_@~^]*)$", re.MULTILINE)
 
 ID_TYPE = np.dtype("<u4")
 _encoders: dict[str, "Encoder"] = {}
@@ -64,8 +64,19 @@ class Encoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}  # number of each word
         self.flat, self.start, self.length = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.again = np.zeros(1 << 12, bool)  # words that a later call asked for
         self.used = 0
 
+    def _forget_rare(self) -> None:
+        """Keep the words that were asked for again, unless they are most of them."""
+        seen = self.again[: len(self.known)]
+        kept = np.flatnonzero(seen)
+        words, sizes = [*compress(self.known, seen.tolist())], self.length[kept]
+        flat = _gathered(self.flat, self.start[kept], sizes)
+        self._forget()
+        if 2 * len(kept) <= self.remembered and 2 * len(flat) <= REMEMBERED_IDS:
+            self._keep(words, sizes, flat)
+
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
@@ -73,7 +84,7 @@ class Encoder:
         """Remember the ids of new words, which stand in ``flat`` one after the other."""
         first, n, used = len(self.known), len(words), self.used
         self.known.update(zip(words, range(first, first + n)))
-        self.flat = _with_room(self.flat, used + len(flat))
+        self.flat, self.again = _with_room(self.flat, used + len(flat)), _with_room(self.again, first + n)
         self.start, self.length = _with_room(self.start, first + n), _with_room(self.length, first + n)
         self.flat[used : used + len(flat)] = flat
         self.length[first : first + n] = sizes
@@ -87,10 +98,18 @@ class Encoder:
         if found:
             low = "\n".join([letters for letters, _ in found]).lower().split("\n")
             each = {word: k for k, word in enumerate(dict.fromkeys(low))}
-            ids = np.array(self.letters.encode_batch_fast([" ".join(each)], add_special_tokens=False)[0].ids, self.dtype)
+            # letters that stood alone before are known
+            number = np.fromiter(map(self.known.get, each, repeat(-1)), np.int64, len(each))
+            old = number[number >= 0]
+            fresh = [*compress(each, (number < 0).tolist())]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(each):
+            if len(ends) != len(fresh):
                 raise ValueError("the tokenizer file does not mark word ends as expected")
+            place = np.argsort(np.argsort(number >= 0, kind="stable"), kind="stable")  # the fresh ones first
+            sizes = np.concatenate([np.diff(ends, prepend=0), self.length[old]])[place]
+            ids = np.concatenate([ids, _gathered(self.flat, self.start[old], self.length[old])])
+            ends = (np.append(ends, (ends[-1] if len(ends) else 0) + np.cumsum(self.length[old])))[place]
             marks = {mark: k for k, mark in enumerate(dict.fromkeys(mark for _, mark in found))}
             tails = [self.whole.encode(mark, add_special_tokens=False).ids for mark in marks]
             tail_ends = np.cumsum([len(t) for t in tails])
@@ -98,7 +117,7 @@ class Encoder:
             mark = np.fromiter((marks[m] for _, m in found), np.int64, len(found))
             # two stretches for each word: its letters, and the marks after them
             both = np.concatenate([ids, np.array(sum(tails, []), self.dtype)])
-            starts = np.stack([np.append(0, ends)[word], len(ids) + np.append(0, tail_ends)[mark]], 1)
+            starts = np.stack([(ends - sizes)[word], len(ids) + np.append(0, tail_ends)[mark]], 1)
             sizes = np.stack([ends[word], len(ids) + tail_ends[mark]], 1) - starts
             self._keep(own, sizes.sum(axis=1), _gathered(both, starts.ravel(), sizes.ravel()))
         if rest:
@@ -111,9 +130,11 @@ class Encoder:
         if missing:
             new = {words[k] for k in missing}
             if len(self.known) + len(new) > self.remembered or self.used > REMEMBERED_IDS:
-                self._forget()
-                self._learn(set(words))
+                self.again[number[number >= 0]] = True
+                self._forget_rare()
+                self._learn(set(words).difference(self.known))
                 return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            self.again[number[number >= 0]] = True
             self._learn(new)
             number[missing] = [self.known[words[k]] for k in missing]
         return number

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ringwarden.llm import huffman, line_rules, mixing, near_text, near_vectors, packing, pii, quotes, secret_scan, toxicity
+from ringwarden.llm import huffman, line_rules, mixing, near_text, near_vectors, packing, pii, quotes, secret_scan, tokens, toxicity
 from ringwarden.llm.catalog import QUERIES, TOKENIZER
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, score double, deal string"
@@ -484,3 +484,24 @@ def test_quotes_round_trip(spark, folder):
 def test_every_query_is_there():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert public_tokenizers.path("word_bpe_49k.json") == TOKENIZER
+
+
+def test_words_asked_for_again_stay_known():
+    """op4_huffman_ids: frequent words are not learned anew when the memory of words is full; ids are those of the whole tokenizer."""
+    enc, whole = tokens.Encoder(TOKENIZER, 40), Tokenizer.from_file(TOKENIZER)
+    texts = [f"common words* stay(s) Common, w{chr(97 + k)}x v{chr(97 + k)}y,;*** Z{chr(97 + k)}\u00e9$$$ it's a-b <|endoftext|> <| x=1" for k in range(26)]
+    for text in texts:
+        assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(enc.known) <= 40
+    assert {"common", "words*", "stay(s)", "Common,"} <= set(enc.known)
+
+
+def test_toxicity_sends_a_text_once(spark, odd, monkeypatch):
+    """pipeline: the other columns travel in a struct, which has no second copy of the text."""
+    sent, scored = [], toxicity.scored
+    monkeypatch.setattr(toxicity, "scored", lambda docs, *more: sent.append(docs.schema) or scored(docs, *more))
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    kept = toxicity.without_toxic(odd, labels)
+    assert kept.columns == odd.columns and kept.schema["text"].dataType == odd.schema["text"].dataType
+    assert "text" not in sent[0]["row"].dataType.names and sent[0].names.count("text") == 1
+    assert sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
