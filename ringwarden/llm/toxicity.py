@@ -211,6 +211,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns as they were."""
-    # columns that clash with the working names are carried in a struct
-    boxed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    return scored(boxed, fit_on(docs, labels), "row").where("score < 0.5").select("row.*")
+    # columns that clash with the working names are carried in a struct; the text is sent once
+    boxed = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+    kept = scored(boxed, fit_on(docs, labels), "row").where("score < 0.5")
+    return kept.select(*["text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
