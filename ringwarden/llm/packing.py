@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .support import small_batches, texts_of
-from .tokens import ID_TYPE, encoder, token_ids
+from .tokens import ID_TYPE, REMEMBERED_WORDS, encoder, token_ids
 
 CAPACITY = 2048
 # Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n. At 4096 tokens both parts are equal.
@@ -19,6 +19,8 @@ LINEAR = 1.0
 QUADRATIC = 1.0 / 4096
 # Text bytes packed together: some 1.5 million tokens, 750 sequences.
 GROUP_BYTES = 4 << 20
+# Pieces that go back to Spark at once: at most 1 MB of ids.
+PIECE_ROWS = 128
 
 
 def assign(lengths: np.ndarray, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC):
@@ -56,21 +58,23 @@ def assign(lengths: np.ndarray, capacity: int = CAPACITY, linear: float = LINEAR
     return np.concatenate(pieces)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, group_bytes: int = GROUP_BYTES, remembered: int = REMEMBERED_WORDS
+) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     Documents are dealt by a hash into groups of about ``group_bytes`` of text, each packed by one task; copies of a row go to
     groups of their own, so no row that repeats fills a group;
     sequence_id is the group times 2**32 plus the sequence's number in it. Null text is empty and gives
-    one piece of the end id. Repeated rows are packed each. An empty table gives no pieces.
+    one piece of the end id. Repeated rows are packed each. An empty table gives no pieces. ``remembered``: as in ``token_ids``.
     """
     small_batches(docs.sparkSession)
     rows = texts_of(docs)
     size = rows.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
     groups = int(size) // group_bytes + 1
-    ids = token_ids(rows, tokenizer, end_id, compact=True, place=True)
+    ids = token_ids(rows, tokenizer, end_id, compact=True, place=True, remembered=remembered)
     ids = ids.withColumn("deal", F.pmod(F.xxhash64("place"), F.lit(groups))).drop("place")
-    packed_type = encoder(tokenizer).dtype
+    packed_type = encoder(tokenizer, remembered).dtype
 
     def packed(table: pa.Table) -> pa.Table:
         data = table.column("ids").to_pylist()
@@ -82,12 +86,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
         wide = lambda x: np.frombuffer(x, packed_type).astype(ID_TYPE).tobytes()
         base = table.column("deal")[0].as_py() << 32
         doc = [order[i] for i in p[:, 0].tolist()]
-        return pa.table({
+        pieces = pa.table({
             "doc_id": pa.array([doc_ids[i] for i in doc], pa.int64()),
             "start": p[:, 1], "length": p[:, 2],
             "ids": pa.array([wide(data[i][s * width : (s + n) * width]) for i, s, n in zip(doc, p[:, 1].tolist(), p[:, 2].tolist())], pa.binary()),
             "doc_tokens": lengths[p[:, 0]], "sequence_id": base + p[:, 3], "offset": p[:, 4],
         })
+        return pa.Table.from_batches(pieces.to_batches(max_chunksize=PIECE_ROWS), pieces.schema)
 
     return ids.groupBy("deal").applyInArrow(
         packed, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

@@ -27,6 +27,8 @@ from .text_arrays import chunks
 # Words a worker remembers, and ids of all of them.
 REMEMBERED_WORDS = 450_000
 REMEMBERED_IDS = 6_000_000
+# New words given to the tokenizer at once; its working memory grows with them and stays with the worker.
+LEARNED_AT_ONCE = 4096
 # Fixed value: Python splits at these, the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -34,14 +36,14 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 PLAIN = re.compile("^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([-.,!?;:*#$%&|<>()\\[\\]{}\"+=/_@~^]*)$", re.MULTILINE)
 
 ID_TYPE = np.dtype("<u4")
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each tokenizer file and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, remembered: int = REMEMBERED_WORDS) -> Encoder:
+    """One encoder for each tokenizer file, number of remembered words and Python worker."""
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = Encoder(path, remembered)
+    return _encoders[path, remembered]
 
 
 class Encoder:
@@ -102,7 +104,8 @@ class Encoder:
             number = np.fromiter(map(self.known.get, each, repeat(-1)), np.int64, len(each))
             old = number[number >= 0]
             fresh = [*compress(each, (number < 0).tolist())]
-            ids = np.array(self.letters.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, self.dtype)
+            found_ids = [self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids for part in _parts(fresh)]
+            ids = np.fromiter(chain.from_iterable(found_ids), self.dtype)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(fresh):
                 raise ValueError("the tokenizer file does not mark word ends as expected")
@@ -120,9 +123,9 @@ class Encoder:
             starts = np.stack([(ends - sizes)[word], len(ids) + np.append(0, tail_ends)[mark]], 1)
             sizes = np.stack([ends[word], len(ids) + tail_ends[mark]], 1) - starts
             self._keep(own, sizes.sum(axis=1), _gathered(both, starts.ravel(), sizes.ravel()))
-        if rest:
-            found = [e.ids for e in self.whole.encode_batch_fast(rest, add_special_tokens=False)]
-            self._keep(rest, np.array([len(f) for f in found], np.int64), np.fromiter(chain.from_iterable(found), self.dtype))
+        for part in _parts(rest):
+            found = [e.ids for e in self.whole.encode_batch_fast(part, add_special_tokens=False)]
+            self._keep(part, np.array([len(f) for f in found], np.int64), np.fromiter(chain.from_iterable(found), self.dtype))
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
@@ -152,6 +155,11 @@ class Encoder:
         ]
 
 
+def _parts(words: list[str]) -> Iterator[list[str]]:
+    for k in range(0, len(words), LEARNED_AT_ONCE):
+        yield words[k : k + LEARNED_AT_ONCE]
+
+
 def _with_room(values: np.ndarray, n: int) -> np.ndarray:
     if n <= len(values):
         return values
@@ -166,11 +174,12 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int, *more: str, compact: bool = False, place: bool = False) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int, *more: str, compact: bool = False, place: bool = False, remembered: int = REMEMBERED_WORDS) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit, the end id last) of every row of ``docs``.
 
     ``compact``: 16-bit ids where the vocabulary allows, as ``Encoder.dtype`` says. ``place``: adds a hash of the row, of the
     input partition and of how many equal rows came before it there, which tells copies apart and stays the same when a task runs again.
+    ``remembered``: words that a worker keeps; fewer take less memory and more time, and give the same ids.
 
     Null text counts as empty and gives the end id alone. Repeated rows stay. Columns other than
     doc_id, text and ``more`` are not read.
@@ -180,7 +189,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, *more: str, compact:
     kept = [f for f in rows.schema.fields if f.name != "text"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, remembered)
         width = enc.dtype if compact else ID_TYPE
         end = np.array([end_id], width).tobytes()
         seen: Counter = Counter()

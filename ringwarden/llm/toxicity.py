@@ -178,7 +178,8 @@ def _sampled(docs: DataFrame, marks: DataFrame, count: int, most: int, longest:
     below = int(min(1.0, (most + 4 * most**0.5 + 8) / count) * (1 << 32))
     drawn = sorted((r["place"], r["doc_id"]) for r in marks.select("doc_id", place.alias("place")).where(F.col("place") < below).collect())[:most]
     spark = docs.sparkSession
-    ids = spark.createDataFrame([(i,) for _, i in drawn], "doc_id long")
+    # as an Arrow table: rows of Python would take Python workers of their own on each executor, which stay
+    ids = spark.createDataFrame(pa.table({"doc_id": pa.array([i for _, i in drawn], pa.int64())}))
     chosen = texts_of(docs).join(F.broadcast(ids), "doc_id", "left_semi").where(F.octet_length("text") <= longest)
     texts = {r["doc_id"]: r["text"] for r in chosen.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
     return [texts[i] for _, i in drawn if i in texts]

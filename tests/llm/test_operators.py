@@ -505,3 +505,55 @@ def test_toxicity_sends_a_text_once(spark, odd, monkeypatch):
     assert kept.columns == odd.columns and kept.schema["text"].dataType == odd.schema["text"].dataType
     assert "text" not in sent[0]["row"].dataType.names and sent[0].names.count("text") == 1
     assert sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
+
+
+def test_toxicity_sample_takes_no_python_workers(spark, monkeypatch):
+    """pipeline: the ids of the sample reach the executors as Arrow, not as Python rows, whose workers would stay beside the others."""
+    docs = documents(spark, [(i, f"text {i}") for i in range(40)] + [(3, "a text"), (None, "no id")])
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, share: seen.append((texts, toxic, share)))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("Python rows"))
+    toxicity.fit_on(docs, labels)
+    learned = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    text = {i: "a text" if i == 3 else f"text {i}" for i in learned}
+    bad = sum(i < 10 for i in learned)
+    (texts, toxic, share), = seen
+    assert toxic == [1] * bad + [0] * (len(learned) - bad) and share == bad / len(learned)
+    assert sorted(texts[:bad]) == sorted(text[i] for i in learned if i < 10) and sorted(texts[bad:]) == sorted(text[i] for i in learned if i >= 10)
+
+
+def test_words_are_learned_in_parts(monkeypatch):
+    """pipeline: the tokenizer never gets more than LEARNED_AT_ONCE new words, whatever the text; ids are those of the whole tokenizer."""
+    monkeypatch.setattr(tokens, "LEARNED_AT_ONCE", 5, raising=False)
+    enc, whole, given = tokens.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER), []
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode(self, *a, **b):
+            return self.inner.encode(*a, **b)
+
+        def encode_batch_fast(self, batch, **b):
+            given.append(max(len(batch), *(len(x.split()) for x in batch)))
+            return self.inner.encode_batch_fast(batch, **b)
+
+    enc.letters, enc.whole = Spy(enc.letters), Spy(enc.whole)
+    text = " ".join(f"w{a}{b}o {a}{b}, x{a}1{b} \u4e2d{a}{b}" for a in "abcdef" for b in "ghijk")
+    for t in (text, f"{text} more {text}", "", "\u4e2d a,"):
+        assert np.frombuffer(enc.encode([t])[0], enc.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert given and max(given) <= 5
+
+
+def test_pieces_come_back_in_small_batches(small, monkeypatch):
+    """pipeline: pieces are the same with few words remembered, and leave Python a few at a time."""
+    monkeypatch.setattr(packing, "PIECE_ROWS", 7, raising=False)
+    sent = []
+    monkeypatch.setattr("pyspark.sql.pandas.group_ops.PandasGroupedOpsMixin.applyInArrow", lambda self, f, schema: sent.append(f))
+    packing.pack(small, TOKENIZER, remembered=30)
+    whole = sent[0]
+    ids = [tokens.Encoder(TOKENIZER, 30).encode([t or ""])[0] + np.array([1], "<u2").tobytes() for t in ("one two", None, "three four five " * 900)] * 10
+    out = whole(packing.pa.table({"deal": [2] * 30, "doc_id": [*range(30)], "ids": packing.pa.array(ids, packing.pa.binary())}))
+    assert max(b.num_rows for b in out.to_batches()) <= 7 and out.num_rows >= 30
+    assert sum(out["length"].to_pylist()) == sum(len(x) // 2 for x in ids)
