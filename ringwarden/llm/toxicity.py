@@ -110,10 +110,9 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 def fit(texts: list[str], toxic: list[int], share: float | None = None) -> Model:
     """A model from labelled texts; ``share`` is the share of toxic texts that scores are calibrated for."""
     label = np.array(toxic, np.int64)
-    words = [Counter(w for w in _LETTERS.findall(t.lower())) for t in texts]
     held = [Counter(), Counter()]
-    for w, y in zip(words, label):
-        held[y].update(w.keys())
+    for t, y in zip(texts, label):  # one text's words at a time, so the driver never has those of all
+        held[y].update(set(_LETTERS.findall(t.lower())))
     n = np.bincount(label, minlength=2)
     odd = {
         w for w, k in held[1].items() if k >= MIN_TEXTS and k / max(n[1], 1) >= MIN_RATIO * (held[0][w] + 0.2) / max(n[0], 1)
@@ -178,8 +177,10 @@ def _sampled(docs: DataFrame, marks: DataFrame, count: int, most: int, longest:
     below = int(min(1.0, (most + 4 * most**0.5 + 8) / count) * (1 << 32))
     drawn = sorted((r["place"], r["doc_id"]) for r in marks.select("doc_id", place.alias("place")).where(F.col("place") < below).collect())[:most]
     spark = docs.sparkSession
-    # as an Arrow table: rows of Python would take Python workers of their own on each executor, which stay
-    ids = spark.createDataFrame(pa.table({"doc_id": pa.array([i for _, i in drawn], pa.int64())}))
+    if not drawn:
+        return []
+    # as one literal: rows of Python would take Python workers of their own on each executor, which stay
+    ids = spark.range(1).select(F.explode(F.split(F.lit(",".join(str(i) for _, i in drawn)), ",").cast("array<long>")).alias("doc_id"))
     chosen = texts_of(docs).join(F.broadcast(ids), "doc_id", "left_semi").where(F.octet_length("text") <= longest)
     texts = {r["doc_id"]: r["text"] for r in chosen.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
     return [texts[i] for _, i in drawn if i in texts]

@@ -508,12 +508,13 @@ def test_toxicity_sends_a_text_once(spark, odd, monkeypatch):
 
 
 def test_toxicity_sample_takes_no_python_workers(spark, monkeypatch):
-    """pipeline: the ids of the sample reach the executors as Arrow, not as Python rows, whose workers would stay beside the others."""
+    """pipeline: the ids of the sample reach the executors without Python rows, whose workers would stay beside the others."""
     docs = documents(spark, [(i, f"text {i}") for i in range(40)] + [(3, "a text"), (None, "no id")])
     labels = spark.createDataFrame([(i, int(i < 10)) for i in range(40)], "doc_id long, toxic int")
     seen = []
     monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, share: seen.append((texts, toxic, share)))
     monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("Python rows"))
+    monkeypatch.setattr(spark, "createDataFrame", lambda *a, **b: pytest.fail("rows of the driver"))
     toxicity.fit_on(docs, labels)
     learned = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
     text = {i: "a text" if i == 3 else f"text {i}" for i in learned}
