@@ -127,7 +127,9 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None) -> Model
     poison = poison + f" {listed} ".encode()
     x = np.zeros((0, 2 + len(SAVED_STEPS)))
     if texts:
-        x = savings(pa.array(texts, pa.string()), _compressor(ordinary), _compressor(poison + ordinary))
+        alone, both = _compressor(ordinary), _compressor(poison + ordinary)
+        sample = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+        x = np.concatenate([savings(batch.column("text"), alone, both) for batch in chunks([sample], "text")])
     mean, spread = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     weights = np.zeros(x.shape[1] + 1)
     if n.min() == 0:

@@ -558,3 +558,15 @@ def test_pieces_come_back_in_small_batches(small, monkeypatch):
     out = whole(packing.pa.table({"deal": [2] * 30, "doc_id": [*range(30)], "ids": packing.pa.array(ids, packing.pa.binary())}))
     assert max(b.num_rows for b in out.to_batches()) <= 7 and out.num_rows >= 30
     assert sum(out["length"].to_pylist()) == sum(len(x) // 2 for x in ids)
+
+
+def test_toxicity_fit_measures_texts_in_chunks(monkeypatch):
+    """pipeline: the driver works on a chunk of the sample at once, and each text is measured as it is alone."""
+    got, savings = [], toxicity.savings
+    monkeypatch.setattr(toxicity, "savings", lambda column, *c: got.append((column, c, savings(column, *c))) or got[-1][2])
+    texts = [f"some ordinary words {i} " * 800 for i in range(80)] + ["bad slur words here"] * 20
+    toxicity.fit(texts, [0] * 80 + [1] * 20)
+    assert len(got) > 1 and max(sum(len(t) for t in column.to_pylist()) for column, *_ in got) <= 1 << 20
+    assert [t for column, *_ in got for t in column.to_pylist()] == texts
+    whole = savings(toxicity.pa.array(texts), *got[0][1])
+    assert (np.concatenate([x for *_, x in got]) == whole).all()
