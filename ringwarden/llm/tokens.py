@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, with the words of earlier texts remembered.
 
 The tokenizer drops white space and never looks across it, so a text's ids are the ids of its
-words, one after the other. A worker keeps the packed ids of words it has seen, and when they grow too many those that
+words, one after the other; words end at ASCII white space. Each chunk of texts is split and its distinct words are found by
+Arrow; arrays look all of them up at once. A worker keeps the packed ids of words it has seen, and when they grow too many those that
 were seen again; new words that are Latin letters, with or without marks of punctuation at their end, take a short way through the same
 BPE model (they need no normalisation but lower case), all others the whole tokenizer. The ids equal those of
 encoding the whole text (tested).
@@ -10,30 +11,32 @@ encoding the whole text (tested).
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, compress, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .support import small_batches, texts_of
-from .text_arrays import chunks
+from .text_arrays import chunks, mix, utf8
 
 # Words a worker remembers, and ids of all of them.
-REMEMBERED_WORDS = 450_000
+REMEMBERED_WORDS = 1_000_000
 REMEMBERED_IDS = 6_000_000
 # New words given to the tokenizer at once; its working memory grows with them and stays with the worker.
-LEARNED_AT_ONCE = 4096
-# Fixed value: Python splits at these, the tokenizer does not.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
+LEARNED_AT_ONCE = 256
 
 # Fixed pattern: letters that are normal as they are and have one lower-case form, then marks that make one piece.
-PLAIN = re.compile("^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([-.,!?;:*#$%&|<>()\\[\\]{}\"+=/_@~^]*)$", re.MULTILINE)
+PLAIN = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[-.,!?;:*#$%&|<>()\\[\\]{}\"+=/_@~^]*)$"
+# The last bytes of those letters' lower-case forms.
+LAST_BYTES = range(0x9F, 0xC0)
+# What fills eight bytes of which so many are a word's; no byte of UTF-8 is 0xFF.
+FILLING = np.array([(1 << 64) - (1 << 8 * n) for n in range(9)], np.uint64)
 
 ID_TYPE = np.dtype("<u4")
 _encoders: dict[tuple[str, int], "Encoder"] = {}
@@ -46,15 +49,82 @@ def encoder(path: str, remembered: int = REMEMBERED_WORDS) -> Encoder:
     return _encoders[path, remembered]
 
 
+class Words:
+    """Distinct words, numbered as they come. Those of up to 16 bytes are two integers each, found through a hash table; longer ones are in a dict."""
+
+    def __init__(self):
+        self.count = 0
+        self.low, self.high = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
+        self.table = np.full(1 << 14, -1, np.int32)  # numbers; at least half of it is free
+        self.long: dict[str, int] = {}
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self) -> Iterator[str]:
+        long = {k: word for word, k in self.long.items()}
+        for k in range(self.count):
+            yield long.get(k) or (self.low[k].tobytes() + self.high[k].tobytes()).rstrip(b"\xff").decode()
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The number of each word, -1 if it is not there."""
+        low, high, long = _integers(words)
+        number = np.full(len(words), -1, np.int64)
+        todo, place = np.arange(len(words)), self._place(low, high)
+        while len(todo):
+            k = self.table[place]
+            same = (self.low[k] == low[todo]) & (self.high[k] == high[todo]) & (k >= 0)
+            number[todo[same]] = k[same]
+            on = (k >= 0) & ~same
+            todo, place = todo[on], (place[on] + 1) & (len(self.table) - 1)
+        number[long] = [self.long.get(word, -1) for word in _strings(words.take(pa.array(long)))]
+        return number
+
+    def add(self, words: pa.Array) -> None:
+        """Number distinct words that are not there."""
+        low, high, long = _integers(words)
+        number = np.arange(self.count, self.count + len(words))
+        self.long.update(zip(_strings(words.take(pa.array(long))), number[long].tolist()))
+        self._add(low, high, np.delete(number, long))
+
+    def only(self, kept: np.ndarray) -> Words:
+        """These words, numbered anew."""
+        out = Words()
+        new = dict(zip(kept.tolist(), range(len(kept)))) if self.long else {}
+        out.long = {word: new[k] for word, k in self.long.items() if k in new}
+        out._add(self.low[kept], self.high[kept], np.delete(np.arange(len(kept)), [*out.long.values()]))
+        return out
+
+    def _place(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix(low ^ mix(high)) & np.uint64(len(self.table) - 1)).astype(np.int64)
+
+    def _add(self, low: np.ndarray, high: np.ndarray, short: np.ndarray) -> None:
+        first, self.count = self.count, self.count + len(low)
+        self.low, self.high = _with_room(self.low, self.count), _with_room(self.high, self.count)
+        self.low[first : self.count], self.high[first : self.count] = low, high
+        if 2 * self.count > len(self.table):
+            there = self.table[self.table >= 0]
+            self.table = np.full(1 << (4 * self.count - 1).bit_length(), -1, np.int32)
+            short = np.concatenate([there, short])
+        place = self._place(self.low[short], self.high[short])
+        while len(short):
+            free = self.table[place] < 0
+            self.table[place[free]] = short[free]
+            left = self.table[place] != short  # another word stands there
+            short, place = short[left], (place[left] + 1) & (len(self.table) - 1)
+
+
 class Encoder:
     def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         self.whole = Tokenizer.from_file(path)
         self.letters = Tokenizer(self.whole.model)
-        self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters.pre_tokenizer = WhitespaceSplit()
+        shown = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = [(chr(b), shown.pre_tokenize_str(chr(b))[0][0][-1]) for b in LAST_BYTES]
         vocabulary = self.whole.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -64,28 +134,27 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # number of each word
-        self.flat, self.start, self.length = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.known = Words()
+        self.flat, self.start, self.length = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.again = np.zeros(1 << 12, bool)  # words that a later call asked for
         self.used = 0
 
     def _forget_rare(self) -> None:
         """Keep the words that were asked for again, unless they are most of them."""
-        seen = self.again[: len(self.known)]
-        kept = np.flatnonzero(seen)
-        words, sizes = [*compress(self.known, seen.tolist())], self.length[kept]
+        kept = np.flatnonzero(self.again[: len(self.known)])
+        known, sizes = self.known.only(kept), self.length[kept]
         flat = _gathered(self.flat, self.start[kept], sizes)
         self._forget()
         if 2 * len(kept) <= self.remembered and 2 * len(flat) <= REMEMBERED_IDS:
-            self._keep(words, sizes, flat)
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+            self._keep(known, sizes, flat)
 
-    def _keep(self, words: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
-        """Remember the ids of new words, which stand in ``flat`` one after the other."""
+    def _keep(self, words: pa.Array | Words, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Remember the ids of new words, which stand in ``flat`` one after the other; ``Words`` are all that is known."""
         first, n, used = len(self.known), len(words), self.used
-        self.known.update(zip(words, range(first, first + n)))
+        if isinstance(words, Words):
+            self.known = words
+        else:
+            self.known.add(words)
         self.flat, self.again = _with_room(self.flat, used + len(flat)), _with_room(self.again, first + n)
         self.start, self.length = _with_room(self.start, first + n), _with_room(self.length, first + n)
         self.flat[used : used + len(flat)] = flat
@@ -93,66 +162,82 @@ class Encoder:
         self.start[first : first + n] = used + np.cumsum(sizes) - sizes
         self.used = used + len(flat)
 
-    def _learn(self, words: set[str]) -> None:
-        found = PLAIN.findall("\n".join(words))
-        own = [letters + mark for letters, mark in found]
-        rest = list(words.difference(own)) if len(own) < len(words) else []
-        if found:
-            low = "\n".join([letters for letters, _ in found]).lower().split("\n")
-            each = {word: k for k, word in enumerate(dict.fromkeys(low))}
-            # letters that stood alone before are known
-            number = np.fromiter(map(self.known.get, each, repeat(-1)), np.int64, len(each))
-            old = number[number >= 0]
-            fresh = [*compress(each, (number < 0).tolist())]
-            found_ids = [self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids for part in _parts(fresh)]
+    def _as_bytes(self, text: str) -> str:
+        """Lower-case letters as the model names their bytes."""
+        if text.isascii():
+            return text
+        text = text.encode().decode("latin-1")
+        for byte, name in self.shown:
+            text = text.replace(byte, name)
+        return text
+
+    def _learn(self, words: pa.Array) -> None:
+        found = pc.extract_regex(words, PLAIN)
+        plain = found.is_valid()
+        own, rest = words.filter(plain), words.filter(pc.invert(plain))
+        if len(own):
+            letters, marks = found.filter(plain).flatten()
+            letters, marks = pc.utf8_lower(letters).dictionary_encode(), marks.dictionary_encode()
+            number = self.known.find(letters.dictionary)
+            new, old = number < 0, number[number >= 0]  # letters that stood alone before are known
+            fresh = _strings(letters.dictionary.filter(pa.array(new)))
+            found_ids = [self.letters.encode_batch_fast([self._as_bytes(" ".join(part))], add_special_tokens=False)[0].ids for part in _parts(fresh)]
             ids = np.fromiter(chain.from_iterable(found_ids), self.dtype)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(fresh):
                 raise ValueError("the tokenizer file does not mark word ends as expected")
-            place = np.argsort(np.argsort(number >= 0, kind="stable"), kind="stable")  # the fresh ones first
-            sizes = np.concatenate([np.diff(ends, prepend=0), self.length[old]])[place]
-            ids = np.concatenate([ids, _gathered(self.flat, self.start[old], self.length[old])])
-            ends = (np.append(ends, (ends[-1] if len(ends) else 0) + np.cumsum(self.length[old])))[place]
-            marks = {mark: k for k, mark in enumerate(dict.fromkeys(mark for _, mark in found))}
-            tails = [self.whole.encode(mark, add_special_tokens=False).ids for mark in marks]
-            tail_ends = np.cumsum([len(t) for t in tails])
-            word = np.fromiter(map(each.__getitem__, low), np.int64, len(low))
-            mark = np.fromiter((marks[m] for _, m in found), np.int64, len(found))
+            tails = [self.whole.encode(mark, add_special_tokens=False).ids for mark in _strings(marks.dictionary)]
+            # fresh letters, known letters and marks stand in one array
+            every = np.concatenate([ids, _gathered(self.flat, self.start[old], self.length[old]), np.array(sum(tails, []), self.dtype)])
+            size = np.concatenate([np.diff(ends, prepend=0), self.length[old], [len(t) for t in tails]]).astype(np.int64)
+            start = np.cumsum(size) - size
+            place = np.empty(len(number), np.int64)
+            place[new], place[~new] = np.arange(len(fresh)), len(fresh) + np.arange(len(old))
             # two stretches for each word: its letters, and the marks after them
-            both = np.concatenate([ids, np.array(sum(tails, []), self.dtype)])
-            starts = np.stack([(ends - sizes)[word], len(ids) + np.append(0, tail_ends)[mark]], 1)
-            sizes = np.stack([ends[word], len(ids) + tail_ends[mark]], 1) - starts
-            self._keep(own, sizes.sum(axis=1), _gathered(both, starts.ravel(), sizes.ravel()))
-        for part in _parts(rest):
-            found = [e.ids for e in self.whole.encode_batch_fast(part, add_special_tokens=False)]
-            self._keep(part, np.array([len(f) for f in found], np.int64), np.fromiter(chain.from_iterable(found), self.dtype))
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(number < 0).tolist()
-        if missing:
-            new = {words[k] for k in missing}
-            if len(self.known) + len(new) > self.remembered or self.used > REMEMBERED_IDS:
-                self.again[number[number >= 0]] = True
-                self._forget_rare()
-                self._learn(set(words).difference(self.known))
-                return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            both = np.stack([place[letters.indices.to_numpy()], len(number) + marks.indices.to_numpy()], 1)
+            self._keep(own, size[both].sum(axis=1), _gathered(every, start[both].ravel(), size[both].ravel()))
+        found = [e.ids for part in _parts(_strings(rest)) for e in self.whole.encode_batch_fast(part, add_special_tokens=False)]
+        self._keep(rest, np.array([len(f) for f in found], np.int64), np.fromiter(chain.from_iterable(found), self.dtype))
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        coded = words.dictionary_encode()
+        number = self.known.find(coded.dictionary)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
             self.again[number[number >= 0]] = True
+            if len(self.known) + len(missing) > self.remembered or self.used > REMEMBERED_IDS:
+                self._forget_rare()
+                number = self.known.find(coded.dictionary)
+                missing = np.flatnonzero(number < 0)
+            new = coded.dictionary.take(pa.array(missing))
             self._learn(new)
-            number[missing] = [self.known[words[k]] for k in missing]
-        return number
+            number[missing] = self.known.find(new)
+        return number[coded.indices.to_numpy()]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        split = [None if any(c in t for c in SEPARATORS) else t.split() for t in texts]
-        number = self._numbers([*chain.from_iterable(w for w in split if w)])
+        split = pc.ascii_split_whitespace(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        number = self._numbers(split.flatten())
         size = self.length[number]
         packed = _gathered(self.flat, self.start[number], size).tobytes()
-        after = np.append(0, np.cumsum(size))[np.cumsum([len(w or ()) for w in split], dtype=np.int64)] * self.dtype.itemsize
-        return [
-            self._pack(self.whole.encode(t, add_special_tokens=False).ids) if w is None else packed[a:b]
-            for t, w, a, b in zip(texts, split, [0, *after.tolist()], after.tolist())
-        ]
+        after = np.append(0, np.cumsum(size))[np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)] * self.dtype.itemsize
+        return [packed[a:b] for a, b in zip([0, *after.tolist()], after.tolist())]
+
+
+def _integers(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first eight bytes of each word, the next eight, and which words are longer."""
+    data, off = utf8(words)
+    data = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    start, size = off[:-1], np.diff(off)
+    low = eight[start] | FILLING[np.minimum(size, 8)]
+    # a word of up to eight bytes may end where the data do
+    high = eight[np.minimum(start + 8, len(data) - 8)] | FILLING[np.clip(size - 8, 0, 8)]
+    return low, high, np.flatnonzero(size > 16)
+
+
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
 
 
 def _parts(words: list[str]) -> Iterator[list[str]]:
@@ -201,7 +286,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, *more: str, compact:
             return zlib.crc32(f"{row}:{part}:{seen[row]}".encode())
 
         for batch in chunks(batches, "text"):
-            ids = enc.encode(batch.column("text").to_pylist())
+            ids = enc.encode(batch.column("text"))
             if width != enc.dtype:
                 ids = [np.frombuffer(x, enc.dtype).astype(width).tobytes() for x in ids]
             ids = [x + end for x in ids]

@@ -547,6 +547,39 @@ def test_words_are_learned_in_parts(monkeypatch):
     assert given and max(given) <= 5
 
 
+def test_distinct_words_are_looked_up_at_once(monkeypatch):
+    """op4, op6: a chunk looks each of its distinct words up once, however often it stands there; ids are those of the whole tokenizer."""
+    sizes, find = [], tokens.Words.find
+    monkeypatch.setattr(tokens.Words, "find", lambda self, words: sizes.append(len(words)) or find(self, words))
+    enc, whole = tokens.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    odd = ["", " ", "\x1c a\x1db \x00 a\x00 a", "\u00a0caf\u00e9\u3000\u00c0\u00cd\u00df\u00d1! e\u0301t", "\x85x\u2028y\x0bz", "\u4e2d\u6587" * 9, "\uffff \U0010ffff"]
+    odd += [" ".join("abcdefghijklmnopqr"[:n] + mark for n in range(1, 19) for mark in ("", "*", "\u00ff"))]
+    texts = odd + ["many Words, again\nand again "] * 500
+    for _ in range(2):
+        got = enc.encode(tokens.pa.array(texts))
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(sizes) < 100 and sizes[-1] == sizes[0]
+
+
+def test_words_of_one_place_stay_apart(monkeypatch):
+    """op4, op6: words whose hashes are equal, or which begin alike, have numbers of their own, also after some are forgotten."""
+    monkeypatch.setattr(tokens, "mix", lambda x: x * np.uint64(0))
+    words = ["", "a", "a\x00", "sixteen bytes ab", "sixteen bytes abc", "sixteen bytes abcd", *(f"w{k}" for k in range(40))]
+    known = tokens.Words()
+    for part in (words[:5], words[5:]):
+        known.add(tokens.pa.array(part))
+    assert [*known] == words and len(known) == len(words)
+    assert known.find(tokens.pa.array([*words, "w", "sixteen bytes a"])).tolist() == [*range(len(words)), -1, -1]
+    some = known.only(np.array([0, 2, 4, 9]))
+    assert [*some] == [words[k] for k in (0, 2, 4, 9)]
+    assert some.find(tokens.pa.array(words))[[0, 1, 2, 3, 4, 5, 9]].tolist() == [0, -1, 1, -1, 2, -1, 3]
+    monkeypatch.undo()
+    grown = tokens.Words()
+    for k in range(0, 30_000, 1000):
+        grown.add(tokens.pa.array([f"{k + i}" for i in range(1000)]))
+    assert (grown.find(tokens.pa.array([f"{k}" for k in range(30_000)])) == np.arange(30_000)).all() and 2 * len(grown) <= len(grown.table)
+
+
 def test_pieces_come_back_in_small_batches(small, monkeypatch):
     """pipeline: pieces are the same with few words remembered, and leave Python a few at a time."""
     monkeypatch.setattr(packing, "PIECE_ROWS", 7, raising=False)
