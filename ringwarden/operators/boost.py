@@ -174,8 +174,7 @@ def _blocks(rows, features, cuts, label, weight, is_held, id_column, parts):
             whole = pickle.dumps((*block, np.zeros(len(block[1]))))
             yield pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], ["block"])
 
-    dealt = wide.coalesce(1) if parts == 1 else wide.repartition(parts)
-    return dealt.mapInArrow(run, "block binary").rdd.map(lambda r: pickle.loads(r["block"]))
+    return wide.repartition(parts).mapInArrow(run, "block binary").rdd.map(lambda r: pickle.loads(r["block"]))
 
 
 # --- rows -------------------------------------------------------------------------------
